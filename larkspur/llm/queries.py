@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontam, langid, license, packing, quality, urlfilter
+from larkspur.llm import chat, decontam, jaccard, langid, license, packing, quality, urlfilter
 from larkspur.llm.common import fold, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,7 +65,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op5_decontaminate, op7_url_filter, op8_license_scan, op9_language_id)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op5_decontaminate, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard)}
 
 _HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
 ORACLE: dict[str, str] = {}
