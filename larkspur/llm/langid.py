@@ -113,18 +113,24 @@ class Centroids:
 def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang") -> Centroids:
     rows = docs.where(train) if train is not None else docs
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    few = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_LANGUAGE).select("lang", "text")
-    kept = few.join(F.broadcast(few.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")), "lang")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # the PER_LANGUAGE smallest hashes of each language, without their texts; first in salted parts
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    firsts = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(salted)).where(F.col("n") <= PER_LANGUAGE)
+    firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= PER_LANGUAGE)
+    last = firsts.groupBy("lang").agg(F.max("h").alias("last"), F.count("*").alias("count")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).drop("count")
+    kept = rows.join(F.broadcast(last), "lang").where("h <= last").select("lang", "h", "text")
 
     def run(frames):
         for frame in frames:
             counts = [ngram_counts(t) for t in frame["text"]]
             keep = [i for i, c in enumerate(counts) if c is not None]
-            out = frame.iloc[keep][["lang"]].copy()
+            out = frame.iloc[keep][["lang", "h"]].copy()
             yield out.assign(v=[vector(counts[i]).astype(np.float16).tobytes() for i in keep], total=[int(counts[i].sum()) for i in keep])
 
-    got = kept.mapInPandas(run, "lang string, v binary, total long").toPandas().sort_values(["lang", "total", "v"])
+    # equal texts count once
+    found = kept.mapInPandas(run, "lang string, h long, v binary, total long").groupBy("lang", "h").agg(F.min_by("v", "total").alias("v"), F.min("total").alias("total"))
+    got = found.toPandas().sort_values(["lang", "h"])
     vectors = np.stack([np.frombuffer(v, np.float16) for v in got["v"]]).astype(np.float32) if len(got) else np.empty((0, DIMS), np.float32)
     return Centroids.fit(got["lang"].tolist(), vectors, got["total"].to_numpy())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontam, jaccard, langid, license, packing, quality, urlfilter
+from larkspur.llm import chat, decontam, jaccard, langid, license, lm, packing, quality, urlfilter
 from larkspur.llm.common import fold, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -46,6 +46,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return lm.score(docs, ~F.col("held_out"), keep=("held_out",))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +74,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op5_decontaminate, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op4_lm_score, op5_decontaminate, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard)}
 
 _HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
 ORACLE: dict[str, str] = {}
