@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontam, jaccard, langid, license, lm, packing, quality, urlfilter
+from larkspur.llm import chat, decontam, jaccard, langid, license, lm, media, packing, quality, urlfilter
 from larkspur.llm.common import fold, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +55,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    images = media.rendered(vectors, "vec_id", "embedding")
+    asked = media.rendered(vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", edited=True).withColumnRenamed("vec_id", "query_id")
+    return media.find_copies(images, asked, key="vec_id")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), RULES, BLOCKLIST).select("page_id", "host", "path", "rule", "verdict")
 
@@ -74,7 +81,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op4_lm_score, op5_decontaminate, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op4_lm_score, op5_decontaminate, op6_media_copies, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard)}
 
 _HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
 ORACLE: dict[str, str] = {}
