@@ -105,6 +105,25 @@ class Index:
         return sorted(out)
 
 
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """The rows of docs that hold no item at or over the threshold; one pass for each block of items, nothing shuffled."""
+    from larkspur.llm.common import append
+
+    for block in _blocks(items.select(F.col(item_key), F.col(item_text)), threshold, words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        held: dict[int, Index] = {}
+
+        def run(texts, shared=shared, held=held):
+            if 0 not in held:
+                held[0] = Index(shared.value, threshold, words)
+            return [[not held[0].search(t) for t in texts]]
+
+        columns = docs.columns
+        docs = append(docs, [text], run, "keep__ boolean")
+        docs = docs.toDF(*(f"c{i}" for i in range(len(columns))), "keep__").where("keep__").drop("keep__").toDF(*columns)
+    return docs
+
+
 def _blocks(items: DataFrame, threshold: float, words: int):
     """Blocks of items of bounded size, read one after the other."""
     block, load = [], 0

@@ -416,3 +416,47 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     labelled = sets.join(known.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("root", "sk"))
     least = labelled.where("label is not null").groupBy("label").agg(F.min(key).alias("component"))
     return labelled.join(least, "label", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col(key)).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those that link with a row of a smaller key.
+
+    Only sets that have to be looked up - those of components and of repeated
+    sets - are joined, by set key; other rows are kept where they stand.
+    """
+    known = cut(set_components(docs, text))
+    sets = cut(sets_of(docs, key, text))
+    labelled = sets.where("sk is not null").join(known.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("root", "sk"))
+    # the smallest key of each component (a null key comes last), and of its sets the one that has it
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("sk").alias("sk"))
+    best = labelled.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    dropped = cut(labelled.join(best.select("label", "best"), "label").where(F.coalesce(F.col(key) != F.col("best.key"), F.col(key).isNull() & F.col("best.key").isNotNull()) | (F.col("sk") != F.col("best.sk"))).select(F.col(key).alias("key"), "sk").distinct())
+    again = labelled.groupBy("sk", key).count().where("count > 1")
+    repeated = cut(again.select(F.col(key).alias("key"), "sk"))
+    return _without(docs, key, text, dropped, repeated)
+
+
+def _without(docs: DataFrame, key: str, text: str, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the (key, sk) of dropped, and with one row for each (key, sk) of repeated."""
+    keyed = sets_of_rows(docs, text)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    k = columns[docs.columns.index(key)]
+    same = lambda other: keyed[k].eqNullSafe(other["key"]) & (keyed["sk"] == other["sk"])
+    few = lambda df: F.broadcast(df) if df.count() <= MAX_LOOKUP // 8 else df
+    out = keyed.join(few(dropped), same(dropped), "left_anti")
+    if not repeated.isEmpty():
+        repeats = few(repeated)
+        one = out.join(repeats, same(repeats), "left_semi").groupBy(k, "sk").agg(*(F.first(c).alias(c) for c in columns if c != k)).select(*columns)
+        return out.join(repeats, same(repeats), "left_anti").select(*columns).unionAll(one).toDF(*docs.columns)
+    return out.select(*columns).toDF(*docs.columns)
+
+
+def sets_of_rows(docs: DataFrame, text: str) -> DataFrame:
+    """docs, its columns renamed c0, c1, ..., with sk."""
+
+    def run(texts):
+        sets = [shingle_set(t) for t in texts]
+        return [[set_key(s) if len(s) else None for s in sets]]
+
+    out = append(docs, [text], run, "sk__ long")
+    return out.toDF(*(f"c{i}" for i in range(len(docs.columns))), "sk")
