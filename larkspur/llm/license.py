@@ -2,7 +2,8 @@
 
 A notice of n characters that may hold k edits is split into k + 1 pieces; by
 the pigeonhole principle an occurrence holds at least one piece unedited, so
-exact finds of the pieces locate all candidates.  The regex library's
+exact finds of the pieces locate all candidates; those with too few of the
+notice's 3-grams cannot hold it and go.  The regex library's
 bounded-error matching then verifies each candidate window, and the spans are
 reported as words.
 
@@ -56,15 +57,18 @@ def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple]:
         edits = len(raw) // CHARS_AN_EDIT
         cuts = [len(raw) * i // (edits + 1) for i in range(edits + 2)]
         pieces = [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        out.append((label, raw, edits, pieces, regex.compile(b"(?:%s){e<=%d}" % (regex.escape(raw.decode()).encode(), edits), regex.BESTMATCH)))
+        grams = {raw[i : i + 3] for i in range(len(raw) - 2)}
+        out.append((label, raw, edits, pieces, grams, regex.compile(b"(?:%s){e<=%d}" % (regex.escape(raw.decode()).encode(), edits), regex.BESTMATCH)))
     return out
 
 
 def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int, int]]:
     """(label, start, end, edits, length of the notice); places that overlap count once."""
     out = []
-    for label, raw, edits, pieces, pattern in _notices(notices):
+    for label, raw, edits, pieces, grams, pattern in _notices(notices):
         windows = set()
+        # an edit spoils three 3-grams at the most, so an occurrence keeps so many
+        least = len(raw) - 2 - 3 * edits
         for at, piece in pieces:
             place = joined.find(piece)
             while place >= 0:
@@ -72,6 +76,8 @@ def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[str
                 place = joined.find(piece, place + 1)
         last = -1
         for low, high in sorted(windows):
+            if sum(joined[i : i + 3] in grams for i in range(low, high - 2)) < least:
+                continue
             if m := pattern.search(joined, low, high):
                 if m.start() > last:
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(raw)))
