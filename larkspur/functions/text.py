@@ -74,14 +74,14 @@ def parse_hashes(text: Column) -> Column:
 
 def parse_tags(text: Column) -> Column:
     """A JSON list, or values between commas, joined by comma and space."""
-    loose = F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    loose = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
     listed = F.when(F.trim(text).startswith("["), json_list(text))
     return F.coalesce(F.array_join(F.coalesce(listed, loose), ", "), F.lit(""))
 
 
 def highlight(title: Column, text: Column) -> Column:
     """The title; else the first line (100 characters), or the line after a session-summary heading."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda t: F.trim(t)), lambda x: x != "")
     first = F.trim(F.split(text, "\n")[0])
     heading = F.lower(first).startswith("session summary")
     return F.coalesce(F.nullif(title, F.lit("")), F.when(heading, F.coalesce(F.try_element_at(lines, F.lit(2)), first)).otherwise(F.substring(first, 1, 100)))

@@ -37,7 +37,7 @@ def recent_context(memory: DataFrame, days: int, as_of: Column, limit: int = 5)
     """id, highlight of the newest items."""
     title = F.col("title") if "title" in memory.columns else F.lit(None).cast("string")
     rows = memory.where(F.col("type").isin(*TAGGED_TYPES) & filters.created_within(days, as_of))
-    return rows.select("id", "created_at", X.highlight(title, F.col("text")).alias("highlight")).where(F.coalesce(F.col("highlight"), F.lit("")) != "").orderBy(F.desc("created_at"), "id").limit(limit)
+    return rows.select("id", "created_at", X.highlight(title, F.col("text")).alias("highlight")).where(F.coalesce(F.col("highlight"), F.lit("")) != "").orderBy(F.desc("created_at"), "id").limit(limit).select("id", "highlight")
 
 
 def initiative_list(memory: DataFrame, as_of: Column, status: str = "all", stale_days: int = 5) -> DataFrame:
