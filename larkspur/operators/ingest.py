@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def facts_of(source: str | None, path: str, language: str | None) -> tuple[str,
 
 def extracted(files: DataFrame) -> DataFrame:
     """files (path, text, hash) with language, scrubbed text, status, export_list and the facts; one Arrow pass."""
-    import pandas as pd
-
     schema = f"path string, text string, hash string, language string, status string, export_list array<string>, {extract.FACTS}"
     rows = files.select("path", X.scrub_secrets(F.col("text")).alias("text"), "hash", X.language_of(F.col("path")).alias("language"))
 
@@ -50,8 +49,6 @@ def described(rows: DataFrame, describe: Callable[[list[str], list[str]], list[s
     fallback = X.fallback_description(F.col("path"), F.col("language"), F.col("export_list"))
     if describe is None:
         return rows.withColumn("description", fallback)
-    import pandas as pd
-
     @F.pandas_udf("string")
     def model(paths: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series(describe(paths.tolist(), texts.tolist()))
@@ -161,8 +158,6 @@ def tree_lines(paths: list[str], depth: int = 10) -> list[str]:
 
 def skeleton(files: DataFrame, repository: str, branch: str, commit: str | None = None, depth: int = 10) -> DataFrame:
     """One row: the repository's tree, drawn by one task from its paths alone (a repository, not a corpus)."""
-    import pandas as pd
-
     def draw(frame):
         lines = tree_lines(sorted(frame["path"]), depth)
         folders = {p.rsplit("/", i)[0] for p in frame["path"] for i in range(1, p.count("/") + 1)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +83,6 @@ def rerank(rows: DataFrame, query: str, k: int, scorer: Callable | None = None,
         hits = sum((F.array_contains(tokenize_code(F.col(text)), t).cast("int") for t in terms), F.lit(0))
         scored = rows.withColumn("rerank_score", hits / F.lit(float(max(1, len(terms)))))
     else:
-        import pandas as pd
-
         @F.pandas_udf("double")
         def model(texts: pd.Series) -> pd.Series:
             return pd.Series(scorer(query, texts.tolist()))

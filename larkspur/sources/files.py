@@ -6,6 +6,7 @@ import os
 import subprocess
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def walk(spark: SparkSession, root: str, ignore: Iterable[str] = filters.DEFAULT
 
 def decoded(files: DataFrame) -> DataFrame:
     """path, text, hash (md5), status: bytes that are no UTF-8 are dropped; white space alone is Empty file."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
         return content.map(lambda b: bytes(b or b"").decode("utf-8", "ignore"))

@@ -14,6 +14,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def read_queue(spark: SparkSession, folder: str, watermark: str | None = None) -
 
 def summary_rows(batch: DataFrame, summarise: Callable[[str], str] | None) -> DataFrame:
     """batch with summary and outcome: done, empty (no text: nothing to keep) or retry (no summariser, no summary, an error)."""
-    import pandas as pd
-
     text = F.substring(F.coalesce("transcript_text", F.lit("")), 1, MAX_CHARS)
 
     @F.pandas_udf("string")
