@@ -27,15 +27,17 @@ from larkspur.llm.common import append
 
 #: phrases that count exactly: (words, label)
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-#: notices that count with edits: (words, label)
+#: notices that count with edits: (words, label, core); each word of the core has
+#: to stand in the match, with an edit at most if it has five letters or more, so
+#: that a notice of another license with the same frame does not count
 NOTICES = [
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under the gnu general public license version 3", "gpl-3"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", "permission granted"),
+    ("licensed under the apache license version 2 0", "apache-2", "apache 2"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "by nc"),
+    ("licensed under the gnu general public license version 3", "gpl-3", "general public 3"),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", "redistribution binary"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla"),
 ]
 #: one edit for so many characters of a notice
 CHARS_AN_EDIT = 9
@@ -50,22 +52,23 @@ def normalised(text: str | None) -> tuple[bytes, int]:
 
 
 @lru_cache
-def _notices(notices: tuple[tuple[str, str], ...]) -> list[tuple]:
+def _notices(notices: tuple[tuple[str, str, str], ...]) -> list[tuple]:
     out = []
-    for words, label in notices:
+    for words, label, core in notices:
         raw = words.encode()
         edits = len(raw) // CHARS_AN_EDIT
         cuts = [len(raw) * i // (edits + 1) for i in range(edits + 2)]
         pieces = [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         grams = {raw[i : i + 3] for i in range(len(raw) - 2)}
-        out.append((label, raw, edits, pieces, grams, regex.compile(b"(?:%s){e<=%d}" % (regex.escape(raw.decode()).encode(), edits), regex.BESTMATCH)))
+        cores = [regex.compile(b"(?<= |^)(?:%s){e<=%d}(?= |$)" % (w, len(w) >= 5)) for w in core.encode().split()]
+        out.append((label, raw, edits, pieces, grams, cores, regex.compile(b"(?:%s){e<=%d}" % (regex.escape(raw.decode()).encode(), edits), regex.BESTMATCH)))
     return out
 
 
-def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int, int]]:
+def fuzzy(joined: bytes, notices: tuple[tuple[str, str, str], ...]) -> list[tuple[str, int, int, int, int]]:
     """(label, start, end, edits, length of the notice); places that overlap count once."""
     out = []
-    for label, raw, edits, pieces, grams, pattern in _notices(notices):
+    for label, raw, edits, pieces, grams, cores, pattern in _notices(notices):
         windows = set()
         # an edit spoils three 3-grams at the most, so an occurrence keeps so many
         least = len(raw) - 2 - 3 * edits
@@ -79,7 +82,7 @@ def fuzzy(joined: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[str
             if sum(joined[i : i + 3] in grams for i in range(low, high - 2)) < least:
                 continue
             if m := pattern.search(joined, low, high):
-                if m.start() > last:
+                if m.start() > last and all(c.search(m[0]) for c in cores):
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(raw)))
                     last = m.end() - 1
     return out
