@@ -96,6 +96,7 @@ class Centroids:
         return model
 
     def predict(self, texts) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether it is rejected, of a few texts at a time."""
         counts = [ngram_counts(t) for t in texts]
         langs, scores, rejected = ["und"] * len(counts), [0.0] * len(counts), [True] * len(counts)
         known = [i for i, c in enumerate(counts) if c is not None] if self.languages else []
