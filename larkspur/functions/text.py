@@ -149,3 +149,30 @@ def fallback_description(path: Column, language: Column, exports: Column, counte
     named = F.array_join(F.slice(exports, 1, 5), ", ")
     more = F.when(F.size(exports) > 5, F.concat(F.lit(" (+"), (F.size(exports) - 5).cast("string"), F.lit(" more)"))).otherwise("") if counted else F.lit("")
     return F.when(F.size(exports) > 0, F.concat(head, F.lit(" with exports: " if counted else " with: "), named, more)).otherwise(head)
+
+
+def display_map(created_text: Column, columns: list[str]) -> Column:
+    """Field name to shown value, by type; empty fields are left out.  created_text: how created_at is shown."""
+    have = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
+    kind = F.col("type")
+    names = F.array_join(F.col("files"), ", ") if "files" in columns else F.lit(None).cast("string")
+    n_files = F.concat(F.size("files").cast("string"), F.lit(" files")) if "files" in columns else F.lit(None).cast("string")
+    code = kind.isin("file_metadata", "data_contract", "entry_point", "dependency")
+    only = lambda where, value: F.when(where, value)
+    fields = {
+        "Repository": have("repository"),
+        "Title": have("title"),
+        "Created": created_text,
+        "Status": have("status"),
+        "Tags": only(kind.isin("note", "insight"), parse_tags(have("tags"))),
+        "Files": only(kind == "insight", names),
+        "Files Changed": only((kind == "session_summary") & (F.size("files") > 0) if "files" in columns else F.lit(False), n_files),
+        "Validation": only(kind == "insight", have("last_validation_result")),
+        "Initiative": only(kind.isin("note", "insight", "session_summary"), have("initiative_name")),
+        "Goal": only(kind == "initiative", unescape_content(have("goal"))),
+        "File": only(code, have("file_path")),
+        "Language": only(code, have("language")),
+        "Description": only(code, truncate(have("description"), 200)),
+    }
+    whole = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+    return F.map_filter(whole, lambda _, v: F.coalesce(v, F.lit("")) != "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur import schema as S
 from larkspur.functions import text as X
 from larkspur.functions import timefns as D
-from larkspur.operators import bm25, filters, graph, maintenance, search, staleness, timeline, transcripts, vector
+from larkspur.operators import bm25, filters, graph, ingest, maintenance, search, staleness, timeline, transcripts, vector
 from larkspur.operators.corpus import as_of, memory, table
 from larkspur.plans.oracle import ORACLE
 from larkspur.sources import files as file_source
@@ -642,3 +642,52 @@ def queue_pending(spark, sf):
 
     queue = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
     return capture.pending(queue, queue.where("session_id % 3 = 0"))
+
+
+# ---- display, trees, reranking, the whole pipeline, the stream
+
+
+@query
+def display_map(spark, sf):
+    m = memory(spark, sf)
+    shown = X.display_map(D.relative_text(D.parse_aware(F.col("created_at")), as_of()), m.columns)
+    pairs = F.array_sort(F.transform(F.map_entries(shown), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return m.select("id", F.array_join(pairs, "|").alias("shown"))
+
+
+@query
+def tree_stats(spark, sf):
+    n = F.col("doc_id")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), (n % 9 + 1).cast("int")), lambda i: F.when((n + i) % 3 == 0, F.concat(F.lit("├── d"), i)).otherwise(F.concat(F.lit("│   └── f"), i, F.lit(".py")))), "\n")
+    s = ingest.tree_stats(text)
+    return table(spark, sf, "documents").select("doc_id", *[s[c].cast("long").alias(c) for c in ("lines", "files", "dirs")])
+
+
+@query
+def rerank_fallback(spark, sf):
+    top = docs_by_id(spark, sf).join(F.broadcast(fused(spark, sf, 50)), "id")
+    return search.rerank(top, QUERY_TEXT, 5).select("id", r6(F.col("rerank_score")).alias("rerank_score"))
+
+
+@query
+def http_search(spark, sf):
+    top = docs_by_id(spark, sf).join(F.broadcast(fused(spark, sf, 50)), "id")
+    best = search.rerank(top, QUERY_TEXT, 20)
+    return best.where(F.col("rerank_score") >= 0.3).select("id", r6(F.col("rerank_score")).alias("rerank_score"))
+
+
+@query
+def search_pipeline(spark, sf):
+    """Filter, hybrid retrieval, rerank to 5, boosts, threshold."""
+    m = memory(spark, sf).withColumnRenamed("id", "mid").withColumnRenamed("doc_id", "id")
+    v = vectors_by_id(spark, sf)
+    out = search.search(m, v, QUERY_TEXT, vector.vector_of(v, "id", 7), as_of(), branch="feature-x", focus=FOCUS)
+    return out.select("id", "type", r6(F.col("boosted_score")).alias("boosted_score"))
+
+
+@query
+def queue_consume(spark, sf):
+    """Sessions of the conversations, read as a stream, each once."""
+    from larkspur.streaming import capture
+
+    return capture.consume_parquet(spark, f"{sf}/conversations.parquet", "conv_id").select(F.col("conv_id").alias("session_id"))

@@ -285,3 +285,29 @@ c AS (SELECT session_id, CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000
 SELECT session_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM c"""
 ORACLE["transcript_parse"] = """SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS line_no, role, md5(text) AS text_md5, CASE WHEN turn % 3 = 1 THEN turn * 1000 END AS at_ms, CASE WHEN turn % 3 = 0 THEN '/p' END AS cwd FROM conversations WHERE turn % 3 <> 2"""
 ORACLE["queue_pending"] = "SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id % 3 <> 0"
+
+
+# display, trees, reranking, the whole pipeline, the stream
+_AGO = f"((epoch_us({_AS_OF}) - epoch_us(created_ts)) / 1000000.0)"
+_RELATIVE = f"""CASE WHEN created_ts IS NULL THEN '' WHEN {_AGO} < 60 THEN 'just now' WHEN {_AGO} < 604800 THEN CAST(floor({_AGO} / 86400) AS BIGINT) || 'd ago' WHEN {_AGO} < 2592000 THEN CAST(floor({_AGO} / 604800) AS BIGINT) || 'w ago' ELSE strftime(created_ts, '%b %d, %Y') END"""
+mem(
+    "display_map",
+    f"""SELECT id, array_to_string(list_sort(list_filter(['Repository=' || repository, CASE WHEN created_ts IS NOT NULL THEN 'Created=' || {_RELATIVE} END, 'Status=' || status,
+CASE WHEN type = 'insight' THEN 'Files=' || array_to_string(files, ', ') END, CASE WHEN type = 'session_summary' THEN 'Files Changed=2 files' END,
+CASE WHEN type IN ('file_metadata', 'data_contract', 'entry_point', 'dependency') THEN 'Language=' || language END], lambda x: x IS NOT NULL)), '|') AS shown FROM m""",
+)
+ORACLE["tree_stats"] = "WITH t AS (SELECT doc_id, doc_id % 9 + 1 AS k, len(list_filter(range(1, CAST(doc_id % 9 + 2 AS BIGINT)), lambda i: (doc_id + i) % 3 = 0)) AS d FROM documents) SELECT doc_id, CAST(k AS BIGINT) AS lines, CAST(k - d AS BIGINT) AS files, CAST(d AS BIGINT) AS dirs FROM t"
+_RERANKED = "rr AS (SELECT top.id, round(len(list_filter(['the', 'heating', 'of', 'oreathe'], lambda w: list_contains(toks, w))) / 4.0::DOUBLE, 6) AS rerank_score FROM top JOIN t USING (id))"
+ORACLE["rerank_fallback"] = f"WITH {_fused(50)}, {_RERANKED} SELECT id, rerank_score FROM rr ORDER BY rerank_score DESC, id LIMIT 5"
+ORACLE["http_search"] = f"WITH {_fused(50)}, {_RERANKED} SELECT id, rerank_score FROM (SELECT * FROM rr ORDER BY rerank_score DESC, id LIMIT 20) WHERE rerank_score >= 0.3"
+_VISIBLE = f"vis AS (SELECT doc_id FROM m WHERE (type IN {_in(BRANCH_FILTERED)} AND branch IN ('feature-x', 'main')) OR type IN {_in(BRANCH_FREE)})"
+_FUSED_VISIBLE = _fused(50).replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT doc_id FROM vis))").replace("FROM embeddings, qv)", "FROM embeddings, qv WHERE vec_id IN (SELECT doc_id FROM vis))")
+mem(
+    "search_pipeline",
+    f"SELECT id, type, round(x, 6) AS boosted_score FROM (SELECT b5.id, type, b5.rerank_score * {_BOOST} * {_RECENCY} * {_FOCUS} AS x FROM b5 JOIN m ON m.doc_id = b5.id) WHERE x >= 0.5",
+    _VISIBLE,
+    _FUSED_VISIBLE,
+    _RERANKED,
+    "b5 AS (SELECT id, rerank_score FROM rr ORDER BY rerank_score DESC, id LIMIT 5)",
+)
+ORACLE["queue_consume"] = "SELECT DISTINCT conv_id AS session_id FROM conversations"

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -88,3 +89,21 @@ def consume(spark: SparkSession, queue: str, out: str, checkpoint: str, summaris
 def pending(queue: DataFrame, processed: DataFrame) -> DataFrame:
     """Queue rows whose session is not processed."""
     return queue.join(processed.select("session_id"), "session_id", "left_anti")
+
+
+def consume_parquet(spark: SparkSession, path: str, session: str) -> DataFrame:
+    """The rows of a Parquet path, read as a stream to its end, the first of each session.
+
+    State, checkpoint and output are in the folder that all executors share.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-stream-")
+    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    is_folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory()
+    schema = spark.read.parquet(path).schema
+    parent, name = path.rsplit("/", 1)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if is_folder else name).parquet(path if is_folder else parent)
+    once = stream.dropDuplicates([session])
+    query = once.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{place}/out")
