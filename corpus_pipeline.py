@@ -65,9 +65,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = spark.sparkContext
     base = (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()).rstrip("/")
     place = f"{base}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            # what a finished stage has read is not needed any more
+            gone = sc._jvm.org.apache.hadoop.fs.Path(before)
+            gone.getFileSystem(sc._jsc.hadoopConfiguration()).delete(gone, True)
+        before = path
     return docs

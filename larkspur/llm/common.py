@@ -50,6 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
 
@@ -69,12 +71,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 PIECE = 1 << 20
 
 
-def word_hashes(data: bytes, separators: np.ndarray = SPACES) -> np.ndarray:
+def word_hashes(data: bytes, separators: np.ndarray = SPACES, shape_bits: int = 0) -> np.ndarray:
     """A 64-bit hash of every word of a UTF-8 text, A-Z lower-cased, in order.
 
     Words are the runs of bytes that are no separators.  The hash is a
     polynomial over the word's bytes and its length, finalised, computed for
-    all words at once from prefix sums; equal words have equal hashes.
+    all words at once from prefix sums; equal words have equal hashes.  With
+    shape_bits the lowest bits tell the word's ending: one whether punctuation
+    stands there, the others a hash of the two bytes before it.
     """
     if len(data) > PIECE:
         parts, at = [], 0
@@ -82,13 +86,13 @@ def word_hashes(data: bytes, separators: np.ndarray = SPACES) -> np.ndarray:
             end = min(len(data), at + PIECE)
             while end < len(data) and not separators[data[end]]:
                 end += 1
-            parts.append(word_hashes_piece(data[at:end], separators))
+            parts.append(word_hashes_piece(data[at:end], separators, shape_bits))
             at = end
         return np.concatenate(parts)
-    return word_hashes_piece(data, separators)
+    return word_hashes_piece(data, separators, shape_bits)
 
 
-def word_hashes_piece(data: bytes, separators: np.ndarray) -> np.ndarray:
+def word_hashes_piece(data: bytes, separators: np.ndarray, shape_bits: int = 0) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
@@ -106,7 +110,16 @@ def word_hashes_piece(data: bytes, separators: np.ndarray) -> np.ndarray:
     sums[0] = 0
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
     value = (sums[end] - sums[start]) * inverse[start]
-    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if shape_bits:
+        stop = end - 1
+        mark = ~_LETTER[raw[stop]] & (stop > start)
+        stop = stop - mark
+        pair = _LOWER[raw[stop]].astype(np.uint64) * np.uint64(257) + np.where(stop > start, _LOWER[raw[stop - 1]], 0).astype(np.uint64)
+        letters = mix(pair) & np.uint64((1 << (shape_bits - 1)) - 1)
+        mask = np.uint64((1 << shape_bits) - 1)
+        value = (value & ~mask) | letters << np.uint64(1) | mark.astype(np.uint64)
+    return value
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:

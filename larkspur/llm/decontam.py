@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import encode, shingle_hashes, word_hashes
+from larkspur.llm.common import encode, shingle_hashes, trim, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -161,6 +161,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         found.append(index.items[j][0])
                         part.append(c)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(found, item_kind), pa.array(part, pa.float64())], names=["key", "item", "containment"])
+            trim()
 
         got = rows.mapInArrow(run, schema)
         out = got if out is None else out.unionAll(got)

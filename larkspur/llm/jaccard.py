@@ -459,7 +459,7 @@ def set_components(docs: DataFrame, sets: DataFrame, text: str = "text") -> Data
     sets = sets.where("sk is not null").select("sk", "tk")
     texts = docs.select(F.col(text).alias("text"))
     count = texts.count()
-    buckets = int(min(4096, max(8, count // BUCKET_DOCS)))
+    buckets = int(min(1_000_000, max(8, count // BUCKET_DOCS)))
     bits = int(min(58, max(24, np.log2(max(1, count)) + 18)))
     order = texts.sparkSession.sparkContext.broadcast(_frequent(texts, buckets, bits))
     found = cut(_runs(texts, order, buckets))

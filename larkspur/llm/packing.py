@@ -21,14 +21,14 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import TOGETHER, cut, trim
 
 CAPACITY = 1024
 END_ID = 2
@@ -48,13 +48,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = self._fast(spec)
+        self.path, self.special, self.fast = path, [t["content"] for t in spec.get("added_tokens", [])], self._fast(spec)
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _fast(spec: dict):
@@ -95,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(low, TOGETHER) for whole in batches for low in range(0, whole.num_rows, TOGETHER)):
             where, out = [], [[] for _ in range(5)]
             for i, value in enumerate(batch.column(1)):
                 ids = np.array([*enc.encode(value.as_py() or ""), end_id], "<u4")
@@ -109,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     start = stop
             columns = [batch.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, pa.int64()) for c in out[:4])]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(out[4], pa.binary())] if with_ids else [])], names=["key", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        trim()
 
     schema = f"key {kind.simpleString()}, piece long, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return rows.mapInArrow(run, schema).withColumn("piece", F.col("piece").cast("int")).withColumnRenamed("key", key)

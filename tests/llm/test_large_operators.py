@@ -128,25 +128,37 @@ def test_components_of_a_chain(spark):
 # ---- language model
 
 
-def model_of(counts, n, v):
+def model_of(counts, tail=()):
+    """A vocabulary of head tokens {hash: count} and of tail tokens (hash, count)."""
     hashes = np.array(sorted(counts), np.uint64)
-    return lm.Vocabulary(hashes, np.array([counts[h] for h in hashes.tolist()], np.int64), n, v)
+    n_by, v_by = np.zeros(lm.SHAPES), np.zeros(lm.SHAPES)
+    for h, c in [*counts.items(), *tail]:
+        n_by[h % lm.SHAPES] += c
+        v_by[h % lm.SHAPES] += 1
+    return lm.Vocabulary(hashes, np.array([counts[h] for h in hashes.tolist()], np.int64), n_by, v_by)
 
 
 def test_the_model_is_a_distribution(monkeypatch):
     monkeypatch.setattr(lm, "NEURAL", 10)
     monkeypatch.setattr(lm, "CLASS", 4)
-    counts = {i * 7 + 1: 100 - i for i in range(30)}
-    v = model_of(counts, sum(counts.values()) + 50, 35)
+    counts, tail = {i * 7 + 1: 100 - i for i in range(30)}, [(1000 + 13 * i, 1 + i % 3) for i in range(25)]
+    v = model_of(counts, tail)
     m = lm.Gru(v, seed=3)
     m.Wc, m.Wv = m.Wc * 30, m.Wv * 30
     state = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    ranks = np.arange(30)
-    head = np.exp(m.log_probability(np.repeat(state, 30, 0), ranks)) * 10 ** v.static
-    tail = float(np.exp(m.log_probability(state, np.array([-1]))[0]))
-    # the tail: five words that make up 50 tokens, and one unseen
-    inner = (50 + 5 + 1) / 10**v.tail_log10
-    assert head.sum() + tail * inner == pytest.approx(1, abs=1e-4)
+    at = lambda ranks: np.exp(m.log_probability(np.repeat(state, len(ranks), 0), np.array(ranks)))
+    total = (at(range(30)) * 10**v.static).sum()
+    tails = at(range(-1, -1 - lm.TAILS, -1))
+    for h, c in tail:
+        t = int(lm.tail_of(lm.shape_of(np.array([h], np.uint64)))[0])
+        assert v.lookup(np.array([h], np.uint64))[0] == -1 - t
+        total += tails[t] * (c + 1) / 10 ** v.tail_log10[t]
+    total += (tails / 10**v.tail_log10).sum()  # one unseen token for each tail
+    # shapes without tokens keep a class of little weight
+    empty = [c for c in range(v.n_classes, v.first_tail) if c not in set(v.klass.tolist())]
+    logits = (state @ m.Wc + m.bc)[0]
+    total += (np.exp(logits[empty] - logits.max()) / np.exp(logits - logits.max()).sum()).sum()
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_the_backward_pass_is_the_gradient(monkeypatch):
@@ -154,7 +166,7 @@ def test_the_backward_pass_is_the_gradient(monkeypatch):
     monkeypatch.setattr(lm, "CLASS", 3)
     monkeypatch.setattr(lm, "STREAMS", 2)
     monkeypatch.setattr(lm, "WINDOW", 6)
-    v = model_of({i + 1: 20 - i for i in range(12)}, 200, 15)
+    v = model_of({i + 1: 20 - i for i in range(12)}, [(77, 3)])
     rng = np.random.default_rng(1)
     ranks = rng.integers(-1, 12, 12)
     x = v.inputs_of(np.roll(ranks, 1))
@@ -188,7 +200,7 @@ def test_the_backward_pass_is_the_gradient(monkeypatch):
 
 
 def test_state_is_carried_and_batches_do_not_matter(monkeypatch):
-    v = model_of({i + 1: 50 - i for i in range(40)} | {int(lm.END): 10}, 2000, 60)
+    v = model_of({i + 1: 50 - i for i in range(40)} | {int(lm.END): 10}, [(99, 5)])
     m = lm.Gru(v, seed=4)
     m.Wc = m.Wc * 20
     rng = np.random.default_rng(2)
