@@ -109,7 +109,7 @@ class Engine:
         return timeline.orient(self.memory, repository, branch, self._at(now))
 
     def validate_insight(self, id_: str, result: str, now: str, **options) -> None:
-        self.store.replace(maintenance.validate_insight(self.memory, id_, result, now, **options))
+        self.store.upsert(maintenance.validate_insight(self.memory.where(F.col("id") == id_), id_, result, now, **options))
 
     def ingest(self, root: str, repository: str, branch: str, now: str, full: bool = False, **options) -> DataFrame:
         files = file_source.decoded(file_source.walk(self.spark, root, **options))

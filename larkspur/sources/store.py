@@ -1,23 +1,27 @@
-"""The memory table on disk: a folder of versions, of which a pointer file names the current one.
+"""The memory table on disk, as Parquet leaves of (repository, type) and manifests.
 
-Plain Parquet has no MERGE, so a write makes the next version: partitions
-(repository, type) that the change touches are rewritten, in a new folder, and
-the pointer is swapped last.  A reader keeps the version it opened.
+Plain Parquet has no MERGE.  A leaf is the folder of one (repository, type) that
+one write made; a manifest names, for each leaf's name, the writes that hold its
+rows.  A change rewrites only the leaves it touches, an addition none, and the
+new manifest is renamed into place last, so that a reader sees one version whole
+and keeps it while writers go on.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.operators import maintenance
 
 KEEP = 5
-PARTS = ("repository", "type")
+PARTS = {"repository": "p_repository", "type": "p_type"}
 
 
 class Store:
@@ -25,53 +29,100 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        place = self._path(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(place)) if self.fs.exists(place) else []
+
     def versions(self) -> list[str]:
-        root = self._path(self.path)
-        if not self.fs.exists(root):
-            return []
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(root) if s.getPath().getName().startswith("v") and self.fs.exists(self._path(f"{self.path}/{s.getPath().getName()}/_DONE")))
+        return [n.removeprefix("manifest-").removesuffix(".json") for n in self._names(self.path) if n.startswith("manifest-")]
 
     def current(self) -> str | None:
-        """The newest finished version: a version is finished once its mark is renamed into place."""
         found = self.versions()
         return found[-1] if found else None
 
-    def read(self) -> DataFrame:
-        version = self.current()
+    def _manifest(self, version: str | None) -> dict[str, list[str]]:
+        """Leaf name to the writes that hold its rows."""
         if version is None:
-            raise FileNotFoundError(self.path)
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{version}/data")
+            return {}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest-{version}.json").collect()))
 
-    def replace(self, df: DataFrame) -> str:
-        """df as the next version."""
-        version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
-        place = f"{self.path}/{version}"
-        parts = [c for c in PARTS if c in df.columns]
-        writer = df.repartition(*parts).write if parts else df.write
-        (writer.partitionBy(*parts) if parts else writer).parquet(f"{place}/data")
-        self.fs.create(self._path(f"{place}/_WRITING")).close()
-        self.fs.rename(self._path(f"{place}/_WRITING"), self._path(f"{place}/_DONE"))
+    def _read(self, manifest: dict[str, list[str]]) -> DataFrame:
+        leaves = [f"{self.path}/data/{write}/{leaf}" for leaf, writes in sorted(manifest.items()) for write in writes]
+        return self.spark.read.option("mergeSchema", "true").parquet(*leaves)
+
+    def read(self) -> DataFrame:
+        manifest = self._manifest(self.current())
+        if not manifest:
+            raise FileNotFoundError(self.path)
+        return self._read(manifest)
+
+    def _write(self, df: DataFrame) -> tuple[str, list[str]]:
+        """Writes rows as leaves; (name of the write, leaf names).  The columns stay in the files too."""
+        write = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+        place = f"{self.path}/data/{write}"
+        keys = {p: (F.col(c) if c in df.columns else F.lit(None).cast("string")) for c, p in PARTS.items()}
+        df.withColumns(keys).write.partitionBy(*PARTS.values()).parquet(place)
+        tops = [n for n in self._names(place) if "=" in n]
+        return write, [f"{top}/{n}" for top in tops for n in self._names(f"{place}/{top}") if "=" in n]
+
+    def _commit(self, manifest: dict[str, list[str]]) -> str:
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+        beside = self._path(f"{self.path}/.{version}")
+        out = self.fs.create(beside)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self.fs.rename(beside, self._path(f"{self.path}/manifest-{version}.json"))
         return version
 
-    def upsert(self, changes: DataFrame) -> str:
-        return self.replace(maintenance.upsert(self.read(), changes) if self.current() else changes)
+    def replace(self, df: DataFrame) -> str:
+        """df as the whole next version."""
+        write, leaves = self._write(df)
+        return self._commit({leaf: [write] for leaf in leaves})
 
     def add(self, rows: DataFrame) -> str:
-        """Rows are added as they are; an id that exists is then there twice."""
-        return self.replace(self.read().unionByName(rows, allowMissingColumns=True) if self.current() else rows)
+        """Rows are added as they are; an id that exists is then there twice.  No leaf is rewritten."""
+        manifest = self._manifest(self.current())
+        write, leaves = self._write(rows)
+        return self._commit(manifest | {leaf: [*manifest.get(leaf, []), write] for leaf in leaves})
+
+    def _touched(self, manifest: dict[str, list[str]], ids: DataFrame) -> dict[str, list[str]]:
+        """The leaves that hold one of the ids: a scan of the id column and the file names."""
+        rows = self._read(manifest).select("id", F.regexp_extract(F.col("_metadata.file_path"), r"/data/[^/]+/([^/]+/[^/]+)/[^/]*$", 1).alias("leaf"))
+        found = rows.join(ids.select("id"), "id", "left_semi").select("leaf").distinct().collect()  # leaf names: one for each repository and type
+        names = {r["leaf"] for r in found}
+        return {leaf: writes for leaf, writes in manifest.items() if leaf in names or _plain(leaf) in names}
+
+    def _rewrite(self, touched: dict[str, list[str]], manifest: dict[str, list[str]], change) -> str:
+        write, leaves = self._write(change(self._read(touched) if touched else None))
+        kept = {leaf: writes for leaf, writes in manifest.items() if leaf not in touched}
+        return self._commit(kept | {leaf: [*kept.get(leaf, []), write] for leaf in leaves})
+
+    def upsert(self, changes: DataFrame) -> str:
+        manifest = self._manifest(self.current())
+        if not manifest:
+            return self.replace(changes)
+        touched = self._touched(manifest, changes)
+        return self._rewrite(touched, manifest, lambda rows: changes if rows is None else maintenance.upsert(rows, changes))
 
     def delete(self, ids: DataFrame) -> str:
-        return self.replace(maintenance.delete_ids(self.read(), ids))
+        manifest = self._manifest(self.current())
+        touched = self._touched(manifest, ids)
+        if not touched:
+            return self.current()
+        return self._rewrite(touched, manifest, lambda rows: maintenance.delete_ids(rows, ids))
 
     def prune(self, keep: int = KEEP) -> list[str]:
-        """Drops all but the newest versions; returns what went."""
+        """Drops all but the newest versions, and writes that none of these names; returns the versions that went."""
         gone = self.versions()[:-keep]
         for v in gone:
-            self.fs.delete(self._path(f"{self.path}/{v}"), True)
+            self.fs.delete(self._path(f"{self.path}/manifest-{v}.json"), False)
+        used = {w for v in self.versions() for writes in self._manifest(v).values() for w in writes}
+        for w in self._names(f"{self.path}/data"):
+            if w not in used:
+                self.fs.delete(self._path(f"{self.path}/data/{w}"), True)
         return gone
 
     def migrate(self, steps: list, dry_run: bool = False) -> list[int]:
@@ -79,21 +130,20 @@ class Store:
 
         Each step writes a version, so that a failure leaves the last good one current.
         """
-        done = self._schema_version()
+        done = max([int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("schema-")], default=0)
         todo = [(n, f) for n, f in sorted(steps, key=lambda s: s[0]) if n > done]
         if not dry_run:
             for n, f in todo:
                 self.replace(f(self.read()))
-                out = self.fs.create(self._path(f"{self.path}/schema-{n:06d}"))
-                out.close()
+                self.fs.create(self._path(f"{self.path}/schema-{n:06d}")).close()
         return [n for n, _ in todo]
 
-    def _schema_version(self) -> int:
-        root = self._path(self.path)
-        if not self.fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in self.fs.listStatus(root)]
-        return max([int(n.split("-")[1]) for n in names if n.startswith("schema-")], default=0)
+
+def _plain(leaf: str) -> str:
+    """A leaf name as it stands in a file's URL."""
+    from urllib.parse import quote
+
+    return quote(leaf, safe="/=")
 
 
 def backup(source: str, folder: str, keep: int = KEEP) -> str:
@@ -124,6 +174,4 @@ def restore(backup_path: str, target: str) -> None:
 
 def to_json(df: DataFrame):
     """One JSON text for each row; null fields are left out."""
-    from pyspark.sql import functions as F
-
     return df.select(F.to_json(F.struct("*")).alias("json"))

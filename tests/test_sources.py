@@ -173,6 +173,7 @@ def test_store_versions(spark, tmp_path):
     s.delete(spark.createDataFrame([("a",)], "id string"))
     assert [r["id"] for r in s.read().collect()] == ["b"]
     assert len(s.prune(keep=2)) == 2 and len(s.versions()) == 2
+    assert [r["id"] for r in s.read().collect()] == ["b"]
     assert s.migrate([(1, lambda df: df.withColumn("text", F.upper("text")))]) == [1] and s.migrate([(1, lambda df: df)]) == []
 
 
@@ -261,3 +262,17 @@ def test_tree():
 def test_json_sink(spark):
     df = spark.createDataFrame([("a", None)], "id string, x string")
     assert json.loads(store.to_json(df).first()["json"]) == {"id": "a"}
+
+
+def test_a_change_rewrites_only_its_leaves(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, "id string, repository string, type string, text string")
+    s.replace(make([("a", "r 1/x", "note", "1"), ("b", "r2", "note", "2"), ("c", None, "insight", "3")]))
+    before = s._manifest(s.current())
+    s.upsert(make([("a", "r2", "note", "moved")]))
+    after = s._manifest(s.current())
+    untouched = [leaf for leaf in before if after.get(leaf) == before[leaf]]
+    assert any("insight" in leaf for leaf in untouched) and len(untouched) == 1 or len(untouched) == 2
+    assert sorted((r["id"], r["text"]) for r in s.read().collect()) == [("a", "moved"), ("b", "2"), ("c", "3")]
+    s.delete(make([("c", None, "insight", "")]))
+    assert sorted(r["id"] for r in s.read().collect()) == ["a", "b"]
