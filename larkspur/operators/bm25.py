@@ -1,13 +1,16 @@
 """BM25 (Okapi: k1 1.5, b 0.75, epsilon 0.25) without an inverted index on disk.
 
 A query needs few numbers of the corpus: its size, the mean length, and the
-document frequency of each query term.  They come from one aggregation; scores
-are then an expression over each row's own tokens, so that scoring shuffles
-nothing and the top k is a TakeOrderedAndProject.
+document frequency of each query term.  One aggregation reads them; scores are
+then an expression over each row's own tokens with these numbers as literals, so
+that scoring shuffles nothing and the top k is a TakeOrderedAndProject.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,39 +32,45 @@ def term_frequency(docs: DataFrame, key: str = "id", text: str = "text") -> Data
     return docs.select(key, F.explode(tokenize_code(F.col(text))).alias("term")).groupBy("term", key).count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
 
 
-def corpus_stats(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """One row: n, avgdl, df (array, by query term), floor (epsilon times the mean idf of all terms)."""
+@dataclass(frozen=True)
+class Stats:
+    """What a query needs of a corpus: a number of values that depends on the query alone."""
+
+    n: int
+    avgdl: float
+    idf: dict[str, float]
+
+
+def corpus_stats(docs: DataFrame, terms: list[str], text: str = "text") -> Stats:
+    """One aggregation without a shuffle of terms.
+
+    Only where a term stands in more than half of the documents, so that its
+    idf is negative, the mean idf of all terms is needed for the floor: one more
+    aggregation, by term.
+    """
     distinct = sorted(set(terms))
     tokens = docs.select(tokenize_code(F.col(text)).alias("t"))
-    counts = tokens.agg(
-        F.count("*").alias("n"),
-        F.avg(F.size("t")).alias("avgdl"),
-        F.array(*[F.count_if(F.array_contains("t", q)) for q in distinct]).alias("df") if distinct else F.array().cast("array<bigint>").alias("df"),
-    )
-    by_term = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    mean = by_term.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).agg(F.avg(idf(F.col("n"), F.col("df"))).alias("mean_idf"))
-    return counts.crossJoin(mean).withColumn("floor", F.lit(EPSILON) * F.coalesce("mean_idf", F.lit(0.0)))
-
-
-def score_all(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """docs with bm25_score; documents without a query term score 0 and stay."""
+    row = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), *[F.count_if(F.array_contains("t", q)).alias(f"d{i}") for i, q in enumerate(distinct)]).first()
+    n, found = row["n"], {q: row[f"d{i}"] for i, q in enumerate(distinct) if row[f"d{i}"]}
+    idf = {q: math.log(n - d + 0.5) - math.log(d + 0.5) for q, d in found.items()}
+    if any(v < 0 for v in idf.values()):
+        by_term = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = by_term.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        idf = {q: EPSILON * mean if v < 0 else v for q, v in idf.items()}
+    return Stats(n, row["avgdl"] or 0.0, idf)
+
+
+def score_all(docs: DataFrame, query: str, text: str = "text", stats: Stats | None = None) -> DataFrame:
+    """docs with bm25_score; documents without a query term score 0 and stay.  stats may be kept between queries."""
     terms = query_terms(query)
-    distinct = sorted(set(terms))
-    if not distinct:
-        return docs.withColumn("bm25_score", F.lit(0.0))
-    stats = corpus_stats(docs, terms, text)
-    raw = [F.log(F.col("n") - F.col("df")[i] + 0.5) - F.log(F.col("df")[i] + 0.5) for i in range(len(distinct))]
-    idf = F.array(*[F.when(r < 0, F.col("floor")).otherwise(r) * float(terms.count(q)) for q, r in zip(distinct, raw, strict=True)])
-    stats = stats.select("avgdl", idf.alias("idf"), F.col("df").alias("dfs"))
-
-    def part(i: int, q: str) -> Column:
+    stats = stats or (corpus_stats(docs, terms, text) if terms else Stats(0, 0.0, {}))
+
+    def part(q: str) -> Column:
         tf = F.size(F.filter("__t", lambda t: t == q)).cast("double")
-        known = F.col("dfs")[i] > 0
-        return F.when(known, F.col("idf")[i] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("__t") / F.col("avgdl")))).otherwise(0.0)
+        return F.lit(stats.idf[q] * terms.count(q)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("__t") / F.lit(stats.avgdl)))
 
-    total = sum((part(i, q) for i, q in enumerate(distinct)), F.lit(0.0))
-    return docs.withColumn("__t", tokenize_code(F.col(text))).crossJoin(F.broadcast(stats)).withColumn("bm25_score", F.coalesce(total, F.lit(0.0))).drop("__t", "avgdl", "idf", "dfs")
+    total = sum((part(q) for q in sorted(set(terms)) if q in stats.idf), F.lit(0.0))
+    return docs.withColumn("__t", tokenize_code(F.col(text))).withColumn("bm25_score", F.coalesce(total, F.lit(0.0))).drop("__t")
 
 
 def top_k(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "text") -> DataFrame:
