@@ -2,7 +2,11 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is
 written as Parquet and reread as the next one's docs.  All but the last return
-the columns of documents.
+the columns of documents, whichever there are.
+
+Defined results: a null text is scored as an empty one by the first stage and
+has no language, so that it goes in the second; a null doc_id is kept like any
+other; of repeated rows one stays; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,29 +20,36 @@ from larkspur.llm import decontam, jaccard, langid, packing, quality
 from larkspur.llm.common import ensure_checkpoint_dir, fold, table
 from larkspur.llm.queries import CUTOFF, tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def _renamed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with neutral column names, so that none clashes; the names of id and text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.3) go."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0, keep=COLUMNS[2:], carry_text=True)
-    return scored.where(F.col("quality_score") >= CUTOFF).select(*COLUMNS)
+    rows, key, text = _renamed(docs)
+    others = tuple(c for c in rows.columns if c not in (key, text))
+    scored = quality.classify(rows, table(spark, sf_dir, "labels"), fold(key, 5) != 0, key, text, others, carry_text=True, label_key="doc_id")
+    return scored.where(F.col("quality_score") >= CUTOFF).select(*rows.columns).toDF(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go: null or letterless texts and those far from every centroid."""
     model = langid.fit(docs, fold("doc_id", 5) != 0)
-    return langid.identify(docs, model).where(~F.col("lang_rejected")).select(*COLUMNS)
+    rows, _, text = _renamed(docs)
+    return langid.identify(rows, model, text).where(~F.col("lang_rejected")).select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; of repeated rows of it, one."""
-    return jaccard.keep_representatives(docs).select(*COLUMNS)
+    return jaccard.keep_representatives(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontam.without_items(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = spark.sparkContext
     base = (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()).rstrip("/")
     place = f"{base}/corpus-{uuid.uuid4().hex}"
-    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -333,5 +333,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(packed["doc_id"]) == set(clean["doc_id"]) and (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["the", "river", "was", "slow", "and", "wide", "birds", "sang", "over", "it"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    long = say(30000)
+    rows = [(i, say(40), "en", "s", 1, 0.5, 7) for i in range(60)] + [(60, None, "en", "s", 0, 0.5, 7), (None, say(50), None, None, None, None, None), (61, "", "en", "s", 0, 0.5, 7), (62, long, "en", "s", 1, 0.5, 7), (62, long, "en", "s", 1, 0.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality_score double, tk long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[3][1]), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 3 not in packed and 60 not in packed and len(packed) > 50
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_shingle_hashes_tell_sets_apart():
     assert len({jaccard.set_key(shingle_set(f"a b c d e{i}")) for i in range(5000)}) == 5000
