@@ -8,7 +8,8 @@ when that cosine is below what training texts of its length reach
 (`REJECT` of the least one seen), or when it has no letter.
 
 The fit uses at most PER_LANGUAGE labelled documents of each of at most
-MAX_LANGUAGES languages, those with the smallest hash of text.
+MAX_LANGUAGES languages: in each of PARTS parts of the hashes of their texts, the
+smallest ones.
 
 Defined results: a null text or one without letters is `und`, score 0,
 rejected; with no training rows all texts are `und`; repeated rows give
@@ -27,7 +28,8 @@ from larkspur.llm.common import append
 
 DIMS = 2048
 CENTROIDS = 4
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 1024
+PARTS = 64
 MAX_LANGUAGES = 64
 REJECT = 0.7
 
@@ -115,12 +117,13 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang:
     rows = docs.where(train) if train is not None else docs
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # the PER_LANGUAGE smallest hashes of each language, without their texts; first in salted parts
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
-    firsts = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(salted)).where(F.col("n") <= PER_LANGUAGE)
-    firsts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= PER_LANGUAGE)
-    last = firsts.groupBy("lang").agg(F.max("h").alias("last"), F.count("*").alias("count")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).drop("count")
-    kept = rows.join(F.broadcast(last), "lang").where("h <= last").select("lang", "h", "text")
+    # of each language and part of the hashes the smallest ones, without their texts: no language meets in one task
+    parts = rows.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    own = Window.partitionBy("lang", "part").orderBy("h")
+    firsts = parts.select("lang", "part", "h").distinct().withColumn("n", F.row_number().over(own)).where(F.col("n") <= PER_LANGUAGE // PARTS)
+    last = firsts.groupBy("lang", "part").agg(F.max("h").alias("last")).join(F.broadcast(languages), "lang", "left_semi")
+    kept = parts.join(F.broadcast(last), ["lang", "part"]).where("h <= last").select("lang", "h", "text")
 
     def run(frames):
         for frame in frames:
