@@ -31,7 +31,7 @@ CENTROIDS = 4
 PER_LANGUAGE = 1024
 PARTS = 64
 MAX_LANGUAGES = 64
-REJECT = 0.7
+REJECT = 0.5
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ALPHA = re.compile(r"[^\W\d_]")
