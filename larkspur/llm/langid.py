@@ -5,7 +5,8 @@ everything but letters is a space), scaled to length one.  Each language has
 several centroids (spherical k-means of its training vectors); the prediction
 is the language of the centroid with the largest cosine.  A text is rejected
 when that cosine is below what training texts of its length reach
-(`REJECT` of the least one seen), or when it has no letter.
+(`REJECT` of the least one seen), or when it has no letter; a text of fewer than
+ENOUGH n-grams is too short to be rejected by its distance.
 
 The fit uses at most PER_LANGUAGE labelled documents of each of at most
 MAX_LANGUAGES languages: in each of PARTS parts of the hashes of their texts, the
@@ -32,6 +33,8 @@ PER_LANGUAGE = 1024
 PARTS = 64
 MAX_LANGUAGES = 64
 REJECT = 0.5
+#: n-grams under which a text is too short to be rejected by distance
+ENOUGH = 32
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ALPHA = re.compile(r"[^\W\d_]")
@@ -109,7 +112,7 @@ class Centroids:
             cosine = x @ self.centroids.T
             for i, best, value in zip(part, cosine.argmax(1), cosine.max(1), strict=True):
                 langs[i], scores[i] = self.languages[self.owner[best]], float(min(1, max(0, value)))
-                rejected[i] = bool(value < self.least[min(39, int(np.log2(max(1, counts[i].sum()))))])
+                rejected[i] = bool(counts[i].sum() >= ENOUGH and value < self.least[min(39, int(np.log2(max(1, counts[i].sum()))))])
         return langs, scores, rejected
 
 
