@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import append
+from larkspur.llm.common import append, batches_of, trim
 
 DIMS = 2048
 CENTROIDS = 4
@@ -129,11 +129,12 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang:
     kept = parts.join(F.broadcast(last), ["lang", "part"]).where("h <= last").select("lang", "h", "text")
 
     def run(frames):
-        for frame in frames:
+        for frame in batches_of(frames, 256):
             counts = [ngram_counts(t) for t in frame["text"]]
             keep = [i for i, c in enumerate(counts) if c is not None]
             out = frame.iloc[keep][["lang", "h"]].copy()
             yield out.assign(v=[vector(counts[i]).astype(np.float16).tobytes() for i in keep], total=[int(counts[i].sum()) for i in keep])
+        trim()
 
     # equal texts count once
     found = kept.mapInPandas(run, "lang string, h long, v binary, total long").groupBy("lang", "h").agg(F.min_by("v", "total").alias("v"), F.min("total").alias("total"))
