@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import threading
+import time
+import uuid
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.operators import ingest, maintenance, search, timeline
+from larkspur.operators import filters, ingest, maintenance, search, timeline
 from larkspur.schema import Settings
 from larkspur.sources import files as file_source
 from larkspur.sources.store import Store
+from larkspur.streaming.tasks import TaskTable, runs_async
 
 
 @dataclass
@@ -24,7 +28,7 @@ class Engine:
     settings: Settings = field(default_factory=Settings)
 
     def __post_init__(self):
-        self.store = Store(self.spark, self.path)
+        self.store, self.tasks = Store(self.spark, self.path), TaskTable()
 
     @property
     def memory(self) -> DataFrame:
@@ -118,6 +122,51 @@ class Engine:
         self.store.replace(after)
         return stats
 
+    def ingest_task(self, root: str, repository: str, branch: str, now: str, force: bool = False, **options) -> str | DataFrame:
+        """Small folders at once (their stats), larger ones in a thread of their own (the task's id); one task for each repository."""
+        rows = file_source.walk(self.spark, root, **options).select("path")
+        files = rows.count()
+        if not runs_async(files, force):
+            return self.ingest(root, repository, branch, now, **options)
+        task = self.tasks.create(uuid.uuid4().hex[:8], repository, total=files).task_id
+
+        def work():
+            self.tasks.update(task, status="running")
+            try:
+                stats = self.ingest(root, repository, branch, now, **options).first().asDict()
+                self.tasks.update(task, processed=files)
+                self.tasks.complete(task, time.time(), stats)
+            except Exception as e:  # whatever fails is the task's result
+                self.tasks.fail(task, time.time(), str(e))
+
+        threading.Thread(target=work, daemon=True, name=f"ingest-{task}").start()
+        return task
+
+    def purge(self, before: str | None = None, after: str | None = None, dry_run: bool = True, **equal) -> int:
+        """How many rows match; unless dry_run they go, and only their leaves are rewritten."""
+        return self._delete_where(filters.all_of(**equal) & filters.purge_window(before, after), dry_run)
+
+    def purge_deprecated(self, cutoff: str, dry_run: bool = True) -> int:
+        return self._delete_where(filters.retention_expired(cutoff), dry_run) if "deprecated_at" in self.memory.columns else 0
+
+    def delete_by_type(self, kind: str, repository: str | None = None) -> int:
+        return self._delete_where(filters.all_of(type=kind, repository=repository), False)
+
+    def _delete_where(self, where: Column, dry_run: bool) -> int:
+        ids = self.memory.where(where).select("id")
+        n = ids.count()
+        if n and not dry_run:
+            self.store.delete(ids)
+        return n
+
+    def configure(self, **changes) -> dict:
+        """Changes settings within their bounds; returns what is in force."""
+        self.settings = self.settings.with_(**changes)
+        return asdict(self.settings)
+
+    def status(self) -> DataFrame:
+        return maintenance.browse_counts(self.memory if "language" in self.memory.columns else self.memory.withColumn("language", F.lit(None).cast("string")))
+
     def cleanup(self, existing: DataFrame, repository: str, dry_run: bool = True) -> DataFrame:
         m = self.memory.where(F.col("repository") == repository)
         orphans = {k: maintenance.orphan_files(m, existing, (k,)).select("id") for k in ("file_metadata", "dependency")}

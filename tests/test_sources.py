@@ -159,6 +159,10 @@ def test_engine_from_ingest_to_cleanup(spark, project, tmp_path):
     assert e.focus_of("repo") is None
     with pytest.raises(ValueError):
         e.complete_initiative("Ship", "repo", "again", NOW)
+    assert e.configure(top_k_rerank=99)["top_k_rerank"] == 50
+    assert e.purge(before="2024-01-01", type="note") == 0 and e.purge(before="2025-01-01", type="note", dry_run=False) == 1
+    assert e.memory.where("type = 'note'").count() == 0 and e.purge_deprecated("2025-01-01") == 0
+    assert {r["value"]: r["count"] for r in e.status().where("dimension = 'type'").collect()}["initiative"] == 1
     totals = {r["kind"]: r["count"] for r in e.cleanup(spark.createDataFrame([("src/api.py",)], "path string"), "repo", dry_run=False).collect()}
     assert totals["insight"] == 1 and e.memory.where("type = 'insight'").count() == 0
 
@@ -276,3 +280,19 @@ def test_a_change_rewrites_only_its_leaves(spark, tmp_path):
     assert sorted((r["id"], r["text"]) for r in s.read().collect()) == [("a", "moved"), ("b", "2"), ("c", "3")]
     s.delete(make([("c", None, "insight", "")]))
     assert sorted(r["id"] for r in s.read().collect()) == ["a", "b"]
+
+
+def test_ingest_in_a_task(spark, project, tmp_path):
+    import time
+
+    e = Engine(spark, str(tmp_path / "memory"))
+    task = e.ingest_task(project, "repo", "main", NOW, force=True)
+    for _ in range(600):
+        found = e.tasks.poll(task)
+        if found.status not in ("pending", "running"):
+            break
+        time.sleep(0.1)
+    assert found.status == "completed" and found.result["processed"] == 3 and found.progress == 100.0
+    assert e.tasks.poll(task) is None
+    again = e.ingest_task(project, "repo", "main", NOW).first()
+    assert (again["scanned"], again["processed"]) == (4, 0)  # files without rows have no stored hash
