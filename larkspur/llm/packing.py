@@ -253,7 +253,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (with a length column, 1 to capacity) plus sequence_id and offset.  rows is read twice: cut it first."""
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = Slots(local_search(best_fit(counts, capacity), capacity))
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS), min(64, sum(counts.values()) // 50_000))
+    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS), min(64, sum(counts.values()) // 2000))
     salted = rows.withColumn("__bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)))
     own = Window.partitionBy("length", "__bucket").orderBy(*[c for c in rows.columns if c != "length"])
     ranked = salted.withColumn("__rank", F.row_number().over(own).cast("long") - 1)
