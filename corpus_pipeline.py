@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, jaccard, langid, packing, quality
-from larkspur.llm.common import ensure_checkpoint_dir, fold, table
+from larkspur.llm.common import ensure_checkpoint_dir, fold, small_batches, table
 from larkspur.llm.queries import CUTOFF, tokenizer_path
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """docs with neutral column names, so that none clashes; the names of id and text."""
+    small_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
 

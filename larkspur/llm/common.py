@@ -17,7 +17,19 @@ _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
 
+#: rows of an Arrow batch of texts; Spark's default of 10,000 holds tens of MB in each of several buffers
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
