@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from larkspur.schema import COMPLETION_WORDS
 
-# Fixed value: white space and the characters that separate code words.
-SEPARATOR_CLASS = r"""[\s.,;:()\[\]{}"'`#@!?<>=+\-*/\\|&\^]+"""
+# White space, as Unicode has it, and the characters that separate code words.
+SPACE = r" \t\n\r\f\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = r""".,;:()\[\]{}"'`#@!?<>=+\-*/\\|&\^"""
 
 
 def tokenize_code(text: Column) -> Column:
-    """Words split at white space and punctuation, camelCase and snake_case; lower case; no empty ones."""
-    words = F.split(text, "(?U)" + SEPARATOR_CLASS)
-    parts = F.transform(words, lambda w: F.split(F.lower(F.regexp_replace(w, "([a-z])([A-Z])", "$1_$2")), "_"))
-    return F.filter(F.flatten(parts), lambda t: t != "")
+    """Words split at white space and punctuation, camelCase and snake_case; lower case; no empty ones.
+
+    The text is marked, lowered and split as a whole, by functions without
+    lambdas, so that it stays in generated code.
+    """
+    marked = F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1_$2"))
+    return F.array_remove(F.split(marked, f"[_{SPACE}{SEPARATORS}]+"), "")
 
 
 # Patterns of our own for well-known secret shapes, most specific first.

@@ -66,7 +66,7 @@ def score_all(docs: DataFrame, query: str, text: str = "text", stats: Stats | No
     stats = stats or (corpus_stats(docs, terms, text) if terms else Stats(0, 0.0, {}))
 
     def part(q: str) -> Column:
-        tf = F.size(F.filter("__t", lambda t: t == q)).cast("double")
+        tf = (F.size("__t") - F.size(F.array_remove("__t", q))).cast("double")
         return F.lit(stats.idf[q] * terms.count(q)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("__t") / F.lit(stats.avgdl)))
 
     total = sum((part(q) for q in sorted(set(terms)) if q in stats.idf), F.lit(0.0))
