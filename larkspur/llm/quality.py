@@ -75,7 +75,7 @@ def features(text: str | None) -> np.ndarray:
         x[GROUPS + 9] = len(np.unique(pairs)) / len(pairs)
     if lines:
         x[GROUPS + 10] = len(set(lines)) / len(lines)
-        x[GROUPS + 11] = min(1.0, np.mean([len(s) for s in lines[:1000]]) / 500)
+        x[GROUPS + 11] = min(1.0, sum(map(len, lines)) / len(lines) / 500)
     return x
 
 

@@ -93,6 +93,13 @@ def test_prior_is_found_from_tails():
     assert abs(quality.estimate_prior(bins(p), bins(u)) - 0.7) < 0.05
 
 
+def test_line_length_reads_all_lines():
+    short, long = ["junk"] * 1000, ["x" * 400] * 1000
+    line_length = lambda lines: quality.features("\n".join(lines))[-1]
+    assert line_length(short) == pytest.approx(4 / 500)
+    assert line_length(short + long) == line_length(long + short) == pytest.approx(202 / 500)
+
+
 # ---- packing
 
 
