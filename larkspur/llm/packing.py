@@ -18,8 +18,10 @@ sequences; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import cached_property, lru_cache
 
@@ -34,8 +36,6 @@ CAPACITY = 1024
 END_ID = 2
 #: pieces of one length that one task ranks
 BUCKET_ROWS = 2_000_000
-#: trades that the search tries; each acts on all bins of a pattern at once
-TRADES = 4000
 
 
 class Encoder:
@@ -153,41 +153,54 @@ def _take(open_, pattern, n, capacity):
         del group[pattern]
 
 
-def local_search(patterns: dict[tuple[int, ...], int], capacity: int, trades: int = TRADES) -> dict[tuple[int, ...], int]:
-    """Trade between underfull bins, emptiest first, while that raises the sum of squared fills."""
-    bins = {tuple(sorted(p, reverse=True)): 0 for p in patterns}
+def local_search(patterns: dict[tuple[int, ...], int], capacity: int) -> dict[tuple[int, ...], int]:
+    """Trade between underfull bins, emptiest first, until no trade raises the sum of squared fills.
+
+    That sum rises with each trade, so the search ends.  No two settled patterns
+    have a trade; a pattern is tried against all of them before it joins them.
+    """
+    bins: dict[tuple[int, ...], int] = defaultdict(int)
     for p, n in patterns.items():
         bins[tuple(sorted(p, reverse=True))] += n
     total = sum(sum(p) * n for p, n in bins.items())
-    least = -(-total // capacity)
-    done: set = set()
-    for _ in range(trades):
-        if sum(bins.values()) <= least:
-            break
-        under = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
+    spare = sum(bins.values()) - -(-total // capacity)
+    waiting = [(sum(p), p) for p in bins if sum(p) < capacity]
+    heapq.heapify(waiting)
+    settled: list = []  # (fill, pattern), ascending
+
+    def leave(p):
+        at = bisect_left(settled, (sum(p), p))
+        if at < len(settled) and settled[at][1] == p:
+            del settled[at]
+
+    while waiting and spare > 0:
+        fill, new = heapq.heappop(waiting)
+        leave(new)
+        if not bins.get(new):
+            continue
         trade = None
-        for a in under[:64]:
-            for b in reversed(under):
-                if (a, b) in done or (a == b and bins[a] < 2) or sum(b) < sum(a):
-                    continue
-                trade = _trade(a, b, capacity)
-                if trade:
-                    break
-                done.add((a, b))
+        for other_fill, other in [*([(fill, new)] if bins[new] > 1 else []), *reversed(settled)]:
+            pairs = [(new, other)] if fill < other_fill else [(other, new)] if other_fill < fill else [(new, other), (other, new)]
+            a, b, trade = next(((a, b, t) for a, b in pairs if (t := _trade(a, b, capacity))), (new, other, None))
             if trade:
                 break
         if not trade:
-            break
-        a2, b2 = trade
+            insort(settled, (fill, new))
+            continue
         n = bins[a] // 2 if a == b else min(bins[a], bins[b])
         for p in (a, b):
             bins[p] -= n
             if not bins[p]:
-                del bins[p]
-        for p in (a2, b2):
+                leave(p)
+        for p in trade:
             if p:
-                bins[p] = bins.get(p, 0) + n
-    return bins
+                bins[p] += n
+                if sum(p) < capacity:
+                    heapq.heappush(waiting, (sum(p), p))
+            else:
+                spare -= n
+        heapq.heappush(waiting, (fill, new))
+    return {p: n for p, n in bins.items() if n}
 
 
 def _trade(a: tuple[int, ...], b: tuple[int, ...], capacity: int):

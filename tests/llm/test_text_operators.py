@@ -173,6 +173,21 @@ def test_local_search_empties_bins():
     assert sum(packing.local_search({(6, 2): 1, (5, 3): 1, (4,): 1}, 10).values()) == 2
 
 
+def test_local_search_ends_without_a_trade_left():
+    # 100 bins that nothing fits come first, then two that make one
+    stuck = {(401 + i,): 1 for i in range(100)}
+    assert sum(packing.local_search(stuck | {(510, 10): 1, (490, 5): 1}, 1000).values()) < 102
+    rng = np.random.default_rng(6)
+    start = packing.best_fit({int(k): int(rng.integers(1, 40)) for k in rng.choice(np.arange(250, 900), 400, replace=False)}, 1024)
+    end = packing.local_search(start, 1024)
+    under = [p for p in end if sum(p) < 1024]
+    assert len(under) > 64
+    for a in under:
+        for b in under:
+            if sum(a) <= sum(b) and (a != b or end[a] > 1):
+                assert packing._trade(a, b, 1024) is None
+
+
 # ---- chat
 
 
