@@ -8,9 +8,11 @@ when that cosine is below what training texts of its length reach
 (`REJECT` of the least one seen), or when it has no letter; a text of fewer than
 ENOUGH n-grams is too short to be rejected by its distance.
 
-The fit uses at most PER_LANGUAGE labelled documents of each of at most
-MAX_LANGUAGES languages: in each of PARTS parts of the hashes of their texts, the
-smallest ones.
+The document frequencies and the least cosines are counted over all training
+rows, and every language is fitted.  Only the k-means of a language uses a sample
+of at most PER_LANGUAGE of its documents: in each of PARTS parts of the hashes of
+their texts, the smallest ones.  It runs where the sample is; the driver gets the
+CENTROIDS centroids of each language (32 kB).
 
 Defined results: a null text or one without letters is `und`, score 0,
 rejected; with no training rows all texts are `und`; repeated rows give
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ DIMS = 2048
 CENTROIDS = 4
 PER_LANGUAGE = 1024
 PARTS = 64
-MAX_LANGUAGES = 64
 REJECT = 0.5
+SIZES = 40
 #: n-grams under which a text is too short to be rejected by distance
 ENOUGH = 32
 
@@ -64,41 +67,20 @@ def vector(counts: np.ndarray) -> np.ndarray:
     return np.log1p(counts, dtype=np.float32)
 
 
+def size_of(counts: np.ndarray) -> int:
+    """The power of two of the number of n-grams, under SIZES."""
+    return min(SIZES - 1, int(np.log2(max(1, counts.sum()))))
+
+
 class Centroids:
     def __init__(self, idf: np.ndarray, languages: list[str], owner: np.ndarray, centroids: np.ndarray, least: np.ndarray):
         self.idf, self.languages, self.owner, self.centroids, self.least = idf, languages, owner, centroids, least
 
-    @staticmethod
-    def fit(languages: list[str], vectors: np.ndarray, totals: np.ndarray) -> Centroids:
-        if not len(languages):
-            return Centroids(np.ones(DIMS, np.float32), [], np.empty(0, int), np.empty((0, DIMS), np.float32), np.zeros(40))
-        names = sorted(set(languages))
-        idf = np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(0))).astype(np.float32) + 1
-        x = vectors.astype(np.float32) * idf
+    def cosines(self, counts: list[np.ndarray]) -> np.ndarray:
+        """Of each counts array the cosine with each centroid."""
+        x = np.stack([vector(c) for c in counts]) * self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        y = np.array([names.index(a) for a in languages])
-        owner, centroids = [], []
-        for k in range(len(names)):
-            own = x[y == k]
-            c = own[:: max(1, len(own) // CENTROIDS)][:CENTROIDS].copy()
-            for _ in range(8):
-                near = (own @ c.T).argmax(1)
-                for j in range(len(c)):
-                    if (near == j).any():
-                        c[j] = own[near == j].mean(0)
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-            centroids.append(c)
-            owner += [k] * len(c)
-        model = Centroids(idf, names, np.array(owner), np.concatenate(centroids), np.zeros(40))
-        best = (x @ model.centroids.T).max(1)
-        size = np.log2(np.maximum(totals, 1)).astype(int)
-        least = np.full(40, best.min())
-        for b in range(40):
-            # a text that is at least as long as others reaches at least the least of them
-            if (size <= b).any():
-                least[b] = best[(size >= b)].min() if (size >= b).sum() >= 50 else least[b - 1]
-        model.least = np.minimum.accumulate(least[::-1])[::-1] * REJECT
-        return model
+        return x @ self.centroids.T
 
     def predict(self, texts) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether it is rejected, of a few texts at a time."""
@@ -107,25 +89,93 @@ class Centroids:
         known = [i for i, c in enumerate(counts) if c is not None] if self.languages else []
         for at in range(0, len(known), 512):
             part = known[at : at + 512]
-            x = np.stack([vector(counts[i]) for i in part]) * self.idf
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            cosine = x @ self.centroids.T
+            cosine = self.cosines([counts[i] for i in part])
             for i, best, value in zip(part, cosine.argmax(1), cosine.max(1), strict=True):
                 langs[i], scores[i] = self.languages[self.owner[best]], float(min(1, max(0, value)))
-                rejected[i] = bool(counts[i].sum() >= ENOUGH and value < self.least[min(39, int(np.log2(max(1, counts[i].sum()))))])
+                rejected[i] = bool(counts[i].sum() >= ENOUGH and value < self.least[size_of(counts[i])])
         return langs, scores, rejected
 
 
+def k_means(vectors: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The spherical centroids of one language."""
+    x = vectors.astype(np.float32) * idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    c = x[:: max(1, len(x) // CENTROIDS)][:CENTROIDS].copy()
+    for _ in range(8):
+        near = (x @ c.T).argmax(1)
+        for j in range(len(c)):
+            if (near == j).any():
+                c[j] = x[near == j].mean(0)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return c
+
+
+def least_cosines(smallest: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each size the cosine under which a text is rejected, from the least one and the rows of each size."""
+    least = np.full(SIZES, smallest.min())
+    for b in range(SIZES):
+        # a text that is at least as long as others reaches at least the least of them
+        if rows[: b + 1].any():
+            least[b] = smallest[b:].min() if rows[b:].sum() >= 50 else least[b - 1]
+    return np.minimum.accumulate(least[::-1])[::-1] * REJECT
+
+
+def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Training rows with a letter, and how many of them hold each n-gram."""
+
+    def run(batches):
+        n, df = 0, np.zeros(DIMS, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                counts = ngram_counts(value.as_py())
+                if counts is not None:
+                    n, df = n + 1, df + (counts > 0)
+        trim()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([*range(DIMS), -1], pa.int32()), pa.array([*df.tolist(), n], pa.int64())], names=["gram", "n"])
+
+    total = np.zeros(DIMS + 1, np.int64)
+    for r in rows.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
+        total[r["gram"]] = r["n"]
+    return int(total[-1]), total[:-1]
+
+
+def _smallest_cosines(rows: DataFrame, model: Centroids) -> tuple[np.ndarray, np.ndarray]:
+    """Of each size the least of the best cosines of all training rows, and the number of rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        smallest, n = np.full(SIZES, np.inf), np.zeros(SIZES, np.int64)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                counts = [c for v in whole.column(0)[low : low + 256] if (c := ngram_counts(v.as_py())) is not None]
+                if counts:
+                    sizes = np.array([size_of(c) for c in counts])
+                    np.minimum.at(smallest, sizes, shared.value.cosines(counts).max(1))
+                    np.add.at(n, sizes, 1)
+        trim()
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(smallest[seen], pa.float64()), pa.array(n[seen], pa.int64())], names=["size", "least", "n"])
+
+    smallest, n = np.full(SIZES, np.inf), np.zeros(SIZES, np.int64)
+    for r in rows.select("text").mapInArrow(run, "size int, least double, n long").groupBy("size").agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect():  # SIZES rows at most
+        smallest[r["size"]], n[r["size"]] = r["least"], r["n"]
+    return smallest, n
+
+
 def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang") -> Centroids:
     rows = docs.where(train) if train is not None else docs
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # with a letter, as _ALPHA
+    n, df = _document_frequencies(rows)
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
+    if not n:
+        return Centroids(idf, [], np.empty(0, int), np.empty((0, DIMS), np.float32), np.zeros(SIZES))
     # of each language and part of the hashes the smallest ones, without their texts: no language meets in one task
-    parts = rows.withColumn("part", F.pmod("h", F.lit(PARTS)))
-    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    parts = rows.withColumn("h", F.xxhash64("text")).withColumn("part", F.pmod("h", F.lit(PARTS)))
     own = Window.partitionBy("lang", "part").orderBy("h")
     firsts = parts.select("lang", "part", "h").distinct().withColumn("n", F.row_number().over(own)).where(F.col("n") <= PER_LANGUAGE // PARTS)
-    last = firsts.groupBy("lang", "part").agg(F.max("h").alias("last")).join(F.broadcast(languages), "lang", "left_semi")
+    last = firsts.groupBy("lang", "part").agg(F.max("h").alias("last"))
     kept = parts.join(F.broadcast(last), ["lang", "part"]).where("h <= last").select("lang", "h", "text")
 
     def run(frames):
@@ -133,14 +183,26 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang:
             counts = [ngram_counts(t) for t in frame["text"]]
             keep = [i for i, c in enumerate(counts) if c is not None]
             out = frame.iloc[keep][["lang", "h"]].copy()
-            yield out.assign(v=[vector(counts[i]).astype(np.float16).tobytes() for i in keep], total=[int(counts[i].sum()) for i in keep])
+            yield out.assign(v=[vector(counts[i]).astype(np.float16).tobytes() for i in keep])
         trim()
 
-    # equal texts count once
-    found = kept.mapInPandas(run, "lang string, h long, v binary, total long").groupBy("lang", "h").agg(F.min_by("v", "total").alias("v"), F.min("total").alias("total"))
-    got = found.toPandas().sort_values(["lang", "h"])
-    vectors = np.stack([np.frombuffer(v, np.float16) for v in got["v"]]).astype(np.float32) if len(got) else np.empty((0, DIMS), np.float32)
-    return Centroids.fit(got["lang"].tolist(), vectors, got["total"].to_numpy())
+    def centroids(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("h")
+        c = k_means(np.stack([np.frombuffer(v, np.float16) for v in frame["v"]]), idf)
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "c": [c.tobytes()]})
+
+    # equal texts count once in the sample
+    found = kept.mapInPandas(run, "lang string, h long, v binary").groupBy("lang", "h").agg(F.min("v").alias("v"))
+    got = sorted(found.groupBy("lang").applyInPandas(centroids, "lang string, c binary").collect())
+    if not got:
+        return Centroids(idf, [], np.empty(0, int), np.empty((0, DIMS), np.float32), np.zeros(SIZES))
+    each = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in got]
+    owner = np.repeat(np.arange(len(each)), [len(c) for c in each])
+    model = Centroids(idf, [r["lang"] for r in got], owner, np.concatenate(each), np.zeros(SIZES))
+    model.least = least_cosines(*_smallest_cosines(rows, model))
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:

@@ -369,6 +369,22 @@ def test_language_odd_rows(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_every_language_and_all_training_rows_count(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for k in range(70)}
+    rows = [(" ".join(rng.choice(w) for _ in range(30)), lang) for lang, w in words.items() for _ in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == sorted(words)
+    assert model.predict([t for t, _ in rows])[0] == [lang for _, lang in rows]
+    many = [(" ".join(rng.choice(words["l00"]) for _ in range(30)), "l00") for _ in range(langid.PER_LANGUAGE + 500)]
+    model = langid.fit(spark.createDataFrame(many, "text string, lang string"))
+    counts = [langid.ngram_counts(t) for t, _ in many]
+    df = (np.array(counts) > 0).sum(0)
+    assert np.allclose(model.idf, np.log((1 + len(many)) / (1 + df)) + 1, rtol=1e-5)
+    assert model.least.min() == pytest.approx(langid.REJECT * model.cosines(counts).max(1).min(), rel=1e-4)
+
+
 def test_ngrams_in_pieces(monkeypatch):
     text = "the quick brown fox " * 40
     whole = langid.ngram_counts(text)
