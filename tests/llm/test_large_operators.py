@@ -307,6 +307,29 @@ def test_turned_copy_is_found():
     assert found and abs(abs(found[0][4]) - math.pi / 2) < 0.1
 
 
+def test_strong_crops_and_equal_images_are_found(spark):
+    rng = np.random.default_rng(11)
+    base = [media.decode(media.render(rng.normal(0, 0.12, 64))) for _ in range(40)]
+    pgm = lambda image: bytearray(b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + media.pixels_of(image).tobytes())
+    crops = []
+    for image in base:
+        top, left = rng.integers(0, 35, 2)
+        crops.append(image[top : top + 62, left : left + 62] * 0.9 + 5 + rng.normal(0, 1, (62, 62)))
+    flat, tiny = np.full((60, 60), 80.0), rng.integers(0, 256, (9, 9)).astype(float)
+    images = spark.createDataFrame([(i, pgm(image)) for i, image in enumerate([*base, flat, tiny])], "id long, image binary")
+    asked = spark.createDataFrame([(i, pgm(image)) for i, image in enumerate([*crops, flat, tiny])], "query_id long, image binary")
+    got = sorted((r["query_id"], r["id"]) for r in media.find_copies(images, asked).collect())
+    assert all(q == i for q, i in got) and {(40, 40), (41, 41)} <= set(got) and len(got) >= 36
+
+
+def test_pixels_tell_copies_from_others():
+    rng = np.random.default_rng(12)
+    one, other = (media.decode(media.render(rng.normal(0, 0.12, 64))) for _ in range(2))
+    crop = one[10:70, 20:80] * 0.8 + 12
+    assert media.alike(crop, one, 1.0, 0.0, 20.0, 10.0) and media.alike(crop, one, 1.0, 0.0, 21.0, 9.0)
+    assert not media.alike(crop, other, 1.0, 0.0, 20.0, 10.0) and not media.alike(crop, one, 1.0, 0.0, 70.0, 10.0)
+
+
 # ---- pipeline
 
 
