@@ -14,10 +14,10 @@ that the untrained model is the class-factored unigram model.
 
 Training is truncated backpropagation through time: STREAMS texts side by side
 in windows of WINDOW tokens, the state carried from window to window.  Every
-training document whose hash falls in the share of 1 in SHARE is used, on the
-executors, each over its own partition; after each of ROUNDS rounds the weights
-are averaged, weighted by tokens.  What is counted and trained on grows with
-the input.
+training document is used once, in one of ROUNDS rounds by its hash, on the
+executors, each over its own partition; after each round the weights are
+averaged, weighted by tokens.  The last stream is padded to the length of the
+others; padding has no loss.
 
 Scoring runs the whole of each document, window after window, with the state
 carried across; the tail's counts are joined in Spark.
@@ -49,7 +49,6 @@ SHAPE_BITS = 6
 SHAPES, TAILS = 1 << SHAPE_BITS, 8
 HIDDEN = 16
 STREAMS, WINDOW = 64, 16
-SHARE = 8
 ROUNDS = 2
 FAN = 16
 RATE = 0.08
@@ -189,14 +188,10 @@ class Gru:
     def train(self, inputs: np.ndarray, ranks: np.ndarray, fresh: np.ndarray, rate: float = RATE) -> None:
         """One pass of truncated backpropagation; fresh marks the first token of a text."""
         v, H = self.v, HIDDEN
-        length = len(inputs) // STREAMS
-        if not length:
-            streams, length = 1, len(inputs)
-        else:
-            streams = STREAMS
-        x = inputs[: streams * length].reshape(streams, length)
-        y = ranks[: streams * length].reshape(streams, length)
-        new = fresh[: streams * length].reshape(streams, length)
+        streams = STREAMS if len(inputs) >= STREAMS else 1
+        length = -(-len(inputs) // streams)
+        padded = lambda a: np.concatenate([a, np.zeros(streams * length - len(a), a.dtype)]).reshape(streams, length)
+        x, y, new, real = padded(inputs), padded(ranks), padded(fresh), padded(np.ones(len(inputs), bool))
         seen = {k: np.full(getattr(self, k).shape, 1e-4, np.float32) for k in self.NAMES}
         h = np.zeros((streams, H), np.float32)
         for at in range(0, length, WINDOW):
@@ -209,6 +204,8 @@ class Gru:
                 trace.append((h0, z, r, un, n, go))
                 states.append(h)
             S, Y = np.concatenate(states), np.concatenate([y[:, t] for t in steps])
+            own_loss = np.concatenate([real[:, t] for t in steps])
+            S, Y = S[own_loss], Y[own_loss]
             grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
             count = len(Y)
             klass = v.klass_of(Y)
@@ -234,6 +231,9 @@ class Gru:
                     grad["Wv"][:, low:high], grad["bv"][low:high] = S[own].T @ q, q.sum(0)
                     dS[own] += q @ self.Wv[:, low:high].T
                 start = end
+            whole = np.zeros((len(own_loss), H), dS.dtype)
+            whole[own_loss] = dS
+            dS = whole
             dh = np.zeros_like(h)
             gates, who = [], []
             for k in range(len(trace) - 1, -1, -1):
@@ -351,11 +351,11 @@ def _head(counts: DataFrame) -> Vocabulary:
 
 
 def _trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> bytes:
-    """Weights after `rounds` rounds over the share of texts, averaged over partitions."""
+    """Weights after `rounds` rounds, each over its part of the texts, averaged over partitions."""
     sc = texts.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
     weights = Gru(vocabulary).weights()
-    spot = F.pmod(F.xxhash64("text"), F.lit(SHARE * rounds))
+    spot = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for turn in range(rounds):
         sent = sc.broadcast(weights)
 

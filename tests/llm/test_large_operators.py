@@ -231,6 +231,30 @@ def test_base_scores_equal_brute_force(spark, monkeypatch, head):
     assert all(r["score"] < 0 and r["held_out"] == held(r["doc_id"]) for r in got)
 
 
+def test_every_training_token_is_trained_on(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(i % 9 + 3)) for i in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    vocabulary = lm._head(lm._counts(df, 8))
+    seen = spark.sparkContext.accumulator(0)
+    train = lm.Gru.train
+    monkeypatch.setattr(lm, "Gru", type("Gru", (lm.Gru,), {"train": lambda self, x, rank, fresh: (seen.add(len(rank)), train(self, x, rank, fresh))[1]}))
+    lm._trained(df, vocabulary)
+    assert seen.value == sum(len(t.split()) + 1 for t in texts)
+
+
+def test_the_end_of_the_last_stream_is_trained_on():
+    v = model_of({i + 1: 50 - i for i in range(40)} | {int(lm.END): 10}, [(99, 5)])
+    n = 2 * lm.STREAMS + 63
+    rank = np.arange(n) % 20
+    change = {}
+    for last in (0, 1):
+        m = lm.Gru(v, seed=4)
+        rank[-1] = 20 + last
+        m.train(v.inputs_of(rank), rank.copy(), np.zeros(n, bool))
+        change[last] = m.bc.copy(), m.bv.copy()
+    assert not all(np.array_equal(a, b) for a, b in zip(change[0], change[1], strict=True))
+
+
 @needs_tables
 def test_the_model_beats_the_base_on_held_out_rows(spark):
     got = queries.op4_lm_score(spark, SF.replace("0.001", "0.01")).where("held_out").toPandas()
