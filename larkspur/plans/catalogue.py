@@ -476,6 +476,16 @@ def display_sort(spark, sf):
     return m.orderBy(F.desc(F.coalesce("updated_at", "created_at", F.lit(""))), "title_key", "id").limit(200).select("id", "title_key")
 
 
+@query
+def display_sort_all(spark, sf):
+    m = memory(spark, sf).select("id", F.lower(F.coalesce("name", F.col("id"))).alias("title_key"), F.coalesce("updated_at", "created_at", F.lit("")).alias("shown_at"))
+    # the rows before each date, one row for each; then places within a date, so that no task sorts all rows
+    earlier = Window.orderBy(F.desc("shown_at")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = m.groupBy("shown_at").count().select("shown_at", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("shown_at").orderBy("title_key", "id")
+    return m.join(starts, "shown_at").select("id", "title_key", (F.col("before") + F.row_number().over(own)).alias("place"))
+
+
 # ---- graph
 
 

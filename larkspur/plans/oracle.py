@@ -234,6 +234,7 @@ mem("migrate_ids", "SELECT CASE WHEN type = 'note' THEN 'session_summary:' || do
 mem("keep_newest", "SELECT repository, id FROM (SELECT repository, id, row_number() OVER (PARTITION BY repository ORDER BY created_at DESC NULLS LAST, id) AS r FROM m) WHERE r <= 4")
 mem("chronological_sort", "SELECT repository, id, row_number() OVER (PARTITION BY repository ORDER BY coalesce(created_at, ''), id) AS place FROM m WHERE type = 'note'")
 mem("display_sort", "SELECT id, lower(coalesce(name, id)) AS title_key FROM m ORDER BY coalesce(created_at, '') DESC, 2, 1 LIMIT 200")
+mem("display_sort_all", "SELECT id, lower(coalesce(name, id)) AS title_key, row_number() OVER (ORDER BY coalesce(created_at, '') DESC, lower(coalesce(name, id)), id) AS place FROM m")
 
 # graph
 _EDGES = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem)"
