@@ -530,14 +530,22 @@ def test_link_name(spark, sf):
     return graph.tests_by_name(tests, f)
 
 
-@query
-def test_link_theta(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 200")
+def _theta_links(p):
     sources = p.select(F.concat(F.lit("src/k"), F.col("p_partkey") % 40, F.lit("z.py")).alias("path")).distinct()
     imports = p.select(F.concat(F.lit("tests/t"), "p_partkey", F.lit(".py")).alias("src"), F.concat(F.lit("app.k"), F.col("p_partkey") % 50, F.lit("zz")).alias("module"))
     return graph.tests_by_import(imports, sources)
 
 
+@query
+def test_link_theta(spark, sf):
+    return _theta_links(table(spark, sf, "part").where("p_partkey <= 200"))
+
+
+@query
+def test_link_theta_all(spark, sf):
+    return _theta_links(table(spark, sf, "part"))
+
+
 @query
 def related_tests(spark, sf):
     p = table(spark, sf, "part")

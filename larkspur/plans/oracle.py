@@ -251,6 +251,10 @@ ORACLE["test_link_theta"] = """
 WITH s AS (SELECT DISTINCT 'k' || (p_partkey % 40) || 'z' AS stem FROM part WHERE p_partkey <= 200), i AS (SELECT p_partkey, 'app.k' || (p_partkey % 50) || 'zz' AS module FROM part WHERE p_partkey <= 200)
 SELECT DISTINCT 'tests/t' || p_partkey || '.py' AS test, 'src/' || stem || '.py' AS source FROM i JOIN s ON contains(module, stem)
 """
+ORACLE["test_link_theta_all"] = """
+WITH s AS (SELECT DISTINCT 'k' || (p_partkey % 40) || 'z' AS stem FROM part), i AS (SELECT p_partkey, 'app.k' || (p_partkey % 50) || 'zz' AS module FROM part)
+SELECT DISTINCT 'tests/t' || p_partkey || '.py' AS test, 'src/' || stem || '.py' AS source FROM i JOIN s ON contains(module, stem)
+"""
 ORACLE["related_tests"] = """
 WITH u AS (SELECT 'test_' || p_partkey AS test, 's' || (p_partkey % 30) AS source FROM part UNION SELECT 'test_' || (p_partkey + 5), 's' || (p_partkey % 30) FROM part)
 SELECT source, string_agg(test, ',' ORDER BY test) AS related_tests FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY test) AS r FROM u) WHERE r <= 10 GROUP BY source
