@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -36,6 +37,9 @@ CAPACITY = 1024
 END_ID = 2
 #: pieces of one length that one task ranks
 BUCKET_ROWS = 2_000_000
+#: white space in a row that tiktoken's pattern is not given: from about half a million characters on it overflows the stack
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(r"(?<!\s)\s{%d}" % LONG_SPACE)
 
 
 class Encoder:
@@ -43,8 +47,8 @@ class Encoder:
 
     A byte-level BPE whose merges are in the order of its ids is run by
     tiktoken over the same vocabulary, which gives the same ids in a quarter of
-    the time; any other file, and texts with a special token's string, go
-    through tokenizers itself.
+    the time; any other file, and texts with a special token's string or
+    LONG_SPACE characters of white space in a row, go through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -80,7 +84,7 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) >= LONG_SPACE and _LONG_SPACE.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -119,6 +119,26 @@ def test_encoder_gives_the_tokenizer_s_ids(tokenizer):
         assert enc.encode(text) == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n\t\u3000"])
+def test_white_space_of_any_length(tokenizer, space):
+    from tokenizers import Tokenizer
+
+    encoder, plain_one = packing.Encoder(tokenizer), Tokenizer.from_file(tokenizer)
+    for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE, 1_000_000):
+        text = "a b" + (space * n)[:n] + "end "
+        assert encoder.encode(text) == plain_one.encode(text, add_special_tokens=False).ids
+
+
+def test_a_megabyte_of_white_space_is_packed(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    text = "start" + " " * 1_000_000 + "end" + "\n" * 1_000_000
+    got = packing.pack_documents(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), tokenizer).collect()
+    parts = sorted((r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in got if r["doc_id"] == 1)
+    ids = np.frombuffer(b"".join(p[3] for p in parts), "<u4").tolist()
+    assert ids == [*Tokenizer.from_file(tokenizer).encode(text, add_special_tokens=False).ids, packing.END_ID] and [p[0] for p in parts] == list(range(len(parts)))
+
+
 def test_packed_pieces_are_whole_and_gapless(spark, tokenizer):
     from tokenizers import Tokenizer
 
