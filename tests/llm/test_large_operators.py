@@ -316,10 +316,14 @@ def test_edited_copies_are_found_and_others_not(spark):
     images = [(i, bytearray(media.render(v)), "x") for i, v in enumerate(vectors)] + [(100, None, "x"), (101, bytearray(b"junk"), "x"), (102, bytearray(b"P5 60 60 255\n" + b"\x50" * 3600), "x")]
     df = spark.createDataFrame(images, "vec_id long, image binary, query_id string")
     asked = spark.createDataFrame([(i, bytearray(media.render(vectors[i], i + 1))) for i in range(0, 40, 4)] + [(500, None)], "query_id long, image binary")
-    got = media.find_copies(df, asked, key="vec_id").collect()
-    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(i, i) for i in range(0, 40, 4)]
-    assert all(abs(r["scale"] - 1) < 0.05 and -0.1 < r["angle"] < 0.1 and r["inliers"] >= media.INLIERS for r in got)
-    assert media.find_copies(df, asked.limit(0), key="vec_id").count() == 0 and media.find_copies(df.limit(0), asked, key="vec_id").count() == 0
+    found, members = media.find_copies(df, asked, key="vec_id")
+    got = found.collect()
+    assert len(got) == 43 and sorted((r["class_id"], r["query_id"], r["vec_id"]) for r in got if r["class_id"] is not None) == [(i, i, i) for i in range(0, 40, 4)]
+    assert all(abs(r["scale"] - 1) < 0.05 and -0.1 < r["angle"] < 0.1 and r["inliers"] >= media.INLIERS for r in got if r["class_id"] is not None)
+    assert sorted(map(tuple, members.collect())) == [(i, i) for i in range(0, 40, 4)]
+    none, nobody = media.find_copies(df, asked.limit(0), key="vec_id")
+    assert none.count() == 43 and none.where("class_id is not null").count() == nobody.count() == 0
+    assert media.find_copies(df.limit(0), asked, key="vec_id")[0].count() == 0
 
 
 def test_turned_copy_is_found():
@@ -327,8 +331,83 @@ def test_turned_copy_is_found():
     image = media.decode(media.render(rng.normal(0, 0.12, 64)))
     p, b = media.describe(image)
     turned = media.describe(np.rot90(image).copy())
-    found = media.Tables(p, b, np.zeros(len(p), int)).search([turned])
-    assert found and abs(abs(found[0][4]) - math.pi / 2) < 0.1
+    found = media.Block([p], [b], [media.pixels_of(image)]).search([turned], [media.pixels_of(np.rot90(image))])
+    assert found and abs(abs(found[0][5]) - math.pi / 2) < 0.1
+
+
+def copies_of(image, rng, n):
+    """Slightly different copies of an image."""
+    return [np.clip(image + rng.normal(0, 2, image.shape), 0, 255) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("block", "many"), [(200_000, 16), (200_000, 2), (300, 2)])
+def test_classes_lose_no_link(spark, monkeypatch, block, many):
+    monkeypatch.setattr(media, "BLOCK", block)
+    monkeypatch.setattr(media, "MANY", many)
+    rng = np.random.default_rng(21)
+    pgm = lambda image: bytearray(b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + media.pixels_of(image).tobytes())
+    base = [media.decode(media.render(rng.normal(0, 0.12, 64))) for _ in range(6)]
+    # a group of many copies, pairs, and images that no query shows; crops of one image that overlap little
+    images = [*copies_of(base[0], rng, 12), *copies_of(base[1], rng, 2), base[2], base[3], base[3]]
+    asked = [*copies_of(base[0], rng, 5), base[1], base[3][:62, :62], base[3][34:, 34:], base[5]]
+    each = [media.describe(media.decode(bytes(pgm(x)))) for x in images]
+    links = set()
+    for q, query in enumerate(asked):
+        p, b = media.describe(media.decode(bytes(pgm(query))))
+        for i, *_ in media.Block([p], [b], [media.pixels_of(query)]).search(each, [media.pixels_of(x) for x in images]):
+            links.add((i, q))
+    assert len(links) >= 12 * 5 + 2 + 4
+    rows = spark.createDataFrame([(i, pgm(x)) for i, x in enumerate(images)], "id long, image binary")
+    queries_of = spark.createDataFrame([(q, pgm(x)) for q, x in enumerate(asked)], "query_id long, image binary")
+    found, members = media.find_copies(rows.repartition(3), queries_of)
+    got, classes = {r["id"]: r["class_id"] for r in found.collect()}, {r["query_id"]: r["class_id"] for r in members.collect()}
+    assert len(got) == len(images) and len(classes) == len(asked)
+    assert all(got[i] == classes[q] for i, q in links)
+    want = graph_classes(links, len(images), len(asked))
+    assert got == {i: want.get(("i", i)) for i in got} and classes == {q: want[("q", q)] for q in classes}
+
+
+def graph_classes(links, n_images, n_queries):
+    """The least query of each part of the link graph, for images that have one and all queries."""
+    parent = {("q", q): q for q in range(n_queries)} | {("i", i): None for i in range(n_images)}
+    changed = True
+    while changed:
+        changed = False
+        for i, q in links:
+            low = min(x for x in (parent["i", i], parent["q", q]) if x is not None)
+            if (parent["i", i], parent["q", q]) != (low, low):
+                parent["i", i] = parent["q", q] = low
+                changed = True
+    return parent
+
+
+def test_repeated_images_have_repeated_rows(spark):
+    image = bytearray(media.render(np.random.default_rng(3).normal(0, 0.12, 64)))
+    rows = spark.createDataFrame([(1, image), (1, image), (None, image)], "id long, image binary")
+    found, members = media.find_copies(rows, spark.createDataFrame([(7, image), (None, image)], "query_id long, image binary"))
+    assert sorted((r["id"] or 0, r["class_id"]) for r in found.collect()) == [(0, 7), (1, 7), (1, 7)]
+    assert {r["class_id"] for r in members.collect()} == {7} and members.count() == 2
+
+
+@pytest.mark.parametrize(("edit", "least"), [("crop 0.8", 0.95), ("crop 0.65", 0.9), ("scale 0.85", 0.9), ("scale 0.7", 0.9), ("turn", 0.95), ("light", 0.95), ("half, 192", 0.9)])
+def test_recall_by_edit(edit, least):
+    rng = np.random.default_rng(5)
+    base = [media.decode(media.render(rng.normal(0, 0.12, 64), cell=24 if "192" in edit else 12)) for _ in range(30)]
+
+    def crop(image, share):
+        side = int(len(image) * share)
+        top, left = rng.integers(0, len(image) - side + 1, 2)
+        return image[top : top + side, left : left + side]
+
+    def smaller(image, by):
+        return media._scaled(image, 1 / by)
+
+    change = {"crop 0.8": lambda x: crop(x, 0.8), "crop 0.65": lambda x: crop(x, 0.65), "half, 192": lambda x: crop(x, 0.5), "scale 0.85": lambda x: smaller(x, 0.85), "scale 0.7": lambda x: smaller(x, 0.7), "turn": np.rot90, "light": lambda x: x * 0.6 + 40}[edit]
+    edited = [media.pixels_of(y + rng.normal(0, 1, y.shape)) for y in map(change, base)]
+    described = [media.describe(x.astype(np.float32)) for x in edited]
+    block = media.Block([p for p, _ in described], [b for _, b in described], edited, np.arange(len(edited)))
+    hits = {(i, q) for i, _, q, *_ in block.search([media.describe(x) for x in base], [media.pixels_of(x) for x in base])}
+    assert sum((i, i) in hits for i in range(len(base))) >= least * len(base) and all(i == q for i, q in hits)
 
 
 def test_strong_crops_and_equal_images_are_found(spark):
@@ -342,7 +421,7 @@ def test_strong_crops_and_equal_images_are_found(spark):
     flat, tiny = np.full((60, 60), 80.0), rng.integers(0, 256, (9, 9)).astype(float)
     images = spark.createDataFrame([(i, pgm(image)) for i, image in enumerate([*base, flat, tiny])], "id long, image binary")
     asked = spark.createDataFrame([(i, pgm(image)) for i, image in enumerate([*crops, flat, tiny])], "query_id long, image binary")
-    got = sorted((r["query_id"], r["id"]) for r in media.find_copies(images, asked).collect())
+    got = sorted((r["class_id"], r["id"]) for r in media.find_copies(images, asked)[0].where("class_id is not null").collect())
     assert all(q == i for q, i in got) and {(40, 40), (41, 41)} <= set(got) and len(got) >= 36
 
 
