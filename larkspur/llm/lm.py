@@ -48,16 +48,19 @@ CLASS = 64
 SHAPE_BITS = 6
 SHAPES, TAILS = 1 << SHAPE_BITS, 8
 HIDDEN = 16
-STREAMS, WINDOW = 64, 16
+STREAMS, WINDOW = 256, 16
 ROUNDS = 2
 FAN = 16
-RATE = 0.08
+RATE = 0.3
 #: the hash that stands for the end token
 END = np.uint64(0xE17D0F7E8D000001)
-#: tokens that a worker gathers before it sends their counts; documents scored side by side
+#: tokens that a worker gathers before it sends their counts; half as many are scored side by side
 GATHER = 4_000_000
-TOGETHER = 2048
+#: documents of a batch of results
+TOGETHER = 512
 STEPS = 32
+#: rows whose softmax stays in a core's cache
+CACHED = 2048
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -81,6 +84,7 @@ class Vocabulary:
     n_by: np.ndarray
     v_by: np.ndarray
     ids: np.ndarray = field(init=False)
+    buckets: tuple | None = field(init=False, default=None)
 
     def __post_init__(self):
         self.n, self.v = int(self.n_by.sum()), int(self.v_by.sum())
@@ -112,13 +116,31 @@ class Vocabulary:
         #: input ids: neural tokens, then one for each shape and tail
         self.inputs = self.neural + SHAPES + TAILS
 
+    def _bucketed(self) -> tuple:
+        """Where the hashes of each value of their first bits start; built where it is used."""
+        bits = max(1, int(len(self.hashes) * 4 - 1).bit_length())
+        shift = np.uint64(64 - bits)
+        starts = np.searchsorted(self.hashes >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        return shift, starts, int(np.diff(starts).max())
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each token, or -1 - tail."""
-        outside = -1 - tail_of(shape_of(hashes))
+        out = -1 - tail_of(shape_of(hashes))
         if not len(self.hashes):
-            return outside
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], outside)
+            return out
+        if self.buckets is None:
+            self.buckets = self._bucketed()
+        shift, starts, longest = self.buckets
+        bucket = (hashes >> shift).astype(np.int32)
+        at, end = starts[bucket], starts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, own = at[left], end[left], hashes[left]
+        for _ in range(longest):
+            same = self.hashes[at] == own
+            out[left[same]] = self.ids[at[same]]
+            more = ~same & (at + 1 < end)
+            left, at, end, own = left[more], at[more] + 1, end[more], own[more]
+        return out
 
     def klass_of(self, rank: np.ndarray) -> np.ndarray:
         tail = self.first_tail - 1 - rank
@@ -133,6 +155,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, most: float, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """exp of states @ w + b, shifted to stay in range, their sums, and the shifted logits at `rows` of each state.
+
+    No entry of a state is over `most`, so the largest logit of any state lies between two
+    bounds; where these are near each other one shift fits all states.
+    """
+    reach = most * np.abs(w).sum(0)
+    top = (b + reach).max()
+    logits = states @ w
+    if top - (b - reach).max() < 60:
+        logits += b - top
+    else:
+        logits += b
+        logits -= logits.max(1, keepdims=True)
+    own = None if rows is None else logits[np.arange(len(logits)), rows]
+    e = np.exp(logits, out=logits)
+    return e, e @ np.ones(e.shape[1], e.dtype), own
+
+
 class Gru:
     """Weights: G (input by gates), U (state by gates), Wc, bc (classes), Wv, bv (tokens in their class)."""
 
@@ -169,90 +210,115 @@ class Gru:
         """Natural log of P(class) * P(token | class) for the neural tokens, of P(class) alone for the others."""
         v = self.v
         klass = v.klass_of(rank)
-        logits = states @ self.Wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(rank)), klass] - np.log(np.exp(logits).sum(1))
-        order = np.argsort(klass, kind="stable")
-        ends = np.searchsorted(klass[order], np.arange(v.n_classes), "right")
+        out = np.empty(len(rank), states.dtype)
+        most = max(1.0, float(np.abs(states).max(initial=0)))
+        for low in range(0, len(rank), CACHED):
+            part = slice(low, low + CACHED)
+            _, total, own = _softmax(states[part], self.Wc, self.bc, most, klass[part])
+            out[part] = own - np.log(total)
+        order, ends = self._by_class(klass)
+        order = order[: ends[-1]] if len(ends) else order[:0]
+        states, rank, inner = states[order], rank[order], np.empty(len(order), states.dtype)
         start = 0
         for c, end in enumerate(ends):
-            if end > start:
-                own = order[start:end]
-                low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
-                logits = states[own] @ self.Wv[:, low:high] + self.bv[low:high]
-                logits -= logits.max(1, keepdims=True)
-                out[own] += logits[np.arange(len(own)), rank[own] - low] - np.log(np.exp(logits).sum(1))
+            low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
+            for at in range(start, end, CACHED):
+                part = slice(at, min(end, at + CACHED))
+                _, total, own = _softmax(states[part], self.Wv[:, low:high], self.bv[low:high], most, rank[part] - low)
+                inner[part] = own - np.log(total)
             start = end
+        out[order] += inner
         return out
 
+    def _by_class(self, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the neural tokens by class, and the end of each class among them."""
+        order = np.argsort(klass.astype(np.int16), kind="stable")
+        return order, np.searchsorted(klass[order], np.arange(self.v.n_classes), "right")
+
     def train(self, inputs: np.ndarray, ranks: np.ndarray, fresh: np.ndarray, rate: float = RATE) -> None:
         """One pass of truncated backpropagation; fresh marks the first token of a text."""
         v, H = self.v, HIDDEN
         streams = STREAMS if len(inputs) >= STREAMS else 1
         length = -(-len(inputs) // streams)
-        padded = lambda a: np.concatenate([a, np.zeros(streams * length - len(a), a.dtype)]).reshape(streams, length)
+        # time by streams, so that a step reads one row
+        padded = lambda a: np.ascontiguousarray(np.concatenate([a, np.zeros(streams * length - len(a), a.dtype)]).reshape(streams, length).T)
         x, y, new, real = padded(inputs), padded(ranks), padded(fresh), padded(np.ones(len(inputs), bool))
+        keep = (~new).astype(np.float32)[:, :, None]
+        kind = self.U.dtype
         seen = {k: np.full(getattr(self, k).shape, 1e-4, np.float32) for k in self.NAMES}
-        h = np.zeros((streams, H), np.float32)
+        h = np.zeros((streams, H), kind)
+        grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         for at in range(0, length, WINDOW):
             steps = range(at, min(length, at + WINDOW))
             trace, states = [], []
             for t in steps:
-                go = (~new[:, t]).astype(np.float32)[:, None]
-                h0 = h * go
-                h, z, r, un, n = self.step(x[:, t], h0)
-                trace.append((h0, z, r, un, n, go))
+                h0 = h * keep[t]
+                h, z, r, un, n = self.step(x[t], h0)
+                trace.append((h0, z, r, un, n))
                 states.append(h)
-            S, Y = np.concatenate(states), np.concatenate([y[:, t] for t in steps])
-            own_loss = np.concatenate([real[:, t] for t in steps])
-            S, Y = S[own_loss], Y[own_loss]
-            grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+            S, Y = np.concatenate(states), y[at : steps.stop].ravel()
+            own_loss = np.flatnonzero(real[at : steps.stop].ravel())
+            whole = len(own_loss) == len(S)
+            every = S
+            if not whole:
+                S, Y = S[own_loss], Y[own_loss]
             count = len(Y)
             klass = v.klass_of(Y)
-            logits = S @ self.Wc + self.bc
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(count), klass] -= 1
-            p /= count
+            p, total, _ = _softmax(S, self.Wc, self.bc, 1.0)
+            p *= (1 / (count * total))[:, None].astype(kind)
+            p[np.arange(count), klass] -= 1 / count
             grad["Wc"], grad["bc"] = S.T @ p, p.sum(0)
             dS = p @ self.Wc.T
-            order = np.argsort(klass, kind="stable")
-            ends = np.searchsorted(klass[order], np.arange(v.n_classes), "right")
+            grad["Wv"][:], grad["bv"][:] = 0, 0
+            order, ends = self._by_class(klass)
+            order = order[: ends[-1]] if len(ends) else order[:0]
+            inner_S, inner_Y, back = S[order], Y[order], np.empty((len(order), H), dS.dtype)
             start = 0
             for c, end in enumerate(ends):
                 if end > start:
-                    own = order[start:end]
                     low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
-                    logits = S[own] @ self.Wv[:, low:high] + self.bv[low:high]
-                    q = np.exp(logits - logits.max(1, keepdims=True))
-                    q /= q.sum(1, keepdims=True)
-                    q[np.arange(len(own)), Y[own] - low] -= 1
-                    q /= count
-                    grad["Wv"][:, low:high], grad["bv"][low:high] = S[own].T @ q, q.sum(0)
-                    dS[own] += q @ self.Wv[:, low:high].T
+                    s, wv = inner_S[start:end], self.Wv[:, low:high]
+                    q, total, _ = _softmax(s, wv, self.bv[low:high], 1.0)
+                    q *= (1 / (count * total))[:, None].astype(kind)
+                    q[np.arange(end - start), inner_Y[start:end] - low] -= 1 / count
+                    grad["Wv"][:, low:high], grad["bv"][low:high] = s.T @ q, q.sum(0)
+                    back[start:end] = q @ wv.T
                 start = end
-            whole = np.zeros((len(own_loss), H), dS.dtype)
-            whole[own_loss] = dS
-            dS = whole
+            dS[order] += back
+            if not whole:
+                spread = np.zeros((len(every), H), dS.dtype)
+                spread[own_loss] = dS
+                dS = spread
             dh = np.zeros_like(h)
-            gates, who = [], []
+            gates, inner, before = [], [], []
             for k in range(len(trace) - 1, -1, -1):
-                h0, z, r, un, n, go = trace[k]
+                h0, z, r, un, n = trace[k]
                 dh = dh + dS[k * streams : (k + 1) * streams]
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h0 - n) * z * (1 - z)
                 dr = dn * un * r * (1 - r)
                 du = np.concatenate([dz, dr, dn * r], 1)
                 gates.append(np.concatenate([dz, dr, dn], 1))
-                who.append(x[:, at + k])
-                grad["U"] += h0.T @ du
-                dh = (dh * z + du @ self.U.T) * go
-            np.add.at(grad["G"], np.concatenate(who), np.concatenate(gates))
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+                inner.append(du)
+                before.append(h0)
+                dh = (dh * z + du @ self.U.T) * keep[at + k]
+            grad["U"] = np.concatenate(before).T @ np.concatenate(inner)
+            # the inputs' rows that this window read
+            who, gates = x[at : steps.stop][::-1].ravel(), np.concatenate(gates)
+            by = np.argsort(who.astype(np.int32), kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], who[by][1:] != who[by][:-1]]))
+            rows, of_rows = who[by][first], np.add.reduceat(gates[by], first)
+            norm = np.sqrt(float((of_rows * of_rows).sum()) + sum(float((g * g).sum()) for k, g in grad.items() if k != "G"))
+            shrink = min(1.0, 1.0 / (norm + 1e-9))
             for k in self.NAMES:
-                g = grad[k] * min(1.0, 1.0 / (norm + 1e-9))
-                seen[k] += g * g
-                setattr(self, k, getattr(self, k) - rate * g / np.sqrt(seen[k]))
+                if k == "G":
+                    g = of_rows * shrink
+                    seen[k][rows] += g * g
+                    self.G[rows] -= rate * g / np.sqrt(seen[k][rows])
+                else:
+                    g = grad[k] * shrink
+                    seen[k] += g * g
+                    setattr(self, k, getattr(self, k) - rate * g / np.sqrt(seen[k]))
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """For each token array: log10 of the model's probability but for the count + 1 of tail tokens; ranks of all tokens, joined."""
@@ -432,22 +498,37 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
 
         v, model = words.value, Gru(words.value).load(sent.value)
         number, part = 0, TaskContext.get().partitionId()
-        for whole in batches:
-            for low in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(low, TOGETHER)
-                texts = [tokens_of(t.as_py()) for t in batch.column(at)]
-                model_log, rank = model.score(texts)
-                sizes = np.array([len(t) for t in texts])
-                starts = np.cumsum(sizes) - sizes
+        held, texts, load = [], [], 0
+
+        def rows():
+            nonlocal number
+            model_logs, ranks = model.score(texts)
+            first = at_token = 0
+            for batch in held:
+                n = batch.num_rows
+                own = texts[first : first + n]
+                sizes = np.array([len(t) for t in own])
+                starts, rank = np.cumsum(sizes) - sizes, ranks[at_token : at_token + int(sizes.sum())]
                 known = rank >= 0
                 logs = np.where(known, v.log10_count[rank], 0) if len(v.log10_count) else np.zeros(len(rank))
-                tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))]).astype(np.int32)), pa.array(signed(np.concatenate(texts)[~known])))
-                n = len(texts)
+                tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))]).astype(np.int32)), pa.array(signed(np.concatenate(own)[~known])))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(number, number + n)), pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), pa.array(model_log), tails],
+                    [*batch.columns[:-1], pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(number, number + n)), pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), pa.array(model_logs[first : first + n]), tails],
                     names=[f.name for f in schema],
                 )
-                number += n
+                number, first, at_token = number + n, first + n, at_token + len(rank)
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(low, TOGETHER)
+                held.append(batch)
+                texts += [tokens_of(t.as_py()) for t in batch.column(at)]
+                load += sum(map(len, texts[-batch.num_rows :]))
+                if load >= GATHER // 2:
+                    yield from rows()
+                    held, texts, load = [], [], 0
+        if held:
+            yield from rows()
         trim()
 
     scored = cut(inputs.mapInArrow(run, schema))
