@@ -48,19 +48,19 @@ CLASS = 64
 SHAPE_BITS = 6
 SHAPES, TAILS = 1 << SHAPE_BITS, 8
 HIDDEN = 16
-STREAMS, WINDOW = 256, 16
+STREAMS, WINDOW = 512, 16
 ROUNDS = 2
 FAN = 16
-RATE = 0.3
+RATE = 0.6
 #: the hash that stands for the end token
 END = np.uint64(0xE17D0F7E8D000001)
-#: tokens that a worker gathers before it sends their counts; half as many are scored side by side
+#: tokens that a worker gathers before it sends their counts; a quarter as many are trained on or scored side by side
 GATHER = 4_000_000
 #: documents of a batch of results
 TOGETHER = 512
 STEPS = 32
-#: rows whose softmax stays in a core's cache
-CACHED = 2048
+#: rows whose softmax stays in a core's cache; tokens that are looked up at once
+CACHED, PART = 2048, 1 << 18
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -125,6 +125,8 @@ class Vocabulary:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each token, or -1 - tail."""
+        if len(hashes) > PART:
+            return np.concatenate([self.lookup(hashes[at : at + PART]) for at in range(0, len(hashes), PART)])
         out = -1 - tail_of(shape_of(hashes))
         if not len(self.hashes):
             return out
@@ -524,7 +526,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
                 held.append(batch)
                 texts += [tokens_of(t.as_py()) for t in batch.column(at)]
                 load += sum(map(len, texts[-batch.num_rows :]))
-                if load >= GATHER // 2:
+                if load >= GATHER // 4:
                     yield from rows()
                     held, texts, load = [], [], 0
         if held:
