@@ -54,13 +54,13 @@ FAN = 16
 RATE = 0.6
 #: the hash that stands for the end token
 END = np.uint64(0xE17D0F7E8D000001)
-#: tokens that a worker gathers before it sends their counts; a quarter as many are trained on or scored side by side
+#: tokens that a worker gathers before it sends their counts; a quarter as many are trained on, half as many scored side by side
 GATHER = 4_000_000
 #: documents of a batch of results
 TOGETHER = 512
 STEPS = 32
-#: rows whose softmax stays in a core's cache; tokens that are looked up at once
-CACHED, PART = 2048, 1 << 18
+#: rows whose softmax stays in a core's cache, in scoring and in training; tokens that are looked up at once
+CACHED, CACHED_BOTH, PART = 2048, 512, 1 << 18
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -266,11 +266,16 @@ class Gru:
                 S, Y = S[own_loss], Y[own_loss]
             count = len(Y)
             klass = v.klass_of(Y)
-            p, total, _ = _softmax(S, self.Wc, self.bc, 1.0)
-            p *= (1 / (count * total))[:, None].astype(kind)
-            p[np.arange(count), klass] -= 1 / count
-            grad["Wc"], grad["bc"] = S.T @ p, p.sum(0)
-            dS = p @ self.Wc.T
+            grad["Wc"][:], grad["bc"][:] = 0, 0
+            dS = np.empty_like(S)
+            for low in range(0, count, CACHED_BOTH):
+                part = slice(low, low + CACHED_BOTH)
+                p, total, _ = _softmax(S[part], self.Wc, self.bc, 1.0)
+                p *= (1 / (count * total))[:, None].astype(kind)
+                p[np.arange(len(p)), klass[part]] -= 1 / count
+                grad["Wc"] += S[part].T @ p
+                grad["bc"] += p.sum(0)
+                dS[part] = p @ self.Wc.T
             grad["Wv"][:], grad["bv"][:] = 0, 0
             order, ends = self._by_class(klass)
             order = order[: ends[-1]] if len(ends) else order[:0]
@@ -307,11 +312,11 @@ class Gru:
             grad["U"] = np.concatenate(before).T @ np.concatenate(inner)
             # the inputs' rows that this window read
             who, gates = x[at : steps.stop][::-1].ravel(), np.concatenate(gates)
-            by = np.argsort(who.astype(np.int32), kind="stable")
+            by = np.argsort(who.astype(np.int16 if v.inputs < 1 << 15 else np.int32), kind="stable")
             first = np.flatnonzero(np.concatenate([[True], who[by][1:] != who[by][:-1]]))
             rows, of_rows = who[by][first], np.add.reduceat(gates[by], first)
             norm = np.sqrt(float((of_rows * of_rows).sum()) + sum(float((g * g).sum()) for k, g in grad.items() if k != "G"))
-            shrink = min(1.0, 1.0 / (norm + 1e-9))
+            shrink = float(min(1.0, 1.0 / (norm + 1e-9)))  # a numpy scalar would widen the weights
             for k in self.NAMES:
                 if k == "G":
                     g = of_rows * shrink
@@ -526,7 +531,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
                 held.append(batch)
                 texts += [tokens_of(t.as_py()) for t in batch.column(at)]
                 load += sum(map(len, texts[-batch.num_rows :]))
-                if load >= GATHER // 4:
+                if load >= GATHER // 2:
                     yield from rows()
                     held, texts, load = [], [], 0
         if held:
