@@ -1,6 +1,7 @@
 """Quality, packing, chat, decontamination, URL, license and language operators against brute force."""
 
 import json
+import math
 import os
 import random
 import re
@@ -241,6 +242,22 @@ def test_chat_merges_across_segments_and_ids_are_native(spark):
 # ---- decontamination
 
 
+def test_spans_of_a_long_conversation(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aé漢🙂\\# ") for _ in range(rng.randrange(6))) for _ in range(6000)]
+    rows = spark.createDataFrame([(1, t, rng.choice(["user", "assistant"]), x) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows)
+    got = out.first()
+    roles = [r["role"] for r in rows.orderBy("turn").collect()]
+    said = [x for x, r in zip(texts, roles, strict=True) if r == "assistant"]
+    code = lambda t: t.replace("\\", "\\b").replace("###", "\\h")
+    raw = got["formatted"].encode()
+    assert [got["formatted"][s["start"] : s["start"] + s["chars"]] for s in got["loss_spans"]] == [code(x) for x in said]
+    assert [raw[s["start"] : s["start"] + s["bytes"]].decode() for s in got["loss_bytes"]] == [code(x) for x in said]
+    back = chat.read_back(out).first()
+    assert back["loss_text"] == "".join(said) and [(t["role"], t["text"]) for t in back["turns"]] == list(zip(roles, texts, strict=True))
+
+
 def brute_containment(docs, items, threshold=0.75):
     out = set()
     for item, text in items:
@@ -278,6 +295,25 @@ def test_decontamination_equals_brute_force(spark):
     assert kept == {k for k, _ in docs} - {a for a, _ in want}
 
 
+def test_a_short_item_does_not_widen_the_lookups_of_long_ones():
+    rng = random.Random(3)
+    long = (1, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)))
+    short = (2, "one two three four five six")
+    alone, both = decontam.Index([long]), decontam.Index([long, short])
+    assert len(alone.widths[5]) == 1 and len(both.widths[5]) == 2
+    assert alone.widths[5][0][0] == both.widths[5][1][0] < both.widths[5][0][0]
+    assert [len(hashes) for _, hashes, _ in both.widths[5]] == [2, len(alone.widths[5][0][1])]
+    text = "x " + short[1] + " " + " ".join(long[1].split()[:2600]) + " end"
+    assert both.search(text) == [(0, pytest.approx(2596 / 2996)), (1, 1.0)]
+
+
+def test_repeated_documents_are_found_each(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "z")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "b c d e f"), (7, "b c d e f")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["containment"]) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, 7, 1.0)] * 2 + [(1, 7, 1.0)] * 4
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 20)
     items = [(i, " ".join(f"i{i}x{j}" for j in range(12))) for i in range(7)]
@@ -322,6 +358,23 @@ def test_url_rules(spark):
 # ---- licenses
 
 
+def test_a_block_list_from_a_table_in_several_arrays(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BLOCK", 1000)
+    listed = spark.range(5000).selectExpr("concat('h', id, '.test') as host", "if(id % 2 = 0, '', '/bad/') as path").unionAll(spark.sql("select null, '/x'")).unionAll(spark.sql("select 'bare.test', null"))
+    rows = [(i, f"http://sub.h{i}.test/bad/page") for i in range(0, 6000, 7)] + [(9001, "http://h1.test/good"), (9002, "https://BARE.test?x"), (9003, None), (9004, "http://h2.test")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["listed"]) for r in urlfilter.filter_urls(pages, [("h14.test", "/", "allow")], listed).collect()}
+    for i, _ in rows[:-4]:
+        want = ("allow", None) if i == 14 or i >= 5000 else ("block", f"h{i}.test" + ("" if i % 2 == 0 else "/bad/"))
+        assert got[i] == want, i
+    assert got[9001] == ("allow", None) and got[9002] == ("block", "bare.test") and got[9003] == ("allow", None) and got[9004] == ("block", "h2.test")
+
+
+def test_urls_of_no_rows(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urlfilter.filter_urls(none, queries.RULES, queries.BLOCKLIST).count() == 0 and license.report(none.withColumnsRenamed({"page_id": "doc_id", "url": "text"})).count() == 0
+
+
 def brute_base(text):
     words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     places = [(i, label) for phrase, label in license.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
@@ -415,3 +468,66 @@ def test_ngrams_in_pieces(monkeypatch):
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and len(shingle_set(" \n")) == len(shingle_set(None)) == 0
     assert json.dumps(sorted(map(int, shingle_set("A b c d e")))) == json.dumps(sorted(map(int, shingle_set("a B c d E"))))
+
+
+def test_languages_take_letters_alone():
+    assert langid.ngram_counts("\u00b2 \u00bd 12 \u201c\u201d \u3002") is None and langid.ngram_counts("") is None
+    same = langid.ngram_counts("\u201cdas h\u00e4us\u201d\u3002")
+    assert (same == langid.ngram_counts("das h\u00e4us")).all()
+
+
+def test_predictions_equal_a_plain_computation(spark):
+    rng = random.Random(9)
+    words = {"xx": "ala bela cora dina elu", "yy": "zug bahn stra\u00dfe mit ohne", "zz": "le la les un une"}
+    rows = [(lang, " ".join(rng.choice(w.split()) for _ in range(rng.randrange(3, 40)))) for lang, w in words.items() for _ in range(40)]
+    # two languages with the same texts: the first one by name wins
+    rows += [("yz", t) for lang, t in rows if lang == "yy"]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(df)
+    texts = [t for _, t in rows[::7]] + ["bela", "quatsch", None, "!?"]
+    langs, scores, rejected = model.predict(texts)
+
+    def plain(text):
+        counts = langid.ngram_counts(text)
+        if counts is None:
+            return "und", 0.0, True
+        x = [math.log1p(float(c)) * float(i) for c, i in zip(counts, model.idf, strict=True)]
+        norm = math.sqrt(sum(v * v for v in x))
+        cosines = [sum(a * float(b) for a, b in zip(x, c, strict=True)) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: (cosines[k], -k))
+        return model.languages[model.owner[best]], cosines[best], sum(counts) >= langid.ENOUGH and cosines[best] < model.least[langid.size_of(counts)]
+
+    for text, *got in zip(texts, langs, scores, rejected, strict=True):
+        lang, score, gone = plain(text)
+        assert got[0] == lang or abs(got[1] - score) < 1e-5, text
+        assert got[1] == pytest.approx(min(1, max(0, score)), abs=1e-4) and got[2] == gone
+    assert "yz" not in [x for x, t in zip(langs, texts, strict=True) if t and "bahn" in t.split()]
+
+
+def test_many_places_of_a_phrase(spark):
+    text = "x under the MIT license, " * 20_000
+    got = license.report(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert len(got) == 2 and all((r["n_base"], r["first_word"], r["last_word"], r["n_words"]) == (20_000, 1, 5 * 20_000 - 4, 100_000) for r in got)
+
+
+def test_another_alignment_is_tried_where_core_words_fail():
+    # the first match in reach lacks the core word, the second holds it
+    text = license.normalised("licensed under the apache license version 3 0 licensed under the apache license version 2 0")[0]
+    assert [x[0] for x in license.fuzzy(text, tuple(map(tuple, license.NOTICES)))] == ["apache-2"]
+
+
+def test_quality_scores_equal_a_plain_computation(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "!!", "GAMMA\n", "12"][: 3 + i % 3]) for _ in range(rng.randrange(60)))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, "long " * 300_000), (300, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    held = fold("doc_id", 5) == 0
+    model = quality.fit(quality.featurise(docs).drop("text"), labels, "doc_id", ~held)
+    net = model.network
+    got = sorted((r["doc_id"], r["text"] is None, r["quality_score"]) for r in quality.score(quality.featurise(docs), model).collect())
+    for (i, none, score), (_, text) in zip(got, sorted([*rows, (300, "long " * 300_000), (300, None)], key=lambda r: (r[0], r[1] is None)), strict=True):
+        x = quality.features(text).astype(float)
+        z = net.c
+        for j in range(quality.HIDDEN):
+            z += math.tanh(sum(min(8.0, max(-8.0, (a - m) / s)) * w for a, m, s, w in zip(x, net.mean, net.scale, net.w[:, j], strict=True)) + net.b[j]) * net.v[j]
+        assert none == (text is None) and score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), i
