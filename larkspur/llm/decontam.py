@@ -4,8 +4,9 @@ Items are partitioned by the size of their shingle set (powers of two).  Each
 item keeps a bottom sketch: its smallest shingle hashes, at least SKETCH and
 more than a (1 - threshold) share of the set, so that any text that holds the
 item at the threshold holds a sketch hash (pigeonhole): the search loses
-nothing.  Each partition has one bound, the largest hash in its sketches; of a
-document, however long, only hashes below the largest bound are looked up.
+nothing.  Each partition has its own sorted hashes and bound, the largest hash in
+its sketches; of a document, however long, only hashes up to that bound are
+looked up there, so that few are where the items are large.
 Items with enough sketch hits are candidates; candidates are verified by exact
 containment, counted over the shingles' words themselves.
 
@@ -45,46 +46,47 @@ def shingles_of(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """The sketches of a block of items."""
+    """The sketches of a block of items, by shingle width and size partition."""
 
     def __init__(self, items: list[tuple], threshold: float = THRESHOLD, words: int = WORDS, sketch: int = SKETCH):
         self.threshold, self.items = threshold, items
-        self.widths: dict[int, dict] = {}
         self.words: list[list[bytes]] = [split_words(t) for _, t in items]
-        groups: dict[int, list[int]] = {}
+        self.need = np.zeros(len(items), np.int64)
+        parts: dict[tuple[int, int], list] = {}
         for i, w in enumerate(self.words):
-            if w:
-                groups.setdefault(min(words, len(w)), []).append(i)
-        for width, members in groups.items():
-            hashes, owners, need, bound = [], [], np.full(len(items), 1 << 30), {}
-            for i in members:
-                own = np.unique(shingle_hashes(word_hashes(encode(items[i][1])), width))
-                low = own[: max(sketch, int(np.floor(len(own) * (1 - threshold) + 1e-9)) + 1)]
-                part = int(np.log2(len(own)))
-                bound[part] = max(bound.get(part, 0), int(low[-1]))
-                hashes.append(low)
-                owners.append(np.full(len(low), i))
-                # hits that the threshold leaves at the least: all but the missing shingles
-                need[i] = max(1, len(low) - int(np.floor(len(own) * (1 - threshold) + 1e-9)))
-            h, o = np.concatenate(hashes), np.concatenate(owners)
+            if not w:
+                continue
+            width = min(words, len(w))
+            own = np.unique(shingle_hashes(word_hashes(encode(items[i][1])), width))
+            missing = int(np.floor(len(own) * (1 - threshold) + 1e-9))
+            low = own[: max(sketch, missing + 1)]
+            # hits that the threshold leaves at the least: all but the missing shingles
+            self.need[i] = max(1, len(low) - missing)
+            parts.setdefault((width, int(np.log2(len(own)))), []).append((low, i))
+        #: of each width its partitions, the largest bound first: (bound, sorted hashes, their owners)
+        self.widths: dict[int, list[tuple]] = {}
+        for (width, _), members in sorted(parts.items()):
+            h, o = np.concatenate([low for low, _ in members]), np.repeat([i for _, i in members], [len(low) for low, _ in members])
             order = np.argsort(h, kind="stable")
-            self.widths[width] = {"hash": h[order], "owner": o[order], "need": need, "bound": np.uint64(max(bound.values()))}
+            self.widths.setdefault(width, []).append((h[order][-1], h[order], o[order]))
+        for group in self.widths.values():
+            group.sort(key=lambda part: -int(part[0]))
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(item, width) whose sketch the words' shingles meet often enough."""
         found = []
-        for width, x in self.widths.items():
+        for width, group in self.widths.items():
             if len(words) < width:
                 continue
             own = shingle_hashes(words, width)
-            own = own[own <= x["bound"]]
-            low = np.searchsorted(x["hash"], own, "left")
-            hit = np.unique(own[(low < len(x["hash"])) & (x["hash"][np.minimum(low, len(x["hash"]) - 1)] == own)])
-            if len(hit):
-                a, b = np.searchsorted(x["hash"], hit, "left"), np.searchsorted(x["hash"], hit, "right")
-                owners = np.concatenate([x["owner"][s:e] for s, e in zip(a, b, strict=True)])
-                items, counts = np.unique(owners, return_counts=True)
-                found += [(int(i), width) for i, n in zip(items, counts, strict=True) if n >= x["need"][i]]
+            for bound, hashes, owner in group:
+                own = own[own <= bound]
+                low = np.searchsorted(hashes, own, "left")
+                hit = np.unique(own[(low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == own)])
+                if len(hit):
+                    a, b = np.searchsorted(hashes, hit, "left"), np.searchsorted(hashes, hit, "right")
+                    items, counts = np.unique(np.concatenate([owner[s:e] for s, e in zip(a, b, strict=True)]), return_counts=True)
+                    found += [(int(i), width) for i, n in zip(items, counts, strict=True) if n >= self.need[i]]
         return found
 
     def search(self, text: str | None) -> list[tuple[int, float]]:
