@@ -20,17 +20,19 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterable
+from itertools import chain, islice
 
 import numpy as np
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.llm.common import append
 
 #: (host, path prefix, action)
 Rule = tuple[str, str, str]
-#: entries that one pass of the table holds; longer lists are split into passes
+#: entries of one array; longer lists are several arrays, all probed in one pass
 BLOCK = 4_000_000
 
 
@@ -106,16 +108,22 @@ def _opened(name: str) -> tuple[DigestArray, list[str]]:
     return _OPEN[name]
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], blocklist: Iterable[tuple[str, str]] = (), url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], blocklist: Iterable[tuple[str, str]] | DataFrame = (), url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """`keep` columns plus host, path, rule, listed and verdict.
 
     A rule that fits decides (rule: `host + path`); else an entry of the block
-    list (listed: that entry) blocks; else the verdict is `default`.
+    list (listed: that entry) blocks; else the verdict is `default`.  A list of
+    any length is a table with the host and the path prefix as first columns (null
+    hosts are left out, a null path is an empty one); the driver holds BLOCK entries at a time.
     """
     spark = pages.sparkSession
-    entries = [(0, *r) for r in rules] + [(1, h, p, "block") for h, p in blocklist]
-    names = [_publish(spark, entries[i : i + BLOCK]) for i in range(0, len(entries), BLOCK)]
-
+    if isinstance(blocklist, DataFrame):
+        host, path = blocklist.columns[:2]
+        blocklist = ((r[0], r[1]) for r in blocklist.select(F.col(host), F.coalesce(F.col(path), F.lit(""))).where(F.col(host).isNotNull()).toLocalIterator())
+    entries = chain(((0, *r) for r in rules), ((1, h, p, "block") for h, p in blocklist))
+    names = []
+    while block := list(islice(entries, BLOCK)):
+        names.append(_publish(spark, block))
 
     def judge(urls):
         where = [split_url(u) for u in urls]
