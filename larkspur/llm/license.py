@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,21 +82,30 @@ def fuzzy(joined: bytes, notices: tuple[tuple[str, str, str], ...]) -> list[tupl
         for low, high in sorted(windows):
             if sum(joined[i : i + 3] in grams for i in range(low, high - 2)) < least:
                 continue
-            if m := pattern.search(joined, low, high):
-                if m.start() > last and all(c.search(m[0]) for c in cores):
+            # where a match lacks a core word, later ones of the window are tried
+            at = max(low, last + 1)
+            while m := pattern.search(joined, at, high):
+                if all(c.search(m[0]) for c in cores):
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(raw)))
                     last = m.end() - 1
+                    break
+                at = m.start() + 1
     return out
 
 
+def spaces_of(joined: bytes) -> np.ndarray:
+    """Where the spaces stand, so that a place's word number is a binary search."""
+    return np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+
+
 def exact(joined: bytes, phrase: str) -> list[int]:
     """Word numbers at which the phrase's words stand in a row."""
     probe, places = f" {phrase} ".encode(), []
     at = joined.find(probe)
     while at >= 0:
-        places.append(joined.count(b" ", 0, at))
+        places.append(at)
         at = joined.find(probe, at + 1)
-    return places
+    return np.searchsorted(spaces_of(joined), places).tolist() if places else []
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=tuple(PHRASES), notices=tuple(NOTICES)) -> DataFrame:
@@ -108,17 +118,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=tuple
             joined, n = normalised(value)
             counts.append(n)
             exacts.append([{"label": label, "word": w} for phrase, label in phrases for w in exact(joined, phrase)])
-            founds.append([span(joined, *x) for x in fuzzy(joined, notices)])
+            hits = fuzzy(joined, notices)
+            spaces = spaces_of(joined) if hits else None
+            founds.append([span(joined, spaces, *x) for x in hits])
         return counts, exacts, founds
 
     return append(docs.select(key, text), [text], run, "n_words long, exact array<struct<label: string, word: bigint>>, found array<struct<label: string, first_word: bigint, end_word: bigint, edits: int, score: double>>").drop(text)
 
 
-def span(joined: bytes, label: str, start: int, end: int, edits: int, chars: int) -> dict:
+def span(joined: bytes, spaces: np.ndarray, label: str, start: int, end: int, edits: int, chars: int) -> dict:
     """A match as words: those that hold its first and, exclusively, follow its last character."""
     start += joined[start : start + 1] == b" "
     end -= joined[end - 1 : end] == b" "
-    return {"label": label, "first_word": joined.count(b" ", 0, start) - 1, "end_word": joined.count(b" ", 0, end), "edits": edits, "score": max(0.0, 1 - edits / chars)}
+    return {"label": label, "first_word": int(np.searchsorted(spaces, start)) - 1, "end_word": int(np.searchsorted(spaces, end)), "edits": edits, "score": max(0.0, 1 - edits / chars)}
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
