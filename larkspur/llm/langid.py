@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 A text becomes a TF-IDF vector of its hashed letter 2- and 3-grams (lower case,
-everything but letters is a space), scaled to length one.  Each language has
+everything but letters and their marks is a space), scaled to length one.  Each language has
 several centroids (spherical k-means of its training vectors); the prediction
 is the language of the centroid with the largest cosine.  A text is rejected
 when that cosine is below what training texts of its length reach
@@ -21,10 +21,9 @@ repeated rows; whole texts count, however long; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +38,10 @@ SIZES = 40
 #: n-grams under which a text is too short to be rejected by distance
 ENOUGH = 32
 
-_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_ALPHA = re.compile(r"[^\W\d_]")
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(128)) + bytes(range(128, 256))
+#: letters beyond ASCII, with the marks that stand on them
+_OTHERS = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
+_ALPHA = regex.compile(r"\p{L}")
 #: bytes that are counted at once; bounds the memory of a very long text
 _PIECE = 1 << 20
 
@@ -49,7 +50,8 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed 2- and 3-grams; None where the text is null or has no letter."""
     if text is None or not _ALPHA.search(text):
         return None
-    raw = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split()) + b" "
+    text = text.lower() if text.isascii() else _OTHERS.sub(" ", text.lower())
+    raw = b" " + b" ".join(text.encode("utf-8", "replace").translate(_LETTERS).split()) + b" "
     counts = np.zeros(DIMS, np.int64)
     for at in range(0, len(raw), _PIECE):
         b = np.frombuffer(raw[at : at + _PIECE + 2], np.uint8).astype(np.uint32)
@@ -166,7 +168,7 @@ def _smallest_cosines(rows: DataFrame, model: Centroids) -> tuple[np.ndarray, np
 def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang") -> Centroids:
     rows = docs.where(train) if train is not None else docs
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    rows = rows.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # with a letter, as _ALPHA
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))  # with a letter, as _ALPHA
     n, df = _document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     if not n:
