@@ -39,9 +39,11 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The cluster names spark.checkpoint.dir; a folder of our own only where it is unset and Spark runs on this machine alone."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"larkspur-{uuid.uuid4().hex[:8]}-"))
 
 

@@ -496,8 +496,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = cut(sets_of(docs, key, text))
     known = set_components(docs, sets, text)
     labelled = sets.join(known.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("root", "sk"))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("key").alias("component"))
-    return labelled.join(least, "label", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("component")).alias("component_id"))
+    # only components of several rows; cut, so that the join reads two plain shuffles and a hot label is split at run time
+    least = cut(labelled.where("label is not null").groupBy("label").agg(F.min("key").alias("component"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    return labelled.join(least, "label", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -511,7 +512,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     labelled = sets.where("sk is not null").join(known.withColumnRenamed("node", "sk"), "sk", "left").withColumn("label", F.coalesce("root", "sk"))
     # of each component the row with the smallest key (a null key comes last), then text key, stays
     place = F.struct(F.col("key").isNull().alias("none"), "key", "tk")
-    best = labelled.groupBy("label").agg(F.min(place).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    best = cut(labelled.groupBy("label").agg(F.min(place).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     gone = cut(labelled.join(best, "label").where(~(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("tk") == F.col("best.tk")))).select("key", "tk").distinct())
     repeated = cut(labelled.groupBy("key", "tk").count().where("count > 1").drop("count"))
     names = [f"c{i}" for i in range(len(docs.columns))]
