@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import threading
 import time
 import uuid
@@ -29,6 +30,8 @@ class Engine:
 
     def __post_init__(self):
         self.store, self.tasks = Store(self.spark, self.path), TaskTable()
+        #: keeps an index for each filter until the store has another version, which every write makes
+        self.retriever: search.Retriever | None = None
 
     @property
     def memory(self) -> DataFrame:
@@ -104,7 +107,9 @@ class Engine:
     def search(self, query: str, query_vector: list[float], now: str, **options) -> DataFrame:
         if self.vectors is None:
             raise ValueError("the engine was opened without vectors")
-        return search.search(self.memory, self.vectors, query, query_vector, self._at(now), settings=self.settings, **options)
+        if self.retriever is None:
+            self.retriever = search.Retriever(lambda: self.memory, self.vectors, f"{self.path}/index", self.store.current)
+        return search.search(self.memory, self.vectors, query, query_vector, self._at(now), settings=self.settings, retriever=self.retriever, **options)
 
     def recall(self, repository: str | None, now: str, days: int = 7, limit: int = 20) -> DataFrame:
         return timeline.recent_items(self.memory, repository, days, self._at(now), limit)
@@ -116,11 +121,19 @@ class Engine:
         self.store.upsert(maintenance.validate_insight(self.memory.where(F.col("id") == id_), id_, result, now, **options))
 
     def ingest(self, root: str, repository: str, branch: str, now: str, full: bool = False, **options) -> DataFrame:
+        """Ingests a folder: whole when full, else what git says since the indexed commit, else what differs by hash; its stats."""
         files = file_source.decoded(file_source.walk(self.spark, root, **options))
         memory = self.memory if self.store.current() else None
-        after, stats = ingest.run(files, memory, repository, branch, now, full=full)
+        head, indexed = file_source.head_commit(root), ingest.indexed_commit(memory, repository)
+        how, delta = ingest.strategy(full, head is not None, head, indexed), None
+        if how == "git":
+            try:
+                delta = file_source.git_delta(self.spark, root, indexed)
+            except subprocess.SubprocessError:  # a commit that is no more: by hash
+                how = "hash"
+        after, stats = ingest.run(files, memory, repository, branch, now, full=how == "full", delta=delta, commit=head)
         self.store.replace(after)
-        return stats
+        return stats.withColumn("strategy", F.lit(how))
 
     def ingest_task(self, root: str, repository: str, branch: str, now: str, force: bool = False, **options) -> str | DataFrame:
         """Small folders at once (their stats), larger ones in a thread of their own (the task's id); one task for each repository."""

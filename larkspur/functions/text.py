@@ -12,14 +12,26 @@ SPACE = r" \t\n\r\f\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 SEPARATORS = r""".,;:()\[\]{}"'`#@!?<>=+\-*/\\|&\^"""
 
 
+def _members(characters: str) -> str:
+    """The characters of a pattern's class."""
+    import re
+
+    one = re.compile(f"[{characters}]")
+    return "".join(c for c in map(chr, range(0x3001)) if one.match(c))
+
+
+_SEPARATING = "_" + _members(SPACE + SEPARATORS).replace(" ", "").replace("_", "")
+
+
 def tokenize_code(text: Column) -> Column:
     """Words split at white space and punctuation, camelCase and snake_case; lower case; no empty ones.
 
     The text is marked, lowered and split as a whole, by functions without
-    lambdas, so that it stays in generated code.
+    lambdas, so that it stays in generated code.  Separators become spaces
+    first: a split at one character needs no pattern.
     """
     marked = F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1_$2"))
-    return F.array_remove(F.split(marked, f"[_{SPACE}{SEPARATORS}]+"), "")
+    return F.array_remove(F.split(F.translate(marked, _SEPARATING, " " * len(_SEPARATING)), " "), "")
 
 
 # Patterns of our own for well-known secret shapes, most specific first.

@@ -1,9 +1,12 @@
-"""BM25 (Okapi: k1 1.5, b 0.75, epsilon 0.25) without an inverted index on disk.
+"""BM25 (Okapi: k1 1.5, b 0.75, epsilon 0.25), by a scan or by a kept index.
 
 A query needs few numbers of the corpus: its size, the mean length, and the
-document frequency of each query term.  One aggregation reads them; scores are
-then an expression over each row's own tokens with these numbers as literals, so
-that scoring shuffles nothing and the top k is a TakeOrderedAndProject.
+document frequency of each query term.  By a scan, one aggregation reads them;
+scores are then an expression over each row's own tokens with these numbers as
+literals, so that scoring shuffles nothing and the top k is a TakeOrderedAndProject.
+
+An `Index` keeps the postings as Parquet in the order of their terms, so that a
+query reads its own terms' postings alone, however large the corpus.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokenize_code
@@ -52,11 +55,12 @@ def corpus_stats(docs: DataFrame, terms: list[str], text: str = "text") -> Stats
     tokens = docs.select(tokenize_code(F.col(text)).alias("t"))
     row = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), *[F.count_if(F.array_contains("t", q)).alias(f"d{i}") for i, q in enumerate(distinct)]).first()
     n, found = row["n"], {q: row[f"d{i}"] for i, q in enumerate(distinct) if row[f"d{i}"]}
-    idf = {q: math.log(n - d + 0.5) - math.log(d + 0.5) for q, d in found.items()}
-    if any(v < 0 for v in idf.values()):
+
+    def mean() -> float:
         by_term = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        mean = by_term.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
-        idf = {q: EPSILON * mean if v < 0 else v for q, v in idf.items()}
+        return by_term.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+
+    idf = _idf(n, found, mean)
     return Stats(n, row["avgdl"] or 0.0, idf)
 
 
@@ -76,3 +80,63 @@ def score_all(docs: DataFrame, query: str, text: str = "text", stats: Stats | No
 def top_k(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "text") -> DataFrame:
     """The k best rows; ties go by key.  Rows that score 0 fill up to k."""
     return score_all(docs, query, text).withColumn("bm25_score", F.round("bm25_score", 6)).orderBy(F.desc("bm25_score"), key).limit(k)
+
+
+def _idf(n: int, found: dict[str, int], mean) -> dict[str, float]:
+    """The idf of each term by its document frequency; a negative one becomes a share of the mean, which is asked for only then."""
+    idf = {q: math.log(n - d + 0.5) - math.log(d + 0.5) for q, d in found.items()}
+    if any(v < 0 for v in idf.values()):
+        floor = EPSILON * mean()
+        idf = {q: floor if v < 0 else v for q, v in idf.items()}
+    return idf
+
+
+class Index:
+    """Postings (term, key, tf, dl) by term, document frequencies, keys and the corpus's numbers, in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.postings, self.terms, self.keys = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "keys"))
+        row = spark.read.parquet(f"{path}/corpus").first()
+        self.n, self.avgdl, self.mean_idf = row["n"], row["avgdl"] or 0.0, row["mean_idf"]
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, key: str = "id", text: str = "text") -> Index:
+        """Texts are tokenised once.  A key stands for one document.  Range partitions by term and key, so that a common term is split."""
+        spark = docs.sparkSession
+        tokens = docs.select(F.col(key).alias("key"), tokenize_code(F.col(text)).alias("t")).select("key", F.size(F.coalesce("t", F.array().cast("array<string>"))).cast("long").alias("dl"), F.explode_outer("t").alias("term"))
+        counted = tokens.groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+        postings = spark.read.parquet(f"{path}/postings")
+        # a document without a token is a posting of no term
+        postings.select("key", "dl").distinct().write.mode("overwrite").parquet(f"{path}/keys")
+        by_term = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+        by_term.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        corpus = spark.read.parquet(f"{path}/keys").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        n = corpus.first()["n"]
+        mean = spark.read.parquet(f"{path}/terms").agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
+        corpus.crossJoin(mean).write.mode("overwrite").parquet(f"{path}/corpus")  # one row by one row
+        return cls(spark, path)
+
+    def stats(self, terms: list[str]) -> Stats:
+        found = {r["term"]: r["df"] for r in self.terms.where(F.col("term").isin(sorted(set(terms)))).collect()} if terms else {}  # the query's terms
+        return Stats(self.n, self.avgdl, _idf(self.n, found, lambda: self.mean_idf))
+
+    def top_k(self, query: str, k: int, key: str = "id") -> DataFrame:
+        """key, bm25_score: the k best as by the scan; ties go by key, documents that score 0 fill up to k."""
+        terms = query_terms(query)
+        stats = self.stats(terms)
+        weight = {q: v * terms.count(q) for q, v in stats.idf.items()}
+        if weight:
+            tf = F.col("tf").cast("double")
+            factor = F.create_map(*[F.lit(x) for pair in sorted(weight.items()) for x in pair])[F.col("term")]
+            part = factor * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl)))
+            scored = self.postings.where(F.col("term").isin(sorted(weight))).groupBy("key").agg(F.round(F.sum(part), 6).alias("bm25_score"))
+        else:
+            scored = self.postings.limit(0).select("key", F.lit(0.0).alias("bm25_score"))
+        best = lambda df: df.orderBy(F.desc("bm25_score"), "key").limit(k)
+        top = best(scored).collect()  # k rows
+        if len(top) < k or top[-1]["bm25_score"] <= 0:
+            rest = self.keys.select("key").join(scored.select("key"), "key", "left_anti").withColumn("bm25_score", F.lit(0.0)).orderBy("key").limit(k)
+            top = best(scored.unionByName(rest)).collect()
+        return self.spark.createDataFrame(top, scored.schema).withColumnRenamed("key", key)

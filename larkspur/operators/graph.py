@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import path_name
 
 
+#: lengths of stems that are listed one by one
+LENGTHS = 256
+
+
 def import_candidates(module: Column, from_file: Column) -> Column:
     """Paths a module may stand for, best first; one more leading dot is one folder up."""
     bare = F.regexp_replace(module, r"^\.+", "")
@@ -64,13 +68,19 @@ def tests_by_name(tests: DataFrame, sources: DataFrame) -> DataFrame:
 def tests_by_import(imports: DataFrame, sources: DataFrame) -> DataFrame:
     """test, source whose stem occurs anywhere in a module that the test imports.
 
-    A containment condition has no key to shuffle by; both sides are made
-    distinct first (modules and stems), which is all the condition sees, so the
-    nested loop runs over vocabularies and not over rows.
+    Containment becomes an equi-join: a module holds a stem of n characters if
+    it is one of its substrings of n characters, so each distinct module gives its
+    substrings of the lengths that stems have (at most LENGTHS, else of every length).
     """
     modules = imports.select("module").distinct()
     stems = sources.select(stem(F.col("path")).alias("stem")).where("stem <> ''").distinct()
-    hits = modules.join(stems, F.expr("instr(module, stem) > 0"))
+    lengths = [r[0] for r in stems.select(F.char_length("stem")).distinct().limit(LENGTHS + 1).collect()]
+    size = F.char_length("module")
+    n = F.explode(F.array(*map(F.lit, sorted(lengths))) if 0 < len(lengths) <= LENGTHS else F.sequence(F.lit(1), F.greatest(size, F.lit(1))))
+    parts = modules.select("module", n.alias("n")).where((F.col("n") <= F.char_length("module")))
+    at = F.explode(F.sequence(F.lit(1), F.char_length("module") - F.col("n") + 1)).alias("at")
+    parts = parts.select("module", "n", at).select("module", F.substr("module", F.col("at"), F.col("n")).alias("stem")).distinct()
+    hits = parts.join(stems, "stem")
     return imports.select(F.col("src").alias("test"), "module").join(hits, "module").join(sources.select(F.col("path").alias("source"), stem(F.col("path")).alias("stem")), "stem").select("test", "source").distinct()
 
 

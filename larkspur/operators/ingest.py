@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators import extract, graph, maintenance
+from larkspur.sources import files as file_source
 
 EMPTY = {"imports": [], "exports": [], "classes": [], "functions": [], "contracts": [], "entry_point_type": None, "is_barrel": False}
 
@@ -79,8 +80,8 @@ def entry_points(rows: DataFrame, repository: str, branch: str) -> DataFrame:
 
 
 def import_edges(rows: DataFrame, all_files: DataFrame | None = None) -> DataFrame:
-    """src, dst of the imports that resolve within the batch, or within all_files (path) where given."""
-    modules = rows.where("status = 'ok'").select(F.col("path").alias("src"), F.explode("imports").alias("i")).select("src", "i.module")
+    """src, dst of the internal imports that resolve within the batch, or within all_files (path) where given."""
+    modules = rows.where("status = 'ok'").select(F.col("path").alias("src"), F.explode("imports").alias("i")).where("not i.is_external").select("src", "i.module")
     resolved = graph.resolve_imports(modules.distinct(), all_files if all_files is not None else rows.select("path"))
     return modules.join(resolved, ["src", "module"]).select("src", "dst")
 
@@ -102,10 +103,10 @@ def tests_of(rows: DataFrame) -> DataFrame:
     return graph.related_tests(graph.tests_by_name(tests, sources), graph.tests_by_import(modules, sources))
 
 
-def ingest_stats(rows: DataFrame) -> DataFrame:
-    """scanned, processed, skipped, errors."""
+def ingest_stats(rows: DataFrame, deleted: int = 0) -> DataFrame:
+    """scanned, processed, skipped, errors, deleted (files that went)."""
     skip = F.col("status").isin("Empty file", "Unsupported")
-    return rows.agg(F.count("*").alias("scanned"), F.count_if(F.col("status") == "ok").alias("processed"), F.count_if(skip).alias("skipped"), F.count_if(F.col("status").startswith("error")).alias("errors"))
+    return rows.agg(F.count("*").alias("scanned"), F.count_if(F.col("status") == "ok").alias("processed"), F.count_if(skip).alias("skipped"), F.count_if(F.col("status").startswith("error")).alias("errors"), F.lit(deleted).cast("long").alias("deleted"))
 
 
 def strategy(force: bool, is_git: bool, head: str | None, indexed_commit: str | None) -> str:
@@ -113,21 +114,39 @@ def strategy(force: bool, is_git: bool, head: str | None, indexed_commit: str |
     return "full" if force else "git" if is_git and head and indexed_commit else "hash"
 
 
-def run(files: DataFrame, memory: DataFrame | None, repository: str, branch: str, now: str, describe=None, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(the memory table after the run, its stats): changed files by hash, all their rows replaced."""
-    todo = files
-    if memory is not None and not full:
+def indexed_commit(memory: DataFrame | None, repository: str) -> str | None:
+    """The commit that the repository's newest skeleton was made at."""
+    if memory is None or "indexed_commit" not in memory.columns:
+        return None
+    row = memory.where((F.col("type") == "skeleton") & (F.col("repository") == repository)).select("indexed_commit").orderBy("id").first()
+    return row[0] if row and row[0] else None
+
+
+def run(files: DataFrame, memory: DataFrame | None, repository: str, branch: str, now: str, describe=None, full: bool = False, delta: DataFrame | None = None, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the memory table after the run, its stats): all rows of the changed files are replaced.
+
+    Changed are all files when full, else those of a delta (path, old_path, change: of
+    a checkout since the indexed commit), where deleted and renamed files lose
+    their rows, else those whose hash differs from the stored one.
+    """
+    todo, gone = files, None
+    if memory is not None and not full and delta is not None:
+        todo = files.join(file_source.changed_files(delta, files), "path", "left_semi")
+        gone = delta.where("change in ('deleted', 'renamed')").select(F.when(F.col("change") == "renamed", F.col("old_path")).otherwise(F.col("path")).alias("path")).distinct()
+    elif memory is not None and not full:
         stored = memory.where((F.col("type") == "file_metadata") & (F.col("repository") == repository)).select(F.col("file_path").alias("path"), F.col("file_hash").alias("hash"))
         todo = maintenance.hash_delta(files, stored).drop("change")
     rows = described(extracted(todo), describe)
-    made = file_metadata(rows, repository, branch, now)
-    for more in (data_contracts(rows, repository, branch), entry_points(rows, repository, branch), dependencies(rows, repository, branch), skeleton(files, repository, branch)):
+    tested = tests_of(rows.where("status = 'ok'")).withColumnRenamed("source", "file_path")
+    made = file_metadata(rows, repository, branch, now).join(tested, "file_path", "left")
+    for more in (data_contracts(rows, repository, branch), entry_points(rows, repository, branch), dependencies(rows, repository, branch), skeleton(files, repository, branch, commit)):
         made = made.unionByName(more, allowMissingColumns=True)
     if memory is None:
         return made, ingest_stats(rows)
-    kept = maintenance.delete_file_docs(memory.where(F.col("file_path").isNotNull()), todo.select(F.lit(repository).alias("repository"), F.col("path").alias("file_path")))
+    paths = todo.select("path") if gone is None else todo.select("path").unionByName(gone)
+    kept = maintenance.delete_file_docs(memory.where(F.col("file_path").isNotNull()), paths.select(F.lit(repository).alias("repository"), F.col("path").alias("file_path")))
     kept = kept.unionByName(memory.where(F.col("file_path").isNull()))
-    return maintenance.upsert(kept, made), ingest_stats(rows)
+    return maintenance.upsert(kept, made), ingest_stats(rows, gone.count() if gone is not None else 0)
 
 
 # ---- the tree of a repository

@@ -83,8 +83,16 @@ def hash_delta(current: DataFrame, stored: DataFrame, key: str = "path") -> Data
     return current.join(old, key, "left").withColumn("change", F.when(F.col("__old").isNull(), "new").otherwise("modified")).where(~F.col("hash").eqNullSafe(F.col("__old"))).drop("__old")
 
 
-def upsert(memory: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """changes replace rows of the same key or are added; of several changes of one key the last in order counts."""
+def last_of_each(changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """One row for each key: the one with the largest order (nulls are smallest); ties, and changes without an order, go by the row's JSON."""
+    shown = [F.desc_nulls_last(order)] if order else []
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*shown, F.desc(F.to_json(F.struct(*changes.columns)))))
+    return changes.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def upsert(memory: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """changes replace rows of the same key or are added; of several changes of one key one counts, as by `last_of_each`."""
+    changes = last_of_each(changes, key, order)
     return memory.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -107,8 +110,9 @@ def search(
     focus: str | None = None,
     settings: S.Settings | None = None,
     scorer: Callable | None = None,
+    retriever: Retriever | None = None,
 ) -> DataFrame:
-    """The whole pipeline: filter, hybrid retrieval, rerank, boosts, threshold.
+    """The whole pipeline: filter, hybrid retrieval (by a retriever's kept index, where given), rerank, boosts, threshold.
 
     The cut to the rerank size comes before boosts and the initiative filter.
     """
@@ -116,8 +120,11 @@ def search(
     if not settings.enabled:
         raise RuntimeError("search is disabled")
     wanted = filters.resolve_types(preset, types)
-    where = filters.branch_aware(repository, filters.resolve_branches(branch, current_branch), wanted)
-    found = hybrid_search(memory, vectors, query, query_vector, settings.top_k_retrieve, where)
+    branches = filters.resolve_branches(branch, current_branch)
+    if retriever is not None:
+        found = retriever.search(query, query_vector, settings.top_k_retrieve, repository=repository, branches=branches, types=wanted)
+    else:
+        found = hybrid_search(memory, vectors, query, query_vector, settings.top_k_retrieve, filters.branch_aware(repository, branches, wanted))
     rows = memory.drop("rerank_score").join(F.broadcast(found), "id")
     best = rerank(rows, query, settings.top_k_rerank, scorer)
     boosted = boost_chain(best, as_of, settings, focus, initiative)
@@ -151,23 +158,57 @@ def detect_repository(given: str | None, results: DataFrame) -> str | None:
     return row[0] if row and row[0] not in (None, "", "unknown") else None
 
 
+def filter_key(**where) -> str:
+    """A filter's name: its canonical JSON."""
+    return json.dumps({k: sorted(v) if isinstance(v, list | tuple | set) else v for k, v in where.items() if v}, sort_keys=True)
+
+
 class Retriever:
-    """Keeps the filtered corpus between queries, by filter; writers invalidate it."""
+    """Keeps a BM25 index for each filter between queries, as long as the memory's version stays; a write drops them all.
 
-    def __init__(self, memory: DataFrame, vectors: DataFrame):
-        self.memory, self.vectors, self.kept = memory, vectors, {}
+    memory gives the current rows, version what changes with every write; the
+    indexes are folders below `folder`, the KEPT last used ones.
+    """
+
+    KEPT = 4
+
+    def __init__(self, memory: Callable[[], DataFrame], vectors: DataFrame, folder: str, version: Callable[[], str | None] = lambda: None):
+        self.memory, self.vectors, self.folder, self.version = memory, vectors, folder.rstrip("/"), version
+        self.kept: dict[str, bm25.Index] = {}
+        self.seen, self.builds = version(), 0
 
     def corpus(self, repository: str | None = None, branches: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
-        name = repr((repository, sorted(branches or []), sorted(types or [])))
-        if name not in self.kept:
+        return self.memory().where(filters.branch_aware(repository, branches, types))
+
+    def index(self, repository: str | None = None, branches: list[str] | None = None, types: list[str] | None = None) -> bm25.Index:
+        if self.version() != self.seen:
             self.invalidate()
-            self.kept[name] = self.memory.where(filters.branch_aware(repository, branches, types)).persist()
+        name = filter_key(repository=repository, branches=branches, types=types)
+        if name in self.kept:
+            self.kept[name] = self.kept.pop(name)  # the last used one is last
+        else:
+            path = f"{self.folder}/bm25-{hashlib.md5(name.encode()).hexdigest()}-{uuid.uuid4().hex[:8]}"
+            self.kept[name] = bm25.Index.build(self.corpus(repository, branches, types), path)
+            self.builds += 1
+            for old in list(self.kept)[: -self.KEPT]:
+                self._drop(old)
         return self.kept[name]
 
     def search(self, query: str, query_vector: list[float], k: int = 10, **where) -> DataFrame:
-        return hybrid_search(self.corpus(**where), self.vectors, query, query_vector, k)
+        """As hybrid_search over the filtered rows, the words by the kept index."""
+        index = self.index(**where)
+        candidates = self.vectors.join(index.keys.select(F.col("key").alias("id")), "id", "left_semi") if any(where.values()) else self.vectors
+        near = ranked(vector.top_k(candidates, query_vector, k, "id"), ["vector_distance", "id"], "vrank")
+        words = ranked(index.top_k(query, k), [F.desc("bm25_score"), "id"], "brank")
+        return fused_top_k(reciprocal_rank_fusion(near, words), k)
+
+    def _drop(self, name: str) -> None:
+        index = self.kept.pop(name)
+        place = index.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.path)
+        place.getFileSystem(index.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def invalidate(self) -> None:
-        for df in self.kept.values():
-            df.unpersist()
-        self.kept.clear()
+        """Every index goes; the next query of a filter builds its own anew."""
+        for name in list(self.kept):
+            self._drop(name)
+        self.seen = self.version()

@@ -7,7 +7,7 @@ import subprocess
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import filters
@@ -15,11 +15,12 @@ from larkspur.operators import filters
 
 def walk(spark: SparkSession, root: str, ignore: Iterable[str] = filters.DEFAULT_IGNORES, include: Iterable[str] = (), extensions: Iterable[str] | None = None) -> DataFrame:
     """path (relative), size, content (binary) of the eligible files below root."""
+    # rules over _metadata alone choose the files before any is read
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
     base = F.regexp_replace(F.lit(os.path.abspath(root).rstrip("/") + "/" if "://" not in root else root.rstrip("/") + "/"), r"^\w+://[^/]*", "")
-    path = F.url_decode(F.regexp_replace("path", r"^\w+:(//[^/]*)?", ""))
+    path = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^\w+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
     relative = F.substr(path, F.char_length(base) + 1)
-    rows = files.select(relative.alias("path"), F.col("length").alias("size"), "content")
+    rows = files.select(relative.alias("path"), F.col("_metadata.file_size").alias("size"), "content")
     return rows.where(filters.eligible_file(ignore=ignore, include=include, extensions=extensions))
 
 
@@ -34,10 +35,17 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (file name), line_no, value."""
-    lines = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", "")
-    return lines.select(name.alias("session_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    """session_id (file name), line_no (from 0), value.
+
+    Files are read by splits and lines, however long they are; a line's number is
+    its place in its split plus the lines of the splits before it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__at"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "block").count().select("file", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("__at")) - 1
+    name = F.url_decode(F.replace(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", ""), F.lit("+"), F.lit("%2B")))
+    return lines.withColumn("place", place).join(before, ["file", "block"]).select(name.alias("session_id"), (F.col("before") + F.col("place")).cast("int").alias("line_no"), "value")
 
 
 def read_ignore_file(path: str) -> set[str]:
@@ -60,6 +68,16 @@ def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=30, check=True).stdout
 
 
+def head_commit(root: str) -> str | None:
+    """The commit that a checkout stands at; None where the folder is no checkout of its own."""
+    if "://" in root or not os.path.exists(os.path.join(root, ".git")):
+        return None
+    try:
+        return git(root, "rev-parse", "HEAD").strip()
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def git_delta(spark: SparkSession, root: str, since: str) -> DataFrame:
     """path, old_path, change (modified, deleted, renamed, untracked) of a checkout since a commit."""
     rows = []

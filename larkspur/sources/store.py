@@ -100,7 +100,9 @@ class Store:
         kept = {leaf: writes for leaf, writes in manifest.items() if leaf not in touched}
         return self._commit(kept | {leaf: [*kept.get(leaf, []), write] for leaf in leaves})
 
-    def upsert(self, changes: DataFrame) -> str:
+    def upsert(self, changes: DataFrame, order: str | None = None) -> str:
+        """changes by id; of several changes of one id the one with the largest `order` counts."""
+        changes = maintenance.last_of_each(changes, order=order)
         manifest = self._manifest(self.current())
         if not manifest:
             return self.replace(changes)
@@ -114,6 +116,41 @@ class Store:
             return self.current()
         return self._rewrite(touched, manifest, lambda rows: maintenance.delete_ids(rows, ids))
 
+    def backup(self, folder: str, keep: int = KEEP) -> str:
+        """A copy of the store on any file system that Spark reaches; the oldest copies over `keep` go."""
+        folder = folder.rstrip("/")
+        target = f"{folder}/backup_{time.strftime('%Y%m%d_%H%M%S')}_{time.time_ns() % 10**9:09d}"
+        self._copy(self.path, target)
+        for old in self.backups(folder)[keep:]:
+            self._fs(folder).delete(self._path(old["path"]), True)
+        return target
+
+    def backups(self, folder: str) -> list[dict]:
+        """Newest name first, with size in MB."""
+        fs, place = self._fs(folder), self._path(folder.rstrip("/"))
+        names = sorted((s.getPath().getName() for s in fs.listStatus(place)), reverse=True) if fs.exists(place) else []
+        return [{"name": n, "path": f"{folder.rstrip('/')}/{n}", "size_mb": round(fs.getContentSummary(self._path(f"{folder.rstrip('/')}/{n}")).getLength() / 1e6, 2)} for n in names if n.startswith("backup_")]
+
+    def restore(self, backup: str) -> None:
+        """Puts a copy in place: copied beside the store first, then swapped."""
+        beside, before = f"{self.path}.restoring", f"{self.path}.before"
+        for place in (beside, before):
+            self.fs.delete(self._path(place), True)
+        self._copy(backup, beside)
+        if self.fs.exists(self._path(self.path)):
+            self.fs.rename(self._path(self.path), self._path(before))
+        self.fs.rename(self._path(beside), self._path(self.path))
+        self.fs.delete(self._path(before), True)
+
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _copy(self, source: str, target: str) -> None:
+        self._fs(target).mkdirs(self._path(target).getParent())
+        util = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+        if not util.copy(self._fs(source), self._path(source), self._fs(target), self._path(target), False, True, self.spark.sparkContext._jsc.hadoopConfiguration()):
+            raise OSError(f"could not copy {source} to {target}")
+
     def prune(self, keep: int = KEEP) -> list[str]:
         """Drops all but the newest versions, and writes that none of these names; returns the versions that went."""
         gone = self.versions()[:-keep]

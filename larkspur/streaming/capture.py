@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 QUEUE = "session_id string, transcript_text string, files_edited array<string>, repository string, queued_at string, initiative_id string, attempt int"
 MAX_CHARS = 100_000
 KEPT_QUEUE, KEPT_IDS = 100, 1000
+#: the captured ids; no queue file by its name
+CAPTURED = "captured.ids"
 
 
 def enqueue(folder: str, entry: dict) -> str:
@@ -34,6 +36,30 @@ def enqueue(folder: str, entry: dict) -> str:
     return path
 
 
+def capture(folder: str, entry: dict, significant: bool, initiative: str | None = None) -> str | None:
+    """What the end of a session does: one queue file, unless the session was captured before or is not significant.
+
+    The focused initiative is attached.  The last KEPT_IDS captured ids are
+    remembered, and only the last KEPT_QUEUE waiting files are kept.
+    """
+    os.makedirs(folder, exist_ok=True)
+    known = os.path.join(folder, CAPTURED)
+    ids: list[str] = []
+    if os.path.isfile(known):
+        with open(known, encoding="utf-8") as f:
+            ids = json.load(f)
+    if entry["session_id"] in ids or not significant:
+        return None
+    path = enqueue(folder, entry | ({"initiative_id": initiative} if initiative else {}))
+    with open(f"{known}.tmp", "w", encoding="utf-8") as f:
+        json.dump([*ids, entry["session_id"]][-KEPT_IDS:], f)
+    os.replace(f"{known}.tmp", known)
+    waiting = sorted((os.path.getmtime(p), p) for n in os.listdir(folder) if n.endswith(".json") and os.path.isfile(p := os.path.join(folder, n)))
+    for _, old in waiting[:-KEPT_QUEUE]:
+        os.remove(old)
+    return path
+
+
 def read_queue(spark: SparkSession, folder: str, watermark: str | None = None) -> DataFrame:
     """The stream of sessions, each id once: for ever, or within a watermark on queued_at."""
     rows = spark.readStream.schema(QUEUE).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(folder)
@@ -96,7 +122,11 @@ def consume_parquet(spark: SparkSession, path: str, session: str) -> DataFrame:
 
     State, checkpoint and output are in the folder that all executors share.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="larkspur-stream-")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     is_folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory()
