@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.place import shared_place
+
 QUEUE = "session_id string, transcript_text string, files_edited array<string>, repository string, queued_at string, initiative_id string, attempt int"
 MAX_CHARS = 100_000
 KEPT_QUEUE, KEPT_IDS = 100, 1000
@@ -122,12 +123,7 @@ def consume_parquet(spark: SparkSession, path: str, session: str) -> DataFrame:
 
     State, checkpoint and output are in the folder that all executors share.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="larkspur-stream-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared_place(spark, "stream")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     is_folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory()
     schema = spark.read.parquet(path).schema

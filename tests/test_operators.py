@@ -187,3 +187,15 @@ def test_day_group_uses_the_written_offset(spark):
     items = spark.createDataFrame([("a", "note", "r", "2024-02-29T23:30:00-05:00")], "id string, type string, repository string, created_at string")
     got = timeline.by_day(timeline.recent_items(items, None, 30, at("2024-03-02 00:00:00"))).first()
     assert (got["date"], got["day_name"]) == ("2024-02-29", "Thursday")
+
+
+def test_tests_by_import_equal_containment(spark, monkeypatch):
+    from larkspur.operators import graph
+
+    imports = [(f"t{i}", m) for i, m in enumerate(["app.models", "a.b", "models", "", "xmodelsx.user", "é.ü"])]
+    sources = [(f"src/{s}.py",) for s in ("models", "user", "b", "els", "nothing", "ü")]
+    want = sorted((t, p) for t, m in imports for (p,) in sources if p[4:-3] in m)
+    for lengths in (256, 2):
+        monkeypatch.setattr(graph, "LENGTHS", lengths)
+        got = graph.tests_by_import(spark.createDataFrame(imports, "src string, module string"), spark.createDataFrame(sources, "path string"))
+        assert sorted(map(tuple, got.collect())) == want

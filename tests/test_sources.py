@@ -296,3 +296,146 @@ def test_ingest_in_a_task(spark, project, tmp_path):
     assert e.tasks.poll(task) is None
     again = e.ingest_task(project, "repo", "main", NOW).first()
     assert (again["scanned"], again["processed"]) == (4, 0)  # files without rows have no stored hash
+
+
+def test_upsert_keeps_one_row_a_key(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame([(i, "r", "note", v, n) for i, v, n in r], "id string, repository string, type string, text string, n int")
+    s.upsert(rows(("a", "old", 1), ("a", "new", 2), ("b", "x", None), ("b", "y", None)), order="n")
+    assert sorted((r["id"], r["text"]) for r in s.read().collect()) == [("a", "new"), ("b", "y")]
+    s.upsert(rows(("a", "1", 1), ("a", "2", 2), ("a", "3", None)), order="n")
+    s.upsert(rows(("c", "same", 1), ("c", "same", 1)))
+    assert sorted((r["id"], r["text"]) for r in s.read().collect()) == [("a", "2"), ("b", "y"), ("c", "same")]
+
+
+def test_store_backups_on_its_file_system(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/t")
+    row = lambda v: spark.createDataFrame([("a", "r", "note", v)], "id string, repository string, type string, text string")
+    s.upsert(row("1"))
+    first = s.backup(f"file://{tmp_path}/saved", keep=2)
+    for v in ("2", "3"):
+        s.upsert(row(v))
+        s.backup(f"file://{tmp_path}/saved", keep=2)
+    kept = s.backups(f"file://{tmp_path}/saved")
+    assert len(kept) == 2 and kept[0]["name"] > kept[1]["name"] and first not in [b["path"] for b in kept]
+    s.upsert(row("4"))
+    s.restore(kept[1]["path"])
+    assert [r["text"] for r in s.read().collect()] == ["2"]
+
+
+def test_json_lines_by_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want = []
+    for name, n in (("one long", 3000), ("b+c", 5), ("empty", 0)):
+        lines = [json.dumps({"n": i, "x": "é" * (i % 50)}) for i in range(n)]
+        (folder / f"{name}.jsonl").write_text("\n".join(lines) + ("\n" if n else ""))
+        want += [(name, i, line) for i, line in enumerate(lines)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        rows = files.json_lines(spark, str(folder))
+        assert sorted(map(tuple, rows.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_only_eligible_files_are_read(spark, project):
+    (open(os.path.join(project, "a b+%.py"), "w")).write("x = 1\n")
+    rows = files.walk(spark, project, extensions=[".py"])
+    assert {r["path"] for r in rows.collect()} == {"src/models.py", "src/api.py", "tests/test_api.py", "src/empty.py", "broken.py", "a b+%.py"}
+    scan = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+    list(rows.toLocalIterator())
+    scan.execute().count()
+    assert scan.metrics().apply("numFiles").value() == 6
+
+
+def git_in(folder, *args):
+    import subprocess
+
+    subprocess.run(["git", "-C", folder, "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+
+def test_ingestion_of_a_checkout(spark, project, tmp_path):
+    git_in(project, "init", "-q")
+    git_in(project, "add", "-A")
+    git_in(project, "commit", "-qm", "one")
+    e = Engine(spark, str(tmp_path / "memory"))
+    assert e.ingest(project, "repo", "main", NOW).first()["strategy"] == "hash"
+    rows = {r["file_path"]: r for r in e.memory.where("type = 'file_metadata'").collect()}
+    assert rows["src/api.py"]["related_tests"] == ["tests/test_api.py"] and rows["src/models.py"]["related_tests"] is None
+    os.remove(os.path.join(project, "tests/test_api.py"))
+    git_in(project, "mv", "src/models.py", "src/kinds.py")
+    with open(os.path.join(project, "src/new.py"), "w") as f:
+        f.write("import models\n\n\ndef fresh():\n    pass\n")
+    stats = e.ingest(project, "repo", "main", NOW).first()
+    assert (stats["strategy"], stats["processed"], stats["deleted"]) == ("git", 2, 2)
+    assert {r["file_path"] for r in e.memory.where("type = 'file_metadata'").collect()} == {"src/kinds.py", "src/api.py", "src/new.py"}
+    assert e.memory.where("file_path in ('src/models.py', 'tests/test_api.py')").count() == 0
+    git_in(project, "add", "-A")
+    git_in(project, "commit", "-qm", "two")
+    again = e.ingest(project, "repo", "main", NOW).first()
+    assert again["strategy"] == "git"  # the commit that was indexed last is the one before
+    assert e.ingest(project, "repo", "main", NOW).first()["scanned"] == 0
+    assert e.ingest(project, "repo", "main", NOW, full=True).first()["strategy"] == "full"
+
+
+def test_capture_rules(tmp_path, monkeypatch):
+    folder = str(tmp_path / "queue")
+    monkeypatch.setattr(capture, "KEPT_QUEUE", 3)
+    monkeypatch.setattr(capture, "KEPT_IDS", 4)
+    entry = lambda i: {"session_id": f"s{i}", "transcript_text": "t"}
+    assert capture.capture(folder, entry(0), significant=False) is None
+    path = capture.capture(folder, entry(0), True, "initiative:1")
+    assert json.load(open(path))["initiative_id"] == "initiative:1"
+    os.utime(path, (0, 0))
+    assert capture.capture(folder, entry(0), True) is None
+    for i in range(1, 7):
+        os.utime(capture.capture(folder, entry(i), True), (i, i))
+    waiting = [n for n in os.listdir(folder) if n.endswith(".json")]
+    assert {json.load(open(os.path.join(folder, n)))["session_id"] for n in waiting} == {"s4", "s5", "s6"}
+    assert capture.capture(folder, entry(6), True) is None and capture.capture(folder, entry(0), True) is not None
+
+
+def test_kept_index(spark, tmp_path):
+    from larkspur.operators import search
+
+    rows = [(i, text, "note", "r" if i % 2 else "q", "main") for i, text in enumerate(["a b", "b c c", "d", None, "", "camelCase b", "b b b", "e f g h"])]
+    docs = spark.createDataFrame(rows, "id long, text string, type string, repository string, branch string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "id long, embedding array<float>")
+    from larkspur.operators import bm25
+
+    index = bm25.Index.build(docs, str(tmp_path / "i"))
+    for query in ("b", "c camel", "zzz", "", "b b c", "h"):
+        for k in (2, 5, 20):
+            want = [tuple(r) for r in bm25.top_k(docs.na.fill("", ["text"]), query, k).select("id", "bm25_score").collect()]
+            assert [(r["id"], pytest.approx(r["bm25_score"], abs=1e-6)) for r in index.top_k(query, k).orderBy(F.desc("bm25_score"), "id").collect()] == want, (query, k)
+    version = ["1"]
+    r = search.Retriever(lambda: docs, vectors, str(tmp_path / "kept"), lambda: version[0])
+    first = r.search("b", [1.0, 0.0], 3).collect()
+    assert first == search.hybrid_search(docs, vectors, "b", [1.0, 0.0], 3).collect() and r.builds == 1
+    r.search("c", [1.0, 0.0], 3).collect()
+    assert r.builds == 1  # no rebuild for another query
+    r.search("c", [1.0, 0.0], 3, repository="q").collect()
+    r.search("c", [1.0, 0.0], 3).collect()
+    assert r.builds == 2 and len(os.listdir(tmp_path / "kept")) == 2  # one for each filter
+    version[0] = "2"
+    r.search("c", [1.0, 0.0], 3).collect()
+    assert r.builds == 3 and len(os.listdir(tmp_path / "kept")) == 1  # a write drops them all
+    r.invalidate()
+    assert os.listdir(tmp_path / "kept") == []
+    assert search.filter_key(types=["b", "a"], repository="r") == search.filter_key(repository="r", types=["a", "b"])
+
+
+def test_engine_search_uses_the_kept_index(spark, tmp_path):
+    vectors = spark.createDataFrame([("note:a", [1.0, 0.0]), ("note:b", [0.0, 1.0])], "id string, embedding array<float>")
+    e = Engine(spark, str(tmp_path / "memory"), vectors).__class__(spark, str(tmp_path / "memory"), vectors)
+    e.settings = e.settings.with_(min_score=0.0)
+    for name in "ab":
+        e.save_memory("note", name, f"word {name * 3}", "repo", NOW)
+    got = [r["id"] for r in e.search("aaa", [1.0, 0.0], NOW).collect()]
+    assert got[0] == "note:a" and e.retriever.builds == 1
+    e.search("bbb", [1.0, 0.0], NOW).collect()
+    assert e.retriever.builds == 1
+    e.save_memory("note", "c", "word ccc", "repo", NOW)
+    assert "note:c" in [r["id"] for r in e.search("ccc", [1.0, 0.0], NOW).collect()] and e.retriever.builds == 2
