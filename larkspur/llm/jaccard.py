@@ -478,7 +478,8 @@ def set_components(docs: DataFrame, sets: DataFrame, text: str = "text") -> Data
     runs = runs.join(groups, "gk").select("run", "sk", "n", "at").unionAll(groups.join(several.select("gk"), "gk").select(F.col("gk").alias("run"), "sk", "n", F.lit(0).cast("long").alias("at")))
     runs = runs.join(known.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     parts = runs.groupBy("run", "root").count()
-    mixed = parts.groupBy("run").agg(F.count("*").alias("parts"), F.sum("count").alias("sets"), F.max_by("root", F.struct("count", "root")).alias("largest")).where("parts > 1").drop("parts")
+    # cut, so that the join reads two plain shuffles and a hot run is split at run time
+    mixed = cut(parts.groupBy("run").agg(F.count("*").alias("parts"), F.sum("count").alias("sets"), F.max_by("root", F.struct("count", "root")).alias("largest")).where("parts > 1").drop("parts"))
     open_ = cut(runs.join(mixed, "run"))
     small = open_.where(F.col("sets") <= SMALL)
     share = f"((l.n + r.n) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}"
