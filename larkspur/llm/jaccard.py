@@ -489,7 +489,8 @@ def set_components(docs: DataFrame, sets: DataFrame, text: str = "text") -> Data
     queries = cut(open_.where((F.col("sets") > SMALL) & (F.col("root") != F.col("largest"))).select("sk").distinct())
     if not queries.isEmpty():
         links = links.unionAll(cut(contract(_against_all(texts, sets, queries))))
-    return components(links)
+    # cut, so that joins by set read plain shuffles, and a set of many copies is split at run time
+    return cut(components(links))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
