@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as X
 from larkspur.operators import extract, graph, maintenance
 from larkspur.sources import files as file_source
+from larkspur.sources.place import cut
 
 EMPTY = {"imports": [], "exports": [], "classes": [], "functions": [], "contracts": [], "entry_point_type": None, "is_barrel": False}
 
@@ -136,14 +137,15 @@ def run(files: DataFrame, memory: DataFrame | None, repository: str, branch: str
     elif memory is not None and not full:
         stored = memory.where((F.col("type") == "file_metadata") & (F.col("repository") == repository)).select(F.col("file_path").alias("path"), F.col("file_hash").alias("hash"))
         todo = maintenance.hash_delta(files, stored).drop("change")
-    rows = described(extracted(todo), describe)
+    # cut, since seven parts of the plan below read it: each file is read, hashed and parsed once
+    rows = cut(described(extracted(todo), describe))
     tested = tests_of(rows.where("status = 'ok'")).withColumnRenamed("source", "file_path")
     made = file_metadata(rows, repository, branch, now).join(tested, "file_path", "left")
     for more in (data_contracts(rows, repository, branch), entry_points(rows, repository, branch), dependencies(rows, repository, branch), skeleton(files, repository, branch, commit)):
         made = made.unionByName(more, allowMissingColumns=True)
     if memory is None:
         return made, ingest_stats(rows)
-    paths = todo.select("path") if gone is None else todo.select("path").unionByName(gone)
+    paths = rows.select("path") if gone is None else rows.select("path").unionByName(gone)
     kept = maintenance.delete_file_docs(memory.where(F.col("file_path").isNotNull()), paths.select(F.lit(repository).alias("repository"), F.col("path").alias("file_path")))
     kept = kept.unionByName(memory.where(F.col("file_path").isNull()))
     return maintenance.upsert(kept, made), ingest_stats(rows, gone.count() if gone is not None else 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_place(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,11 @@ def shared_place(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="larkspur-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_place(spark, "cut"))
+    return df.checkpoint()
