@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontam, jaccard, langid, license, lm, media, packing, quality, urlfilter
+from larkspur.llm import chat, credentials, decontam, jaccard, langid, license, lm, media, packing, quality, ranked, repair, urlfilter
 from larkspur.llm.common import fold, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -82,7 +82,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op4_lm_score, op5_decontaminate, op6_media_copies, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(credentials.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_pack_swap, op3_chat_format, op4_lm_score, op5_decontaminate, op6_media_copies, op7_url_filter, op8_license_scan, op9_language_id, op10_ngram_jaccard, op11_ranked_search, op12_secret_scan, op13_structure_repair)}
 
 ORACLE: dict[str, str] = {}
 ORACLE["op3_chat_format"] = r"""
@@ -137,3 +150,91 @@ l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
 r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.root)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+ORACLE["op11_ranked_search"] = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id),
+g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, g GROUP BY t),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN c USING (t) JOIN w USING (t) JOIN n USING (doc_id), g GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def _secrets_sql() -> str:
+    """Spans from the pieces between matches; a letter that counts in either case is written as a class."""
+    rules = []
+    for place, rule in enumerate(credentials.RULES):
+        pattern = rule.pattern
+        if rule.any_case:
+            head, _, tail = pattern.partition(")")
+            pattern = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in head) + ")" + tail
+        # runs are as long as they can be, so that a short one holds no longer one
+        pattern = {"hex": "[0-9a-f]{24,}", "access": "AKIA[A-Z0-9]{16,}"}.get(rule.kind, pattern).replace("'", "''")
+        rules.append(f"""SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(own) AS own, unnest(g[:len(m)]) AS g
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS own, string_split_regex(text, '{pattern}') AS g FROM d)""")
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in credentials.RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+x AS ({" UNION ALL ".join(rules)}),
+y AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM x),
+z AS (SELECT doc_id, kind, place, e - length(m) AS s, e FROM y WHERE length(own) >= CASE kind {least} END)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place), '') AS spans
+FROM d LEFT JOIN z USING (doc_id) GROUP BY doc_id
+"""
+
+
+ORACLE["op12_secret_scan"] = _secrets_sql()
+ORACLE["op13_structure_repair"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS k, range AS v, 0 AS r FROM range(256)
+  UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, r + 1 FROM bits WHERE r < 8
+), crc AS (SELECT list(v ORDER BY k) AS t FROM bits WHERE r = 8),
+planted AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS f
+  FROM conversations, crc
+), rows AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM planted WHERE f <> 0
+), told AS (
+  SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open
+  FROM rows
+), marked AS (
+  SELECT *, blank OR seen AS gone, CASE WHEN open AND NOT blank AND NOT seen THEN 3 ELSE 0 END AS more,
+    coalesce(lag(c) OVER w || c NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM told WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (more > 0) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM marked GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n AS i, {c: 0, a: '', r: ''} AS v0, {c: 6, a: 'II', r: 'user:' || chr(10) || 'assistant:' || chr(10)} AS v1,
+    {c: 3, a: 'I', r: 'assistant:' || chr(10)} AS v2, {c: 0, a: '', r: ''} AS v3 FROM facts
+  UNION ALL
+  SELECT conv_id, i - 1, list_min([w0, u]), list_min([w1, u]), list_min([w2, {c: 3 + w3.c, a: 'I' || w3.a, r: 'assistant:' || chr(10) || w3.r}]), list_min([w3, u])
+  FROM (SELECT *, list_min([{c: 3 + w2.c, a: 'I' || w2.a, r: 'user:' || chr(10) || w2.r}, {c: 6 + w3.c, a: 'II' || w3.a, r: 'user:' || chr(10) || 'assistant:' || chr(10) || w3.r}]) AS u FROM (
+    SELECT conv_id, i,
+      list_min(list_filter([d0, CASE WHEN c = 's' THEN {c: k + v1.c, a: 'K' || v1.a, r: line || v1.r} END, CASE WHEN c = 'u' THEN {c: k + v2.c, a: 'K' || v2.a, r: line || v2.r} END, {c: 3 + k + v2.c, a: 'R' || v2.a, r: u_line || v2.r}], lambda x: x IS NOT NULL AND x.c < 1000000)) AS w0,
+      list_min(list_filter([d1, CASE WHEN c = 'u' THEN {c: k + v2.c, a: 'K' || v2.a, r: line || v2.r} END, {c: 3 + k + v2.c, a: 'R' || v2.a, r: u_line || v2.r}], lambda x: x IS NOT NULL AND x.c < 1000000)) AS w1,
+      list_min(list_filter([d2, CASE WHEN c = 'a' THEN {c: k + v3.c, a: 'K' || v3.a, r: line || v3.r} END, {c: 3 + k + v3.c, a: 'R' || v3.a, r: a_line || v3.r}], lambda x: x IS NOT NULL AND x.c < 1000000)) AS w2,
+      list_min(list_filter([d3, CASE WHEN c = 'u' THEN {c: k + v2.c, a: 'K' || v2.a, r: line || v2.r} END, {c: 3 + k + v2.c, a: 'R' || v2.a, r: u_line || v2.r}], lambda x: x IS NOT NULL AND x.c < 1000000)) AS w3
+    FROM (
+      SELECT walk.*, m.c, CASE WHEN gone THEN 1000000 ELSE more END AS k, role || ':' || text || chr(10) AS line, 'user:' || text || chr(10) AS u_line, 'assistant:' || text || chr(10) AS a_line,
+        {c: 4 + v0.c, a: 'D' || v0.a, r: v0.r} AS d0, {c: 4 + v1.c, a: 'D' || v1.a, r: v1.r} AS d1, {c: 4 + v2.c, a: 'D' || v2.a, r: v2.r} AS d2, {c: 4 + v3.c, a: 'D' || v3.a, r: v3.r} AS d3
+      FROM walk JOIN marked m ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND m.i = walk.i)))
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(left(v0.r, -1), '')) AS repaired_sha256
+FROM ids LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM ids.conv_id AND walk.i = 0
+"""
