@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.operators import filters, ingest, maintenance, search, timeline
-from larkspur.schema import Settings
+from larkspur.schema import STORED, Settings
 from larkspur.sources import files as file_source
 from larkspur.sources.store import Store
 from larkspur.streaming.tasks import TaskTable, runs_async
@@ -35,7 +35,9 @@ class Engine:
 
     @property
     def memory(self) -> DataFrame:
-        return self.store.read()
+        """The newest version, with every column that operations name."""
+        rows = self.store.read()
+        return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in STORED.items() if c not in rows.columns})
 
     @staticmethod
     def _at(now: str) -> Column:
@@ -131,8 +133,9 @@ class Engine:
                 delta = file_source.git_delta(self.spark, root, indexed)
             except subprocess.SubprocessError:  # a commit that is no more: by hash
                 how = "hash"
-        after, stats = ingest.run(files, memory, repository, branch, now, full=how == "full", delta=delta, commit=head)
-        self.store.replace(after)
+        made, paths, stats = ingest.changed(files, memory, repository, branch, now, full=how == "full", delta=delta, commit=head)
+        # one commit of the delta: what others save meanwhile stays
+        self.store.merge(maintenance.last_of_each(made), ingest.ids_of_paths(memory, paths, repository) if memory is not None else None)
         return stats.withColumn("strategy", F.lit(how))
 
     def ingest_task(self, root: str, repository: str, branch: str, now: str, force: bool = False, **options) -> str | DataFrame:

@@ -123,8 +123,8 @@ def indexed_commit(memory: DataFrame | None, repository: str) -> str | None:
     return row[0] if row and row[0] else None
 
 
-def run(files: DataFrame, memory: DataFrame | None, repository: str, branch: str, now: str, describe=None, full: bool = False, delta: DataFrame | None = None, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the memory table after the run, its stats): all rows of the changed files are replaced.
+def changed(files: DataFrame, memory: DataFrame | None, repository: str, branch: str, now: str, describe=None, full: bool = False, delta: DataFrame | None = None, commit: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that a run makes, paths whose rows it takes from the memory, its stats).
 
     Changed are all files when full, else those of a delta (path, old_path, change: of
     a checkout since the indexed commit), where deleted and renamed files lose
@@ -143,12 +143,23 @@ def run(files: DataFrame, memory: DataFrame | None, repository: str, branch: str
     made = file_metadata(rows, repository, branch, now).join(tested, "file_path", "left")
     for more in (data_contracts(rows, repository, branch), entry_points(rows, repository, branch), dependencies(rows, repository, branch), skeleton(files, repository, branch, commit)):
         made = made.unionByName(more, allowMissingColumns=True)
-    if memory is None:
-        return made, ingest_stats(rows)
     paths = rows.select("path") if gone is None else rows.select("path").unionByName(gone)
+    return made, paths, ingest_stats(rows, gone.count() if gone is not None and memory is not None else 0)
+
+
+def ids_of_paths(memory: DataFrame, paths: DataFrame, repository: str) -> DataFrame:
+    """id of every row, of any type, of the paths."""
+    return memory.where(F.col("file_path").isNotNull() & (F.col("repository") == repository)).join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id")
+
+
+def run(files: DataFrame, memory: DataFrame | None, repository: str, branch: str, now: str, describe=None, full: bool = False, delta: DataFrame | None = None, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the memory table after the run, its stats): all rows of the changed files are replaced, as `changed` tells them."""
+    made, paths, stats = changed(files, memory, repository, branch, now, describe, full, delta, commit)
+    if memory is None:
+        return made, stats
     kept = maintenance.delete_file_docs(memory.where(F.col("file_path").isNotNull()), paths.select(F.lit(repository).alias("repository"), F.col("path").alias("file_path")))
     kept = kept.unionByName(memory.where(F.col("file_path").isNull()))
-    return maintenance.upsert(kept, made), ingest_stats(rows, gone.count() if gone is not None else 0)
+    return maintenance.upsert(kept, made), stats
 
 
 # ---- the tree of a repository

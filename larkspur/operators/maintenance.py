@@ -84,10 +84,17 @@ def hash_delta(current: DataFrame, stored: DataFrame, key: str = "path") -> Data
 
 
 def last_of_each(changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """One row for each key: the one with the largest order (nulls are smallest); ties, and changes without an order, go by the row's JSON."""
-    shown = [F.desc_nulls_last(order)] if order else []
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*shown, F.desc(F.to_json(F.struct(*changes.columns)))))
-    return changes.withColumn("__place", place).where("__place = 1").drop("__place")
+    """One row for each key: the one with the largest order (nulls are smallest); ties, and changes without an order, go by the row's JSON.
+
+    The JSON is made only where rows of a key tie.
+    """
+    columns = changes.columns
+    if order:
+        changes = changes.withColumn("__place", F.rank().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(order)))).where("__place = 1").drop("__place")
+    tied = changes.withColumn("__ties", F.count("*").over(Window.partitionBy(key)))
+    tied = tied.withColumn("__shown", F.when(F.col("__ties") > 1, F.to_json(F.struct(*columns))))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__shown")))
+    return tied.withColumn("__place", place).where("__place = 1").select(*columns)
 
 
 def upsert(memory: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:

@@ -79,3 +79,7 @@ MEMORY_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "text", "type", "repository", "branch", "language", "created_at", "verified_at", "initiative_id", "name", "status", "updated_at")]
     + [T.StructField("files", T.ArrayType(T.StringType())), T.StructField("rerank_score", T.DoubleType()), T.StructField("n_chars", T.LongType()), T.StructField("doc_id", T.LongType())]
 )
+
+#: columns that operations on a stored memory name; where no row of it has one yet, it reads as null
+STORED = {n: "string" for n in ("id", "text", "type", "repository", "branch", "language", "title", "name", "goal", "status", "created_at", "updated_at", "verified_at", "completed_at", "completion_summary", "deprecated_at", "initiative_id", "initiative_name", "file_path", "file_hash", "indexed_at", "indexed_commit")}
+STORED |= {"files": "array<string>", "tags": "array<string>", "file_hashes": "map<string,string>"}

@@ -65,7 +65,7 @@ def ignore_patterns(project: str, user_file: str | None = None, project_file: st
 
 
 def git(root: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=30, check=True).stdout
+    return subprocess.run(["git", "-C", root, *args], capture_output=True, encoding="utf-8", errors="replace", timeout=30, check=True).stdout
 
 
 def head_commit(root: str) -> str | None:
@@ -79,13 +79,15 @@ def head_commit(root: str) -> str | None:
 
 
 def git_delta(spark: SparkSession, root: str, since: str) -> DataFrame:
-    """path, old_path, change (modified, deleted, renamed, untracked) of a checkout since a commit."""
-    rows = []
-    for line in git(root, "diff", "--name-status", "-M", since).splitlines():
-        mark, *names = line.split("\t")
-        kind = {"D": "deleted", "R": "renamed"}.get(mark[0], "modified")
-        rows.append((names[-1], names[0] if kind == "renamed" else None, kind))
-    rows += [(n, None, "untracked") for n in git(root, "ls-files", "--others", "--exclude-standard").splitlines()]
+    """path, old_path, change (modified, deleted, renamed, untracked) of a checkout since a commit; names as they are, not quoted."""
+    rows, parts = [], iter(git(root, "diff", "--name-status", "-M", "-z", since).split("\0"))
+    for mark in parts:
+        if mark:
+            # a rename or a copy names the old path first
+            names = [next(parts) for _ in range(2 if mark[0] in "RC" else 1)]
+            kind = {"D": "deleted", "R": "renamed"}.get(mark[0], "modified")
+            rows.append((names[-1], names[0] if kind == "renamed" else None, kind))
+    rows += [(n, None, "untracked") for n in git(root, "ls-files", "--others", "--exclude-standard", "-z").split("\0") if n]
     return spark.createDataFrame(rows, "path string, old_path string, change string")
 
 

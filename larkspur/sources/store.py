@@ -1,19 +1,28 @@
-"""The memory table on disk, as Parquet leaves of (repository, type) and manifests.
-
-Plain Parquet has no MERGE.  A leaf is the folder of one (repository, type) that
-one write made; a manifest names, for each leaf's name, the writes that hold its
-rows.  A change rewrites only the leaves it touches, an addition none, and the
-new manifest is renamed into place last, so that a reader sees one version whole
-and keeps it while writers go on.
+"""The memory table on disk: Parquet leaves, row-level deletes and manifests; merge on read.
+
+A leaf is the folder of one (repository, type) that one write made.  A manifest
+names the leaves and the delete files of a version, each with the number of the
+version that brought it.  A delete file holds ids; it applies to leaves of
+smaller numbers.  So a change rewrites nothing: an upsert is a small write of the
+new rows and a delete file of their ids, a deletion only the latter, and a read
+drops the rows of old leaves by an anti join with the ids of later delete files.
+`compact` folds delete files and small writes into new leaves.
+
+Versions are numbered.  A commit claims the next number, which fails where
+another writer has it; the change is then put on the newer version and tried
+again, without writing any row anew, so that concurrent writers lose nothing.
+Only `replace` of what was read at a version fails, with `Conflict`, where that
+version is no longer the newest.  The manifest also keeps a log of the last
+changes, from which `changes` serves what came after a version.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +31,32 @@ from larkspur.operators import maintenance
 
 KEEP = 5
 PARTS = {"repository": "p_repository", "type": "p_type"}
+#: changes that a manifest logs, and writes and delete files from which on a change compacts
+LOGGED, CROWDED = 200, 48
+#: writes of a leaf from which on a compaction merges them
+MERGED = 4
+#: tries of a commit
+TRIES = 100
+SEQ, WRITE = "__seq", "__write"
+
+
+class Conflict(Exception):
+    """The version that a replacement was made from is no longer the newest."""
+
+
+@dataclass
+class Manifest:
+    """What a version consists of."""
+
+    #: leaf name, write, number of the version from which on it counts
+    leaves: list[list] = field(default_factory=list)
+    #: delete file, number of its version
+    gone: list[list] = field(default_factory=list)
+    #: {"seq", "leaves": [[leaf, write]], "gone": delete file or None, "reset": whether all before went}
+    log: list[dict] = field(default_factory=list)
+
+    def writes(self) -> set[str]:
+        return {w for _, w, _ in self.leaves} | {w for w, _ in self.gone} | {w for e in self.log for w in [*(w for _, w in e["leaves"]), e["gone"]] if w}
 
 
 class Store:
@@ -29,13 +64,17 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path(self.path).getFileSystem(self._conf)
 
     def _names(self, folder: str) -> list[str]:
         place = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(place)) if self.fs.exists(place) else []
 
+    # ---- versions
+
     def versions(self) -> list[str]:
         return [n.removeprefix("manifest-").removesuffix(".json") for n in self._names(self.path) if n.startswith("manifest-")]
 
@@ -43,21 +82,104 @@ class Store:
         found = self.versions()
         return found[-1] if found else None
 
-    def _manifest(self, version: str | None) -> dict[str, list[str]]:
-        """Leaf name to the writes that hold its rows."""
+    def _manifest(self, version: str | None) -> Manifest:
         if version is None:
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest-{version}.json").collect()))
-
-    def _read(self, manifest: dict[str, list[str]]) -> DataFrame:
-        leaves = [f"{self.path}/data/{write}/{leaf}" for leaf, writes in sorted(manifest.items()) for write in writes]
-        return self.spark.read.option("mergeSchema", "true").parquet(*leaves)
+            return Manifest()
+        place = self._path(f"{self.path}/manifest-{version}.json")
+        stream = self.fs.open(place)
+        try:
+            return Manifest(**json.loads(bytes(stream.readAllBytes()).decode()))
+        finally:
+            stream.close()
+
+    def _claim(self, version: str, manifest: Manifest) -> bool:
+        """Whether the manifest became this version; not if another one did before."""
+        beside, target = f"{self.path}/.{version}-{uuid.uuid4().hex}", f"{self.path}/manifest-{version}.json"
+        out = self.fs.create(self._path(beside))
+        out.write(bytearray(json.dumps(manifest.__dict__).encode()))
+        out.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                # a hard link fails where the name exists; a rename of this file system would not
+                local = lambda p: self._jvm.java.net.URI(self.fs.makeQualified(self._path(p)).toString().replace(" ", "%20")).getPath()
+                os.link(local(beside), local(target))
+                self.fs.delete(self._path(beside), False)
+            elif self.fs.exists(self._path(target)) or not self.fs.rename(self._path(beside), self._path(target)):
+                return False
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            if self.fs.exists(self._path(beside)):
+                self.fs.delete(self._path(beside), False)
+
+    def _change(self, put, base: str | None = None, fixed: bool = False) -> str:
+        """Commits put(manifest, number), on whatever version is the newest; where fixed, on `base` or not at all."""
+        for attempt in range(TRIES):
+            version = self.current()
+            if fixed and version != base:
+                raise Conflict(f"{self.path}: {base} is no longer the newest version, {version} is")
+            number = int(version.split("-")[0]) + 1 if version else 1
+            after = put(self._manifest(version), number)
+            if after is None:
+                return version
+            after.log = after.log[-LOGGED:]
+            if self._claim(f"{number:020d}", after):
+                return f"{number:020d}"
+            time.sleep(min(0.5, 0.01 * (attempt + 1)))
+        raise Conflict(f"{self.path}: {TRIES} commits in a row came second")
+
+    # ---- reading
+
+    def _rows(self, leaves: list[list]) -> DataFrame:
+        """The rows of leaves with the numbers of their versions."""
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*sorted(f"{self.path}/data/{write}/{leaf}" for leaf, write, _ in leaves))
+        numbers = sorted({(write, seq) for _, write, seq in leaves})
+        if len({seq for _, seq in numbers}) == 1:
+            return rows.withColumn(SEQ, F.lit(numbers[0][1]).cast("long"))
+        table = F.create_map(*[F.lit(x) for pair in numbers for x in pair])
+        return rows.withColumn(SEQ, table[F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)/[^/]+/[^/]+/[^/]*$", 1)].cast("long"))
+
+    def _gone(self, gone: list[list]) -> DataFrame:
+        """id and the number up to which it is gone, once for each id."""
+        ids = None
+        for write, seq in gone:
+            part = self.spark.read.parquet(f"{self.path}/gone/{write}").select("id", F.lit(seq).cast("long").alias("__upto"))
+            ids = part if ids is None else ids.unionAll(part)
+        return ids.groupBy("id").agg(F.max("__upto").alias("__upto"))
+
+    def _alive(self, leaves: list[list], gone: list[list]) -> DataFrame:
+        """The rows of leaves without those of later delete files; leaves that no delete file concerns are read as they are."""
+        last = max((seq for _, seq in gone), default=0)
+        old, fresh = [x for x in leaves if x[2] < last], [x for x in leaves if x[2] >= last]
+        out = self._rows(fresh) if fresh else None
+        if old:
+            first = min(seq for _, _, seq in old)
+            ids = self._gone([x for x in gone if x[1] > first]).withColumnRenamed("id", "__id")
+            rows = self._rows(old)
+            rows = rows.join(ids, (rows["id"] == ids["__id"]) & (rows[SEQ] < ids["__upto"]), "left_anti")
+            out = rows if out is None else rows.unionByName(out, allowMissingColumns=True)
+        return out
+
+    def read(self, version: str | None = None) -> DataFrame:
+        """The rows of the newest version, or of one that is kept."""
+        manifest = self._manifest(version or self.current())
+        if not manifest.leaves:
+            raise FileNotFoundError(self.path)
+        return self._alive(manifest.leaves, manifest.gone).drop(SEQ)
 
-    def read(self) -> DataFrame:
+    def changes(self, since: str) -> tuple[DataFrame | None, DataFrame | None] | None:
+        """(rows that came after a version and are still there, ids that were taken or replaced since); None where the log does not tell."""
         manifest = self._manifest(self.current())
-        if not manifest:
-            raise FileNotFoundError(self.path)
-        return self._read(manifest)
+        start = int(since.split("-")[0])
+        log = [e for e in manifest.log if e["seq"] > start]
+        if any(e["reset"] for e in log) or len(log) != int(self.current().split("-")[0]) - start:
+            return None
+        leaves = [[leaf, write, e["seq"]] for e in log for leaf, write in e["leaves"]]
+        gone = [[e["gone"], e["seq"]] for e in log if e["gone"]]
+        return self._alive(leaves, gone).drop(SEQ) if leaves else None, self._gone(gone).select("id") if gone else None
+
+    # ---- writing
 
     def _write(self, df: DataFrame) -> tuple[str, list[str]]:
         """Writes rows as leaves; (name of the write, leaf names).  The columns stay in the files too."""
@@ -68,53 +190,96 @@ class Store:
         tops = [n for n in self._names(place) if "=" in n]
         return write, [f"{top}/{n}" for top in tops for n in self._names(f"{place}/{top}") if "=" in n]
 
-    def _commit(self, manifest: dict[str, list[str]]) -> str:
-        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
-        beside = self._path(f"{self.path}/.{version}")
-        out = self.fs.create(beside)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        self.fs.rename(beside, self._path(f"{self.path}/manifest-{version}.json"))
-        return version
+    def _write_gone(self, ids: DataFrame) -> str:
+        write = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+        ids.select("id").where("id is not null").distinct().write.parquet(f"{self.path}/gone/{write}")
+        return write
 
-    def replace(self, df: DataFrame) -> str:
-        """df as the whole next version."""
-        write, leaves = self._write(df)
-        return self._commit({leaf: [write] for leaf in leaves})
+    def _put(self, write: str | None, names: list[str], taken: str | None) -> str:
+        """One commit: a delete file (of ids that go), then leaves (of rows that come)."""
 
-    def add(self, rows: DataFrame) -> str:
-        """Rows are added as they are; an id that exists is then there twice.  No leaf is rewritten."""
-        manifest = self._manifest(self.current())
-        write, leaves = self._write(rows)
-        return self._commit(manifest | {leaf: [*manifest.get(leaf, []), write] for leaf in leaves})
+        def put(m: Manifest, number: int) -> Manifest:
+            entry = {"seq": number, "leaves": [[leaf, write] for leaf in names], "gone": taken, "reset": False}
+            # the delete file is of the same version and does not concern its leaves
+            return Manifest(m.leaves + [[leaf, write, number] for leaf in names], m.gone + ([[taken, number]] if taken and m.leaves else []), [*m.log, entry])
+
+        version = self._change(put)
+        m = self._manifest(version)
+        if len({w for _, w, _ in m.leaves}) + len(m.gone) > CROWDED:
+            version = self.compact() or version
+        return version
 
-    def _touched(self, manifest: dict[str, list[str]], ids: DataFrame) -> dict[str, list[str]]:
-        """The leaves that hold one of the ids: a scan of the id column and the file names."""
-        rows = self._read(manifest).select("id", F.regexp_extract(F.col("_metadata.file_path"), r"/data/[^/]+/([^/]+/[^/]+)/[^/]*$", 1).alias("leaf"))
-        found = rows.join(ids.select("id"), "id", "left_semi").select("leaf").distinct().collect()  # leaf names: one for each repository and type
-        names = {r["leaf"] for r in found}
-        return {leaf: writes for leaf, writes in manifest.items() if leaf in names or _plain(leaf) in names}
+    def replace(self, df: DataFrame, base: str | None = None) -> str:
+        """df as the whole next version; where `base` is given, only if that is still the newest one."""
+        write, names = self._write(df)
+        put = lambda m, number: Manifest([[leaf, write, number] for leaf in names], [], [{"seq": number, "leaves": [], "gone": None, "reset": True}])
+        return self._change(put, base, base is not None)
 
-    def _rewrite(self, touched: dict[str, list[str]], manifest: dict[str, list[str]], change) -> str:
-        write, leaves = self._write(change(self._read(touched) if touched else None))
-        kept = {leaf: writes for leaf, writes in manifest.items() if leaf not in touched}
-        return self._commit(kept | {leaf: [*kept.get(leaf, []), write] for leaf in leaves})
+    def add(self, rows: DataFrame) -> str:
+        """Rows are added as they are; an id that exists is then there twice."""
+        return self._put(*self._write(rows), None)
 
     def upsert(self, changes: DataFrame, order: str | None = None) -> str:
         """changes by id; of several changes of one id the one with the largest `order` counts."""
-        changes = maintenance.last_of_each(changes, order=order)
-        manifest = self._manifest(self.current())
-        if not manifest:
-            return self.replace(changes)
-        touched = self._touched(manifest, changes)
-        return self._rewrite(touched, manifest, lambda rows: changes if rows is None else maintenance.upsert(rows, changes))
+        return self.merge(maintenance.last_of_each(changes, order=order))
+
+    def merge(self, rows: DataFrame, gone: DataFrame | None = None) -> str:
+        """In one commit: rows of the ids of `gone` go, rows come and replace those of their ids.
+
+        The rows are written first and their ids read from there, so that a plan
+        that is not deterministic gives both the same.
+        """
+        write, names = self._write(rows)
+        ids = self._rows([[leaf, write, 0] for leaf in names]).select("id") if names else None
+        if gone is not None:
+            ids = gone.select("id") if ids is None else ids.unionAll(gone.select("id"))
+        return self._put(write, names, self._write_gone(ids) if ids is not None else None)
 
     def delete(self, ids: DataFrame) -> str:
-        manifest = self._manifest(self.current())
-        touched = self._touched(manifest, ids)
-        if not touched:
-            return self.current()
-        return self._rewrite(touched, manifest, lambda rows: maintenance.delete_ids(rows, ids))
+        """Rows of the ids go: a delete file, no leaf is read or written."""
+        return self._put(None, [], self._write_gone(ids))
+
+    def compact(self) -> str | None:
+        """Folds delete files and small writes: leaves that hold gone rows, and leaves of MERGED writes or more, are written anew; others stay.
+
+        The new leaves take the number of the version that was read, so that
+        delete files of later versions apply to them.  Where a replacement came
+        between, nothing is done (None).
+        """
+        version = self.current()
+        if version is None:
+            return None
+        m, number = self._manifest(version), int(version.split("-")[0])
+        crowded: dict[str, int] = {}
+        for leaf, _, _ in m.leaves:
+            crowded[leaf] = crowded.get(leaf, 0) + 1
+        touched = {leaf for leaf, n in crowded.items() if n >= MERGED} | self._touched(m)
+        old = [x for x in m.leaves if x[0] in touched]
+        if not old and not m.gone:
+            return None
+        write, names = self._write(self._alive(old, m.gone).drop(SEQ, *PARTS.values())) if old else (None, [])
+
+        def put(now: Manifest, at: int) -> Manifest | None:
+            if any(x not in now.leaves for x in old) or any(x not in now.gone for x in m.gone):
+                return None
+            entry = {"seq": at, "leaves": [], "gone": None, "reset": False}
+            kept = [x for x in now.leaves if x not in old] + [[leaf, write, number] for leaf in names]
+            return Manifest(kept, [x for x in now.gone if x not in m.gone], [*now.log, entry])
+
+        return self._change(put)
+
+    def _touched(self, m: Manifest) -> set[str]:
+        """The leaves that hold a row that is gone: a scan of the ids of leaves older than the last delete file."""
+        last = max((seq for _, seq in m.gone), default=0)
+        old = [x for x in m.leaves if x[2] < last]
+        if not old:
+            return set()
+        rows = self._rows(old)
+        rows = rows.select("id", SEQ, F.regexp_extract(F.col("_metadata.file_path"), r"/data/[^/]+/([^/]+/[^/]+)/[^/]*$", 1).alias("leaf"))
+        ids = self._gone(m.gone).withColumnRenamed("id", "__id")
+        hit = rows.join(ids, (rows["id"] == ids["__id"]) & (rows[SEQ] < ids["__upto"]), "left_semi").select("leaf").distinct()
+        names = {r["leaf"] for r in hit.collect()}  # leaf names: one for each repository and type
+        return {leaf for leaf, _, _ in old if leaf in names or _plain(leaf) in names}
 
     def backup(self, folder: str, keep: int = KEEP) -> str:
         """A copy of the store on any file system that Spark reaches; the oldest copies over `keep` go."""
@@ -152,26 +317,40 @@ class Store:
             raise OSError(f"could not copy {source} to {target}")
 
     def prune(self, keep: int = KEEP) -> list[str]:
-        """Drops all but the newest versions, and writes that none of these names; returns the versions that went."""
+        """Drops all but the newest versions, and writes and delete files that none of these names; returns the versions that went.
+
+        A write that no version names yet may be one that is about to be
+        committed: those of the last hour stay.
+        """
         gone = self.versions()[:-keep]
         for v in gone:
             self.fs.delete(self._path(f"{self.path}/manifest-{v}.json"), False)
-        used = {w for v in self.versions() for writes in self._manifest(v).values() for w in writes}
-        for w in self._names(f"{self.path}/data"):
-            if w not in used:
-                self.fs.delete(self._path(f"{self.path}/data/{w}"), True)
+        used = {w for v in self.versions() for w in self._manifest(v).writes()}
+        recent = f"{time.time_ns() - 3_600 * 10**9:020d}"
+        for folder in ("data", "gone"):
+            for w in self._names(f"{self.path}/{folder}"):
+                if w not in used and w < recent:
+                    self.fs.delete(self._path(f"{self.path}/{folder}/{w}"), True)
         return gone
 
     def migrate(self, steps: list, dry_run: bool = False) -> list[int]:
         """Runs the numbered steps (number, DataFrame -> DataFrame) that were not run yet, in order.
 
-        Each step writes a version, so that a failure leaves the last good one current.
+        Each step writes a version, so that a failure leaves the last good one current;
+        a step that another writer's change overtakes is run again on that change.
         """
         done = max([int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("schema-")], default=0)
         todo = [(n, f) for n, f in sorted(steps, key=lambda s: s[0]) if n > done]
         if not dry_run:
             for n, f in todo:
-                self.replace(f(self.read()))
+                for attempt in range(TRIES):
+                    base = self.current()
+                    try:
+                        self.replace(f(self.read(base)), base)
+                        break
+                    except Conflict:
+                        if attempt == TRIES - 1:
+                            raise
                 self.fs.create(self._path(f"{self.path}/schema-{n:06d}")).close()
         return [n for n, _ in todo]
 
@@ -183,32 +362,6 @@ def _plain(leaf: str) -> str:
     return quote(leaf, safe="/=")
 
 
-def backup(source: str, folder: str, keep: int = KEEP) -> str:
-    """A copy of a local folder; the oldest copies over `keep` go first."""
-    os.makedirs(folder, exist_ok=True)
-    for old in list_backups(folder)[keep - 1 :]:
-        shutil.rmtree(old["path"])
-    target = os.path.join(folder, f"backup_{time.strftime('%Y%m%d_%H%M%S')}_{time.time_ns() % 10**9:09d}")
-    shutil.copytree(source, target)
-    return target
-
-
-def list_backups(folder: str) -> list[dict]:
-    """Newest name first, with size in MB."""
-    names = sorted((n for n in os.listdir(folder) if n.startswith("backup_")), reverse=True) if os.path.isdir(folder) else []
-    size = lambda top: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(top) for f in fs)
-    return [{"name": n, "path": os.path.join(folder, n), "size_mb": round(size(os.path.join(folder, n)) / 1e6, 2)} for n in names]
-
-
-def restore(backup_path: str, target: str) -> None:
-    """Puts a copy in place: copied beside the target first, then swapped."""
-    beside = f"{target}.restoring"
-    shutil.rmtree(beside, ignore_errors=True)
-    shutil.copytree(backup_path, beside)
-    shutil.rmtree(target, ignore_errors=True)
-    os.replace(beside, target)
-
-
 def to_json(df: DataFrame):
     """One JSON text for each row; null fields are left out."""
     return df.select(F.to_json(F.struct("*")).alias("json"))

@@ -181,16 +181,17 @@ def test_store_versions(spark, tmp_path):
     assert s.migrate([(1, lambda df: df.withColumn("text", F.upper("text")))]) == [1] and s.migrate([(1, lambda df: df)]) == []
 
 
-def test_backups_keep_the_newest(tmp_path):
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "f").write_text("x")
+def test_backups_keep_the_newest(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    row = lambda v: spark.createDataFrame([("a", "r", "note", v)], "id string, repository string, type string, text string")
+    s.upsert(row("x"))
     for _ in range(7):
-        last = store.backup(str(tmp_path / "s"), str(tmp_path / "b"))
-    listed = store.list_backups(str(tmp_path / "b"))
+        last = s.backup(str(tmp_path / "b"))
+    listed = s.backups(str(tmp_path / "b"))
     assert len(listed) == 5 and listed[0]["path"] == last
-    (tmp_path / "s" / "f").write_text("y")
-    store.restore(last, str(tmp_path / "s"))
-    assert (tmp_path / "s" / "f").read_text() == "x"
+    s.upsert(row("y"))
+    s.restore(last)
+    assert s.read().first()["text"] == "x"
 
 
 def test_config(tmp_path):
@@ -268,18 +269,144 @@ def test_json_sink(spark):
     assert json.loads(store.to_json(df).first()["json"]) == {"id": "a"}
 
 
-def test_a_change_rewrites_only_its_leaves(spark, tmp_path):
+def test_a_change_rewrites_no_leaf(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "t"))
     make = lambda rows: spark.createDataFrame(rows, "id string, repository string, type string, text string")
-    s.replace(make([("a", "r 1/x", "note", "1"), ("b", "r2", "note", "2"), ("c", None, "insight", "3")]))
+    s.replace(make([("a", "r 1/x", "note", "1"), ("b", "r2", "note", "2"), ("c", None, "insight", "3"), (None, "r2", "note", "n")]))
     before = s._manifest(s.current())
     s.upsert(make([("a", "r2", "note", "moved")]))
     after = s._manifest(s.current())
-    untouched = [leaf for leaf in before if after.get(leaf) == before[leaf]]
-    assert any("insight" in leaf for leaf in untouched) and len(untouched) == 1 or len(untouched) == 2
-    assert sorted((r["id"], r["text"]) for r in s.read().collect()) == [("a", "moved"), ("b", "2"), ("c", "3")]
-    s.delete(make([("c", None, "insight", "")]))
-    assert sorted(r["id"] for r in s.read().collect()) == ["a", "b"]
+    assert len(before.leaves) == 3 and all(leaf in after.leaves for leaf in before.leaves) and len(after.leaves) == 4
+    assert sorted((str(r["id"]), r["text"]) for r in s.read().collect()) == [("None", "n"), ("a", "moved"), ("b", "2"), ("c", "3")]
+    s.delete(make([("c", None, "insight", ""), ("zz", None, "insight", "")]))
+    assert s._manifest(s.current()).leaves == after.leaves
+    assert sorted(str(r["id"]) for r in s.read().collect()) == ["None", "a", "b"]
+    s.add(make([("c", "r2", "note", "again")]))
+    want = sorted((str(r["id"]), r["text"]) for r in s.read().collect())
+    assert want == [("None", "n"), ("a", "moved"), ("b", "2"), ("c", "again")]
+    held = s.read()
+    s.compact()
+    m = s._manifest(s.current())
+    # the leaves of the old a and c are written anew or gone, that of b stays as it is
+    assert not m.gone and [x for x in before.leaves if x in m.leaves] == [x for x in before.leaves if "r2" in x[0]]
+    assert sorted((str(r["id"]), r["text"]) for r in s.read().collect()) == want == sorted((str(r["id"]), r["text"]) for r in held.collect())
+    assert s.compact() is None
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    import threading
+
+    s = store.Store(spark, str(tmp_path / "t"))
+    make = lambda *ids: spark.createDataFrame([(i, "r", "note", i) for i in ids], "id string, repository string, type string, text string")
+    s.replace(make("base", "old"))
+    failed = []
+
+    def work(name):
+        own = store.Store(spark, str(tmp_path / "t"))
+        try:
+            for i in range(4):
+                own.upsert(make(f"{name}{i}", "base"))
+            own.delete(make(f"{name}0", "old"))
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in "abc"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    assert sorted(r["id"] for r in s.read().collect()) == sorted(["base", *(f"{n}{i}" for n in "abc" for i in (1, 2, 3))])
+    assert [int(v) for v in s.versions()] == list(range(1, 17))
+    # a change between reading and replacing is seen, not overwritten
+    base = s.current()
+    s.upsert(make("late"))
+    with pytest.raises(store.Conflict):
+        s.replace(make("only"), base)
+    # a compaction that a change overtakes keeps that change
+    inner, once = s._change, []
+
+    def late(put, *a):
+        if not once:
+            once.append(1)
+            s._change = inner
+            s.delete(make("late"))
+            s.upsert(make("a1", "new"))
+        return inner(put, *a)
+
+    s._change = late
+    want = {"base", "new", *(f"{n}{i}" for n in "abc" for i in (1, 2, 3))}
+    s.compact()
+    assert {r["id"] for r in s.read().collect()} == want and s.read().count() == len(want)
+
+
+def test_a_crowded_store_compacts_and_tells_its_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CROWDED", 6)
+    s = store.Store(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, "id string, repository string, type string, text string")
+    rng, held = __import__("random").Random(4), {}
+    since, then = None, None
+    for step in range(12):
+        ids = [f"k{rng.randint(0, 9)}" for _ in range(2)]
+        if step % 3 == 2:
+            s.delete(make([(i, "r", "note", "") for i in ids]))
+            held = {k: v for k, v in held.items() if k not in ids}
+        else:
+            rows = {i: (i, rng.choice(["r", "q"]), "note", f"v{step}") for i in ids}
+            s.upsert(make(list(rows.values())))
+            held |= {i: r[3] for i, r in rows.items()}
+        if step == 3:
+            since, then = s.current(), dict(held)
+        m = s._manifest(s.current())
+        assert len({w for _, w, _ in m.leaves}) + len(m.gone) <= 7
+        assert {r["id"]: r["text"] for r in s.read().collect()} == held if held else True
+    came, went = s.changes(since)
+    went = {r["id"] for r in went.collect()}
+    assert {k: v for k, v in then.items() if k not in went} | {r["id"]: r["text"] for r in came.collect()} == held
+    s.replace(make([("x", "r", "note", "1")]))
+    assert s.changes(since) is None and s.changes(s.current()) == (None, None)
+
+
+def test_notes_before_and_during_an_ingestion(spark, project, tmp_path, monkeypatch):
+    from larkspur.operators import ingest
+
+    e = Engine(spark, str(tmp_path / "memory"))
+    e.save_memory("note", "a", "before", "repo", NOW)
+    inner = ingest.changed
+
+    def between(*args, **options):
+        out = inner(*args, **options)
+        Engine(spark, str(tmp_path / "memory")).save_memory("note", "b", "during", "repo", NOW)
+        return out
+
+    monkeypatch.setattr(ingest, "changed", between)
+    assert e.ingest(project, "repo", "main", NOW).first()["processed"] == 3
+    assert {r["id"] for r in e.memory.where("type = 'note'").collect()} == {"note:a", "note:b"}
+    monkeypatch.setattr(ingest, "changed", inner)
+    leaves = e.store._manifest(e.store.current()).leaves
+    with open(os.path.join(project, "src/models.py"), "a") as f:
+        f.write("class More:\n    pass\n")
+    e.ingest(project, "repo", "main", NOW)
+    assert all(x in e.store._manifest(e.store.current()).leaves for x in leaves)
+    assert e.memory.where("id = 'repo:file:src/models.py'").count() == 1
+
+
+def test_git_delta_of_odd_names(spark, tmp_path):
+    folder = str(tmp_path / "odd")
+    os.makedirs(folder)
+    write = lambda name, text: open(os.path.join(folder, name), "w").write(text)
+    git_in(folder, "init", "-q")
+    for name in ("\u00e4.py", "a\tb.py", "old \u00fc.py", "gone\n.py"):
+        write(name, f"x = '{name}'\n" * 5)
+    git_in(folder, "add", "-A")
+    git_in(folder, "commit", "-qm", "one")
+    head = files.head_commit(folder)
+    write("\u00e4.py", "y = 1\n")
+    git_in(folder, "mv", "old \u00fc.py", "new \u00fc.py")
+    os.remove(os.path.join(folder, "gone\n.py"))
+    write('"quoted".py', "z = 1\n")
+    got = {tuple(r) for r in files.git_delta(spark, folder, head).collect()}
+    assert got == {("\u00e4.py", None, "modified"), ("new \u00fc.py", "old \u00fc.py", "renamed"), ("gone\n.py", None, "deleted"), ('"quoted".py', None, "untracked")}
 
 
 def test_ingest_in_a_task(spark, project, tmp_path):
