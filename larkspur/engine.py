@@ -30,8 +30,8 @@ class Engine:
 
     def __post_init__(self):
         self.store, self.tasks = Store(self.spark, self.path), TaskTable()
-        #: keeps an index for each filter until the store has another version, which every write makes
-        self.retriever: search.Retriever | None = None
+        #: keeps a word index that follows the store's changes
+        self.retriever: search.StoreRetriever | None = None
 
     @property
     def memory(self) -> DataFrame:
@@ -110,7 +110,7 @@ class Engine:
         if self.vectors is None:
             raise ValueError("the engine was opened without vectors")
         if self.retriever is None:
-            self.retriever = search.Retriever(lambda: self.memory, self.vectors, f"{self.path}/index", self.store.current)
+            self.retriever = search.StoreRetriever(self.store, self.vectors, f"{self.path}/index")
         return search.search(self.memory, self.vectors, query, query_vector, self._at(now), settings=self.settings, retriever=self.retriever, **options)
 
     def recall(self, repository: str | None, now: str, days: int = 7, limit: int = 20) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from larkspur import schema as S
 from larkspur.functions.timefns import recency_factor
 from larkspur.operators import bm25, filters, vector
+from larkspur.operators.vectorindex import VectorIndex
+from larkspur.operators.wordindex import WordIndex
 
 
 def ranked(top: DataFrame, order: list, name: str) -> DataFrame:
@@ -198,7 +200,9 @@ class Retriever:
         """As hybrid_search over the filtered rows, the words by the kept index."""
         index = self.index(**where)
         candidates = self.vectors.join(index.keys.select(F.col("key").alias("id")), "id", "left_semi") if any(where.values()) else self.vectors
-        near = ranked(vector.top_k(candidates, query_vector, k, "id"), ["vector_distance", "id"], "vrank")
+        close = ranked(vector.top_k(candidates, query_vector, k, "id"), ["vector_distance", "id"], "vrank").select("id", "vrank")
+        # k rows, fetched: the result must not read the index's files, which a write drops
+        near = self.vectors.sparkSession.createDataFrame([tuple(r) for r in close.collect()], close.schema)
         words = ranked(index.top_k(query, k), [F.desc("bm25_score"), "id"], "brank")
         return fused_top_k(reciprocal_rank_fusion(near, words), k)
 
@@ -212,3 +216,36 @@ class Retriever:
         for name in list(self.kept):
             self._drop(name)
         self.seen = self.version()
+
+
+class StoreRetriever:
+    """Keeps one word index over a store, brought up by the store's changes before a query, and serves every filter from it.
+
+    The nearest rows come from a vector index where one is given, else from a scan
+    of the vectors.  Both lists are k rows, fetched before they are fused, so that a
+    result depends on no file that a later write may drop.
+    """
+
+    def __init__(self, store, vectors: DataFrame, folder: str, near: VectorIndex | None = None):
+        self.store, self.vectors, self.near = store, vectors, near
+        self.words = WordIndex(vectors.sparkSession, f"{folder.rstrip('/')}/words")
+
+    @property
+    def builds(self) -> int:
+        """How often the index was made or brought up."""
+        return self.words.builds + self.words.updates
+
+    def search(self, query: str, query_vector: list[float], k: int = 10, **where) -> DataFrame:
+        """As hybrid_search over the filtered rows of the store's newest version."""
+        spark, words = self.vectors.sparkSession, self.words.refresh(self.store)
+        source = self.vectors if self.near is None else self.near.rows
+        if any(where.values()):
+            source = source.join(words.keys(**where).withColumnRenamed("key", "id"), "id", "left_semi")
+        if self.near is not None and not any(where.values()):
+            close = self.near.top_k(query_vector, k)
+        else:
+            close = vector.top_k(source, query_vector, k, "id")
+        close = ranked(close, ["vector_distance", "id"], "vrank").select("id", "vrank")
+        near = spark.createDataFrame([tuple(r) for r in close.collect()], close.schema)  # k rows
+        best = ranked(words.top_k(query, k, **where), [F.desc("bm25_score"), "id"], "brank")
+        return fused_top_k(reciprocal_rank_fusion(near, best), k)

@@ -888,3 +888,9 @@ def schema_migration(spark, sf):
     steps = [(2, lambda df: df.withColumn("status", F.concat("status", F.lit("!")))), (1, lambda df: df.withColumn("status", F.upper("status")))]
     ran = store.migrate(steps), store.migrate(steps)
     return store.read().select("id", "status", F.lit(f"{ran[0]} {ran[1]}").alias("ran"))
+
+
+from larkspur.plans import stored  # noqa: E402
+
+QUERIES |= stored.QUERIES
+ORACLE |= stored.ORACLE

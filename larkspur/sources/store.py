@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.operators import maintenance
 
@@ -37,7 +38,7 @@ LOGGED, CROWDED = 200, 48
 MERGED = 4
 #: tries of a commit
 TRIES = 100
-SEQ, WRITE = "__seq", "__write"
+SEQ, WRITE = "__seq", "p_write"
 
 
 class Conflict(Exception):
@@ -54,6 +55,8 @@ class Manifest:
     gone: list[list] = field(default_factory=list)
     #: {"seq", "leaves": [[leaf, write]], "gone": delete file or None, "reset": whether all before went}
     log: list[dict] = field(default_factory=list)
+    #: write: its rows' schema, so that a read opens no footers to find the columns
+    schemas: dict[str, dict] = field(default_factory=dict)
 
     def writes(self) -> set[str]:
         return {w for _, w, _ in self.leaves} | {w for w, _ in self.gone} | {w for e in self.log for w in [*(w for _, w in e["leaves"]), e["gone"]] if w}
@@ -68,6 +71,9 @@ class Store:
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._path(self.path).getFileSystem(self._conf)
+        #: what this object has seen of writes: their schemas and how many leaves each has
+        self._schemas: dict[str, dict] = {}
+        self._written: dict[str, int] = {}
 
     def _names(self, folder: str) -> list[str]:
         place = self._path(folder)
@@ -88,9 +94,11 @@ class Store:
         place = self._path(f"{self.path}/manifest-{version}.json")
         stream = self.fs.open(place)
         try:
-            return Manifest(**json.loads(bytes(stream.readAllBytes()).decode()))
+            manifest = Manifest(**json.loads(bytes(stream.readAllBytes()).decode()))
         finally:
             stream.close()
+        self._schemas |= manifest.schemas
+        return manifest
 
     def _claim(self, version: str, manifest: Manifest) -> bool:
         """Whether the manifest became this version; not if another one did before."""
@@ -124,6 +132,7 @@ class Store:
             if after is None:
                 return version
             after.log = after.log[-LOGGED:]
+            after.schemas = {w: self._schemas[w] for w in after.writes() if w in self._schemas}
             if self._claim(f"{number:020d}", after):
                 return f"{number:020d}"
             time.sleep(min(0.5, 0.01 * (attempt + 1)))
@@ -131,14 +140,36 @@ class Store:
 
     # ---- reading
 
+    def _schema(self, writes) -> T.StructType | None:
+        """The columns of the writes, one after the other; None where two writes differ in a type, which Parquet's own merging then judges."""
+        out: dict[str, T.StructField] = {}
+        for write in sorted(writes):
+            if write not in self._schemas:
+                return None
+            for f in T.StructType.fromJson(self._schemas[write]).fields:
+                if out.setdefault(f.name, f).dataType != f.dataType:
+                    return None
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in out.values()])
+
     def _rows(self, leaves: list[list]) -> DataFrame:
         """The rows of leaves with the numbers of their versions."""
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*sorted(f"{self.path}/data/{write}/{leaf}" for leaf, write, _ in leaves))
+        held: dict[str, set] = {}
+        for leaf, write, _ in leaves:
+            held.setdefault(write, set()).add(leaf)
+        # a write of which all leaves count is listed as a whole
+        places = sorted(p for write, own in held.items() for p in ([self._place(write)] if len(own) == self._written.get(write) else [f"{self._place(write)}/{leaf}" for leaf in own]))
+        reader = self.spark.read.option("basePath", f"{self.path}/data")
+        schema = self._schema(held)
+        rows = (reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)).parquet(*places).drop(*PARTS.values())
+        # p_write, the folder that a row stands in, tells its version
         numbers = sorted({(write, seq) for _, write, seq in leaves})
         if len({seq for _, seq in numbers}) == 1:
-            return rows.withColumn(SEQ, F.lit(numbers[0][1]).cast("long"))
+            return rows.withColumn(SEQ, F.lit(numbers[0][1]).cast("long")).drop(WRITE)
         table = F.create_map(*[F.lit(x) for pair in numbers for x in pair])
-        return rows.withColumn(SEQ, table[F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)/[^/]+/[^/]+/[^/]*$", 1)].cast("long"))
+        return rows.withColumn(SEQ, table[F.col(WRITE)].cast("long")).drop(WRITE)
+
+    def _place(self, write: str) -> str:
+        return f"{self.path}/data/{WRITE}={write}"
 
     def _gone(self, gone: list[list]) -> DataFrame:
         """id and the number up to which it is gone, once for each id."""
@@ -168,12 +199,13 @@ class Store:
             raise FileNotFoundError(self.path)
         return self._alive(manifest.leaves, manifest.gone).drop(SEQ)
 
-    def changes(self, since: str) -> tuple[DataFrame | None, DataFrame | None] | None:
-        """(rows that came after a version and are still there, ids that were taken or replaced since); None where the log does not tell."""
-        manifest = self._manifest(self.current())
+    def changes(self, since: str, until: str | None = None) -> tuple[DataFrame | None, DataFrame | None] | None:
+        """(rows that came after a version and are still there at `until`, ids that were taken or replaced since); None where the log does not tell."""
+        until = until or self.current()
+        manifest = self._manifest(until)
         start = int(since.split("-")[0])
         log = [e for e in manifest.log if e["seq"] > start]
-        if any(e["reset"] for e in log) or len(log) != int(self.current().split("-")[0]) - start:
+        if any(e["reset"] for e in log) or len(log) != int(until.split("-")[0]) - start:
             return None
         leaves = [[leaf, write, e["seq"]] for e in log for leaf, write in e["leaves"]]
         gone = [[e["gone"], e["seq"]] for e in log if e["gone"]]
@@ -183,15 +215,18 @@ class Store:
 
     def _write(self, df: DataFrame) -> tuple[str, list[str]]:
         """Writes rows as leaves; (name of the write, leaf names).  The columns stay in the files too."""
-        write = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
-        place = f"{self.path}/data/{write}"
+        write = f"w{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+        place = self._place(write)
         keys = {p: (F.col(c) if c in df.columns else F.lit(None).cast("string")) for c, p in PARTS.items()}
-        df.withColumns(keys).write.partitionBy(*PARTS.values()).parquet(place)
+        # rows of a leaf come together, but a large leaf stays in several tasks
+        df.withColumns(keys).hint("rebalance", *PARTS.values()).write.partitionBy(*PARTS.values()).parquet(place)
         tops = [n for n in self._names(place) if "=" in n]
-        return write, [f"{top}/{n}" for top in tops for n in self._names(f"{place}/{top}") if "=" in n]
+        names = [f"{top}/{n}" for top in tops for n in self._names(f"{place}/{top}") if "=" in n]
+        self._schemas[write], self._written[write] = df.schema.jsonValue(), len(names)
+        return write, names
 
     def _write_gone(self, ids: DataFrame) -> str:
-        write = f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+        write = f"w{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         ids.select("id").where("id is not null").distinct().write.parquet(f"{self.path}/gone/{write}")
         return write
 
@@ -326,11 +361,12 @@ class Store:
         for v in gone:
             self.fs.delete(self._path(f"{self.path}/manifest-{v}.json"), False)
         used = {w for v in self.versions() for w in self._manifest(v).writes()}
-        recent = f"{time.time_ns() - 3_600 * 10**9:020d}"
+        recent = f"w{time.time_ns() - 3_600 * 10**9:020d}"
         for folder in ("data", "gone"):
-            for w in self._names(f"{self.path}/{folder}"):
+            for name in self._names(f"{self.path}/{folder}"):
+                w = name.removeprefix(f"{WRITE}=")
                 if w not in used and w < recent:
-                    self.fs.delete(self._path(f"{self.path}/{folder}/{w}"), True)
+                    self.fs.delete(self._path(f"{self.path}/{folder}/{name}"), True)
         return gone
 
     def migrate(self, steps: list, dry_run: bool = False) -> list[int]:
