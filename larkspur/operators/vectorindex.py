@@ -97,9 +97,9 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.rows = spark.read.parquet(f"{self.path}/rows")
         model = json.loads(spark.read.text(f"{self.path}/model", wholetext=True).first()[0])
         self.key, self.vector = model["key"], model["vector"]
+        self.rows = spark.read.schema(T.StructType.fromJson(model["schema"])).parquet(f"{self.path}/rows")
         self.probes, self.refine = model["probes"], model["refine"]
         self.centroids, self.books = np.array(model["centroids"]), [np.array(b) for b in model["books"]]
 
@@ -144,7 +144,7 @@ class VectorIndex:
         files = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("cell")], F.lit(1)) if hot else F.lit(1)
         dealt = coded.withColumn("__file", F.pmod(F.xxhash64(key), files)).repartition("cell", "__file").sortWithinPartitions("cell", "__file", key).drop("__file")
         dealt.write.option("maxRecordsPerFile", ROWS).partitionBy("cell").parquet(f"{path}/rows")
-        model = json.dumps({"key": key, "vector": vector, "probes": probes, "refine": refine, "centroids": centroids.tolist(), "books": [b.tolist() for b in books]})
+        model = json.dumps({"schema": coded.schema.jsonValue(), "key": key, "vector": vector, "probes": probes, "refine": refine, "centroids": centroids.tolist(), "books": [b.tolist() for b in books]})
         spark.createDataFrame([(model,)], "value string").coalesce(1).write.text(f"{path}/model")
         return cls(spark, path)
 
