@@ -56,8 +56,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    images = media.rendered(vectors, "vec_id", "embedding")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    images = media.rendered(media.dealt(vectors), "vec_id", "embedding")
     asked = media.rendered(vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", edited=True).withColumnRenamed("vec_id", "query_id")
     found, members = media.find_copies(images, asked, key="vec_id")
     return found.join(members.select(F.col("query_id").alias("vec_id"), F.col("class_id").alias("query_class")), "vec_id", "left")
