@@ -19,6 +19,9 @@ executors, each over its own partition; after each round the weights are
 averaged, weighted by tokens.  The last stream is padded to the length of the
 others; padding has no loss.
 
+Texts are cut into words twice: to count them, and, when the vocabulary is known,
+to write their tokens' ranks, which training and scoring read.
+
 Scoring runs the whole of each document, window after window, with the state
 carried across; the tail's counts are joined in Spark.
 
@@ -34,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,9 +333,13 @@ class Gru:
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """For each token array: log10 of the model's probability but for the count + 1 of tail tokens; ranks of all tokens, joined."""
+        return self.score_ranks([self.v.lookup(t) for t in texts])
+
+    def score_ranks(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """As score, of tokens that were looked up."""
         v = self.v
         sizes = np.array([len(t) for t in texts])
-        rank = v.lookup(np.concatenate(texts))
+        rank = np.concatenate(texts)
         starts = np.cumsum(sizes) - sizes
         inputs = v.inputs_of(rank)
         first = int(v.inputs_of(v.lookup(np.array([END], np.uint64)))[0])
@@ -423,12 +431,43 @@ def _head(counts: DataFrame) -> Vocabulary:
     return Vocabulary(hashes[order], got["count"].to_numpy(np.int64)[order], n_by, v_by)
 
 
+def _ranks(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).astype(np.int64)
+
+
+def _ranked(rows: DataFrame, words) -> DataFrame:
+    """rows with, for their text, its ranks (packed), `spot` (a hash that deals texts into rounds) and the hashes of its tail tokens.
+
+    Each text is cut into words and looked up here, once for training and scoring.
+    """
+    from pyspark.sql.types import StructType
+
+    rows = rows.select(*[c for c in rows.columns if c != "text"], F.xxhash64("text").alias("spot"), "text")
+    at = len(rows.columns) - 1
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("ranks binary, tail array<bigint>").fields])
+
+    def run(batches):
+        v, packer = words.value, zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for low in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(low, TOGETHER)
+                texts = [tokens_of(t.as_py()) for t in batch.column(at)]
+                ranks = [v.lookup(t) for t in texts]
+                tails = [t[r < 0] for t, r in zip(texts, ranks, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32)), pa.array(signed(np.concatenate(tails))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([packer.compress(r.astype(np.int32).tobytes()) for r in ranks], pa.binary()), lists], names=[f.name for f in schema])
+        trim()
+
+    return rows.mapInArrow(run, schema)
+
+
 def _trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> bytes:
-    """Weights after `rounds` rounds, each over its part of the texts, averaged over partitions."""
+    """Weights after `rounds` rounds, each over its part of the texts (text, or spot and ranks), averaged over partitions."""
     sc = texts.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
+    if "ranks" not in texts.columns:
+        texts = _ranked(texts.select("text"), words)
     weights = Gru(vocabulary).weights()
-    spot = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for turn in range(rounds):
         sent = sc.broadcast(weights)
 
@@ -437,7 +476,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
 
             def learn():
                 v = words.value
-                rank = v.lookup(np.concatenate(held))
+                rank = np.concatenate(held)
                 fresh = np.zeros(len(rank), bool)
                 fresh[np.cumsum([0, *(len(t) for t in held[:-1])])] = True
                 inputs = v.inputs_of(rank)
@@ -448,7 +487,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
             load = 0
             for batch in batches:
                 for value in batch.column(0):
-                    held.append(tokens_of(value.as_py()))
+                    held.append(_ranks(value.as_py()))
                     load += len(held[-1])
                     if load >= GATHER // 4:
                         done += learn()
@@ -470,7 +509,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
             np.savez(out, **{k: (p / total).astype(np.float32) for k, p in parts.items()})
             return pd.DataFrame({"part": [frame["part"].iloc[0]], "n": [total], "w": [out.getvalue()]})
 
-        share = texts.where(spot == turn).mapInArrow(run, "part int, n long, w binary")
+        share = texts.where(F.pmod("spot", F.lit(rounds)) == turn).select("ranks").mapInArrow(run, "part int, n long, w binary")
         level, left = share.withColumn("part", F.spark_partition_id()), max(1, share.rdd.getNumPartitions())
         # a tree of means: no task holds the weights of more than FAN partitions
         while True:
@@ -492,12 +531,14 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     total = rows.count()
     counts = cut(_counts(training, int(min(1_000_000, max(8, total // 20_000)))))
     vocabulary = _head(counts)
-    weights = _trained(training, vocabulary)
     sc = docs.sparkSession.sparkContext
-    words, sent = sc.broadcast(vocabulary), sc.broadcast(weights)
-    inputs = rows.drop("learn")
+    words = sc.broadcast(vocabulary)
+    read = cut(_ranked(rows, words))
+    weights = _trained(read.where("learn").select("spot", "ranks"), vocabulary)
+    sent = sc.broadcast(weights)
+    inputs = read.drop("learn", "spot").select(*[c for c in read.columns if c not in ("learn", "spot", "ranks")], "ranks")
     at = len(inputs.columns) - 1
-    added = StructType.fromDDL("part int, row bigint, n_tokens bigint, head_known bigint, head_log double, model_log double, tail array<bigint>")
+    added = StructType.fromDDL("part int, row bigint, n_tokens bigint, head_known bigint, head_log double, model_log double")
     schema = StructType([*inputs.schema.fields[:-1], *added.fields])
 
     def run(batches):
@@ -509,7 +550,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
 
         def rows():
             nonlocal number
-            model_logs, ranks = model.score(texts)
+            model_logs, ranks = model.score_ranks(texts)
             first = at_token = 0
             for batch in held:
                 n = batch.num_rows
@@ -518,9 +559,8 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
                 starts, rank = np.cumsum(sizes) - sizes, ranks[at_token : at_token + int(sizes.sum())]
                 known = rank >= 0
                 logs = np.where(known, v.log10_count[rank], 0) if len(v.log10_count) else np.zeros(len(rank))
-                tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))]).astype(np.int32)), pa.array(signed(np.concatenate(own)[~known])))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(number, number + n)), pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), pa.array(model_logs[first : first + n]), tails],
+                    [*batch.columns[:-1], pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(number, number + n)), pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), pa.array(model_logs[first : first + n])],
                     names=[f.name for f in schema],
                 )
                 number, first, at_token = number + n, first + n, at_token + len(rank)
@@ -529,7 +569,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             for low in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(low, TOGETHER)
                 held.append(batch)
-                texts += [tokens_of(t.as_py()) for t in batch.column(at)]
+                texts += [_ranks(t.as_py()) for t in batch.column(at)]
                 load += sum(map(len, texts[-batch.num_rows :]))
                 if load >= GATHER // 2:
                     yield from rows()
