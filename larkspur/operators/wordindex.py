@@ -13,6 +13,13 @@ without the postings of documents that are gone; so their number stays
 logarithmic.  One index serves every filter: postings carry repository, branch and
 type, and the numbers of a filtered corpus are those of its groups and postings.
 
+Postings are cut into blocks, a term's postings of one range of documents (by the
+keys' hash; about RANGE documents a range when the index is built).  `blocks` holds for
+each its largest frequency and its shortest document, from which the most that any
+of its documents can score is known whatever the corpus's numbers are.  A query
+sums these bounds by range, scores the FIRST most promising ranges, and reads of
+the others only those whose bound reaches the k-th score found so far.
+
 A state file names the segments of a moment; a new one is written last, and
 folders that the last KEPT states do not name are deleted.  Results hold k rows
 and depend on no file.
@@ -31,6 +38,7 @@ from larkspur.functions.text import tokenize_code
 from larkspur.operators import bm25, filters
 
 FAN, KEPT = 4, 3
+RANGE, FIRST = 256, 8
 GROUP = ("repository", "branch", "type")
 
 
@@ -43,6 +51,8 @@ class WordIndex:
         self.fs = self._jvm_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         #: rows tokenised, segments merged and whole builds, of this object
         self.tokenised = self.merges = self.builds = self.updates = 0
+        #: blocks of the last query's terms, and how many of them were skipped
+        self.blocks_seen = self.blocks_skipped = 0
         found = [n for n in self._names() if n.startswith("state-")]
         self.state = self._load(found[-1]) if found else None
 
@@ -81,8 +91,8 @@ class WordIndex:
 
     # ---- writing
 
-    def _write_segment(self, rows: DataFrame, dead: DataFrame | None) -> tuple[str, int]:
-        """Folder and number of documents of a new segment; `dead` are documents, as in `docs`, whose counts go."""
+    def _write_segment(self, rows: DataFrame, dead: DataFrame | None, ranges: int | None = None) -> tuple[str, int, int]:
+        """Folder, number of documents and number of ranges of a new segment; `dead` are documents, as in `docs`, whose counts go."""
         name = f"segment-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         place = f"{self.path}/{name}"
         groups = [(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in GROUP]
@@ -90,17 +100,25 @@ class WordIndex:
         rows.select(F.col(self.key).alias("key"), *groups, tokens.alias("tokens")).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{place}/docs")
         docs = self._read(name, "docs")
         dl = F.size("tokens").cast("long").alias("dl")
+        n = docs.count()
+        ranges = ranges or max(1, n // RANGE)
         postings = docs.select("key", *GROUP, dl, F.explode("tokens").alias("term")).groupBy("term", "key", *GROUP, "dl").agg(F.count("*").alias("tf"))
-        postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{place}/postings")
+        postings = postings.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
+        self._write_postings(place, postings)
         terms = self._read(name, "postings").select("term", F.lit(1).alias("df"))
         counts = docs.select(*GROUP, F.lit(1).alias("n"), dl)
         if dead is not None:
             terms = terms.unionAll(dead.select(F.explode(F.array_distinct("tokens")).alias("term"), F.lit(-1).alias("df")))
             counts = counts.unionAll(dead.select(*GROUP, F.lit(-1).alias("n"), -dl))
         self._write_counts(place, terms, counts)
-        n = docs.count()
         self.tokenised += n
-        return name, n
+        return name, n, ranges
+
+    def _write_postings(self, place: str, postings: DataFrame) -> None:
+        order = ("term", "range", "key")
+        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{place}/postings")
+        blocks = self.spark.read.parquet(f"{place}/postings").groupBy("term", "range").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+        blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{place}/blocks")
 
     @staticmethod
     def _write_counts(place: str, terms: DataFrame, counts: DataFrame) -> None:
@@ -110,9 +128,9 @@ class WordIndex:
 
     def build(self, rows: DataFrame, version: str | None = None) -> WordIndex:
         """The index anew, from whole rows."""
-        name, n = self._write_segment(rows, None)
+        name, n, ranges = self._write_segment(rows, None)
         self.builds += 1
-        self._save({"version": version, "segments": [[name, 1, n]], "gone": [], "next": 2})
+        self._save({"version": version, "segments": [[name, 1, n]], "gone": [], "next": 2, "ranges": ranges})
         return self
 
     def apply(self, came: DataFrame | None, went: DataFrame | None, version: str | None = None) -> WordIndex:
@@ -127,8 +145,8 @@ class WordIndex:
             segments, tombs = list(state["segments"]), list(state["gone"])
             if came is None:
                 came = self.spark.createDataFrame([], f"{self.key} {dead.schema['key'].dataType.simpleString()}, {self.text} string")
-            name, n = self._write_segment(came, dead)
-            state = {"version": version, "segments": [*segments, [name, number, n]], "gone": [*tombs, [gone, number - 1]], "next": number + 1}
+            name, n, _ = self._write_segment(came, dead, state["ranges"])
+            state = {**state, "version": version, "segments": [*segments, [name, number, n]], "gone": [*tombs, [gone, number - 1]], "next": number + 1}
         else:
             state = {**state, "version": version}
         self.updates += 1
@@ -160,7 +178,7 @@ class WordIndex:
             place = f"{self.path}/{name}"
             part = {**state, "segments": own}
             self._alive("docs", part).drop("seg").repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{place}/docs")
-            self._alive("postings", part).drop("seg").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{place}/postings")
+            self._write_postings(place, self._alive("postings", part).drop("seg"))
             self._write_counts(place, self._all("terms", part), self._all("groups", part))
             rest, number = segments[:-run], own[-1][1]
             # tombstones concern the segments before the merged one alone
@@ -219,8 +237,23 @@ class WordIndex:
 
         return bm25.Stats(n, row["dl"] / n if n else 0.0, bm25._idf(n, found, mean))
 
-    def top_k(self, query: str, k: int, key: str = "id", repository: str | None = None, branches: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
-        """key, bm25_score: the k best of the filtered corpus; ties go by key, documents that score 0 fill up to k."""
+    def _ranges(self, asked: Column, part: Column, where: Column, score, best, k: int) -> DataFrame | None:
+        """The ranges that can hold one of the k best; None where all can."""
+        blocks = self._all("blocks").where(asked)
+        # a document stands in one segment: of a term and range the largest bound of all segments counts
+        bounds = blocks.groupBy("term", "range").agg(F.max(part).alias("bound")).groupBy("range").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks"))
+        first = [r["range"] for r in bounds.orderBy(F.desc("bound"), "range").limit(FIRST).collect()]
+        found = best(score(self._alive("postings", where=asked & where & F.col("range").isin(first)))) if first else []
+        least = found[-1]["bm25_score"] - 2e-6 if len(found) == k else 0.0  # scores are rounded
+        seen = bounds.agg(F.sum("blocks").alias("all"), F.sum(F.when(F.col("bound") >= least, F.col("blocks"))).alias("read"), F.count_if(F.col("bound") < least).alias("closed")).first()
+        self.blocks_seen, self.blocks_skipped = seen["all"] or 0, (seen["all"] or 0) - (seen["read"] or 0)
+        return bounds.where(F.col("bound") >= least).select("range") if seen["closed"] else None
+
+    def top_k(self, query: str, k: int, key: str = "id", repository: str | None = None, branches: list[str] | None = None, types: list[str] | None = None, skip: bool = True) -> DataFrame:
+        """key, bm25_score: the k best of the filtered corpus; ties go by key, documents that score 0 fill up to k.
+
+        With skip, blocks that cannot hold one of them are not read.
+        """
         where = filters.branch_aware(repository, branches, types)
         terms = bm25.query_terms(query)
         stats = self.stats(terms, repository, branches, types)
@@ -228,11 +261,15 @@ class WordIndex:
         kind = self._read(self.state["segments"][0][0], "docs").schema["key"].dataType.simpleString()
         top: list = []
         if weight:
-            tf = F.col("tf").cast("double")
             factor = F.create_map(*[F.lit(x) for pair in sorted(weight.items()) for x in pair])[F.col("term")]
+            tf = F.col("tf").cast("double")
             part = factor * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(stats.avgdl)))
-            scored = self._alive("postings", where=F.col("term").isin(sorted(weight)) & where).groupBy("key").agg(F.round(F.sum(part), 6).alias("bm25_score"))
-            top = scored.orderBy(F.desc("bm25_score"), "key").limit(k).collect()  # k rows
+            asked = F.col("term").isin(sorted(weight))
+            score = lambda rows: rows.groupBy("key").agg(F.round(F.sum(part), 6).alias("bm25_score"))
+            best = lambda rows: rows.orderBy(F.desc("bm25_score"), "key").limit(k).collect()  # noqa: E731  # k rows
+            scored = score(self._alive("postings", where=asked & where))
+            wanted = self._ranges(asked, part, where, score, best, k) if skip and min(weight.values()) >= 0 else None
+            top = best(scored if wanted is None else score(self._alive("postings", where=asked & where).join(wanted, "range", "left_semi")))
         if len(top) < k or top[-1]["bm25_score"] <= 0:
             rest = self.keys(repository, branches, types)
             rest = (rest.join(scored.select("key"), "key", "left_anti") if weight else rest).orderBy("key").limit(k)

@@ -61,6 +61,22 @@ def test_word_index_follows_a_store(spark, tmp_path):
     assert len(names) == wordindex.KEPT
 
 
+def test_blocks_that_cannot_hold_a_result_are_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wordindex, "RANGE", 8)
+    rng = random.Random(9)
+    rows = [(f"k{i:03d}", " ".join(rng.choices(["aa", "bb", "cc", "dd"], k=rng.randint(1, 40)) + (["rare"] if i % 97 == 5 else []) + (["some"] if i % 11 == 3 else []) + [f"u{i}"]), "r", "main", "note") for i in range(600)]
+    docs = spark.createDataFrame(rows, FIELDS)
+    index = WordIndex(spark, str(tmp_path / "i")).build(docs.where("id < 'k500'"))
+    index.apply(docs.where("id >= 'k500'"), None)
+    assert index.state["ranges"] == 62
+    skipped = {}
+    for query in ("rare some aa", "aa bb", "cc cc aa rare"):
+        assert top(index.top_k(query, 5)) == top(bm25.top_k(docs, query, 5).select("id", "bm25_score"))
+        index.top_k(query, 5)
+        skipped[query] = index.blocks_skipped / index.blocks_seen
+    assert skipped["rare some aa"] > 0.5 and skipped["cc cc aa rare"] > 0.3, skipped
+
+
 def test_segments_merge_and_forget_the_gone(spark, tmp_path):
     make = lambda *ids: spark.createDataFrame([(i, f"word {i}", "r", "main", "note") for i in ids], FIELDS)
     index = WordIndex(spark, str(tmp_path / "i")).build(make("a"))
