@@ -890,7 +890,7 @@ def schema_migration(spark, sf):
     return store.read().select("id", "status", F.lit(f"{ran[0]} {ran[1]}").alias("ran"))
 
 
-from larkspur.plans import stored  # noqa: E402
+from larkspur.plans import sourced, stored  # noqa: E402
 
-QUERIES |= stored.QUERIES
-ORACLE |= stored.ORACLE
+QUERIES |= stored.QUERIES | sourced.QUERIES
+ORACLE |= stored.ORACLE | sourced.ORACLE
