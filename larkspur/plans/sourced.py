@@ -13,7 +13,7 @@ from larkspur.plans.stored import K, QUERY_TEXT
 from larkspur.sources import files as file_source
 from larkspur.sources.place import shared_place
 from larkspur.sources.store import Store
-from larkspur.streaming import capture
+from larkspur.streaming import capture, guard
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,15 @@ def detected_repository(spark, sf):
     m = memory(spark, sf)
     name = search.detect_repository(None, m.where("type = 'note'").orderBy("id"))
     return m.where(F.col("repository") == name).select("id", "type", "repository")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, 'p' || conv_id % 16 AS repository, 'About: ' || substr(text, 1, 20) AS text FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""")
+def queue_guarded(spark, sf):
+    """Every turn queued as its session: the stateful guard takes each session once."""
+    queue, out, state = (shared_place(spark, n) for n in ("queue", "guarded", "state"))
+    at = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 6, "0"))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("transcript_text"), F.concat(F.lit("p"), F.col("conv_id") % 16).alias("repository"), at.alias("queued_at"))
+    rows.write.json(queue)
+    guard.drained(guard.start(spark, queue, out, state, lambda text: "About: " + text[:20]), rows.count())
+    return spark.read.schema(guard.OUT).parquet(out).select("session_id", "repository", "text")
