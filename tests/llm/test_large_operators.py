@@ -212,6 +212,37 @@ def test_state_is_carried_and_batches_do_not_matter(monkeypatch):
     assert m.score(texts)[0] == pytest.approx(whole, rel=1e-4)
 
 
+def test_a_documents_score_equals_a_plain_recomputation():
+    v = model_of({i + 1: 5000 - i for i in range(2500)} | {int(lm.END): 10}, [(99, 5)])
+    m = lm.Gru(v, seed=9)
+    m.Wc, m.Wv = m.Wc * 30, m.Wv * 30
+    rng = np.random.default_rng(8)
+    words = np.append(rng.integers(1, 2600, 60).astype(np.uint64), lm.END)
+    ranks = [int(v.lookup(np.array([w], np.uint64))[0]) for w in words]
+    assert min(ranks) < 0 and max(ranks) >= v.neural > min(r for r in ranks if r >= 0)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    H, h, total = lm.HIDDEN, np.zeros(lm.HIDDEN), 0.0
+    last = int(v.lookup(np.array([lm.END], np.uint64))[0])
+    for r in ranks:
+        a, u = m.G[int(v.inputs_of(np.array([last]))[0])].astype(float), h @ m.U.astype(float)
+        z, reset = sigmoid(a[:H] + u[:H]), sigmoid(a[H : 2 * H] + u[H : 2 * H])
+        n = np.tanh(a[2 * H :] + reset * u[2 * H :])
+        h = (1 - z) * n + z * h
+        klass = int(v.klass_of(np.array([r]))[0])
+        p = softmax(h @ m.Wc + m.bc)[klass]
+        if 0 <= r < v.neural:
+            low, high = klass * lm.CLASS, min((klass + 1) * lm.CLASS, v.neural)
+            p *= softmax(h @ m.Wv[:, low:high] + m.bv[low:high])[r - low]
+        elif r >= 0:
+            p *= 10 ** v.static[r]
+        else:
+            p /= 10 ** v.tail_log10[-1 - r]
+        total += np.log10(p)
+        last = r
+    assert m.score([words])[0][0] == pytest.approx(total, rel=1e-4)
+
+
 @pytest.mark.parametrize("head", [300_000, 500])
 def test_base_scores_equal_brute_force(spark, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
