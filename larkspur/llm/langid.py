@@ -4,12 +4,14 @@ A text becomes a TF-IDF vector of its hashed letter 2- and 3-grams (lower case,
 everything but letters and their marks is a space), scaled to length one.  Each language has
 several centroids (spherical k-means of its training vectors); the prediction
 is the language of the centroid with the largest cosine.  A text is rejected
-when that cosine is below what training texts of its length reach
-(`REJECT` of the least one seen), or when it has no letter; a text of fewer than
-ENOUGH n-grams is too short to be rejected by its distance.
-
-The document frequencies and the least cosines are counted over all training
-rows, and every language is fitted.  Only the k-means of a language uses a sample
+when that cosine is below what training texts of its length reach (MARGIN of
+their LOW quantile, read from a histogram), or when it has no letter; a text of
+fewer than ENOUGH n-grams is too short to be rejected by its distance.  A length
+of fewer than 1 / LOW training rows is judged with the shorter ones, which reach
+less, so that few rows reject little.
+
+The document frequencies and the histogram of cosines are counted over all
+training rows, and every language is fitted.  Only the k-means of a language uses a sample
 of at most PER_LANGUAGE of its documents: in each of PARTS parts of the hashes of
 their texts, the smallest ones.  It runs where the sample is; the driver gets the
 CENTROIDS centroids of each language (32 kB).
@@ -33,8 +35,9 @@ DIMS = 2048
 CENTROIDS = 4
 PER_LANGUAGE = 1024
 PARTS = 64
-REJECT = 0.5
-SIZES = 40
+#: a text is rejected under MARGIN of the cosine that all but LOW of the training rows of its length reach
+LOW, MARGIN = 0.001, 0.9
+SIZES, BINS = 40, 1000
 #: n-grams under which a text is too short to be rejected by distance
 ENOUGH = 32
 
@@ -112,14 +115,18 @@ def k_means(vectors: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return c
 
 
-def least_cosines(smallest: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of each size the cosine under which a text is rejected, from the least one and the rows of each size."""
-    least = np.full(SIZES, smallest.min())
+def least_cosines(histogram: np.ndarray) -> np.ndarray:
+    """Of each size the cosine under which a text is rejected, from the rows by size and BINS-th of the cosine."""
+    least = np.zeros(SIZES)
     for b in range(SIZES):
-        # a text that is at least as long as others reaches at least the least of them
-        if rows[: b + 1].any():
-            least[b] = smallest[b:].min() if rows[b:].sum() >= 50 else least[b - 1]
-    return np.minimum.accumulate(least[::-1])[::-1] * REJECT
+        low = b
+        while low > 0 and histogram[low : b + 1].sum() * LOW < 1:
+            low -= 1
+        rows = histogram[low : b + 1].sum(0)
+        if rows.any():
+            # the lower edge of the bin that holds the quantile
+            least[b] = MARGIN * np.searchsorted(rows.cumsum(), LOW * rows.sum(), side="right") / BINS
+    return least
 
 
 def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
@@ -142,27 +149,26 @@ def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     return int(total[-1]), total[:-1]
 
 
-def _smallest_cosines(rows: DataFrame, model: Centroids) -> tuple[np.ndarray, np.ndarray]:
-    """Of each size the least of the best cosines of all training rows, and the number of rows."""
+def _histogram(rows: DataFrame, model: Centroids) -> np.ndarray:
+    """How many training rows of each size have their best cosine in each BINS-th."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        smallest, n = np.full(SIZES, np.inf), np.zeros(SIZES, np.int64)
+        n = np.zeros(SIZES * BINS, np.int64)
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 counts = [c for v in whole.column(0)[low : low + 256] if (c := ngram_counts(v.as_py())) is not None]
                 if counts:
-                    sizes = np.array([size_of(c) for c in counts])
-                    np.minimum.at(smallest, sizes, shared.value.cosines(counts).max(1))
-                    np.add.at(n, sizes, 1)
+                    bins = np.clip((shared.value.cosines(counts).max(1) * BINS).astype(np.int64), 0, BINS - 1)
+                    np.add.at(n, np.array([size_of(c) for c in counts]) * BINS + bins, 1)
         trim()
         seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(smallest[seen], pa.float64()), pa.array(n[seen], pa.int64())], names=["size", "least", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["bin", "n"])
 
-    smallest, n = np.full(SIZES, np.inf), np.zeros(SIZES, np.int64)
-    for r in rows.select("text").mapInArrow(run, "size int, least double, n long").groupBy("size").agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect():  # SIZES rows at most
-        smallest[r["size"]], n[r["size"]] = r["least"], r["n"]
-    return smallest, n
+    n = np.zeros(SIZES * BINS, np.int64)
+    for r in rows.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # SIZES * BINS rows at most
+        n[r["bin"]] = r["n"]
+    return n.reshape(SIZES, BINS)
 
 
 def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang") -> Centroids:
@@ -203,7 +209,7 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang:
     each = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMS) for r in got]
     owner = np.repeat(np.arange(len(each)), [len(c) for c in each])
     model = Centroids(idf, [r["lang"] for r in got], owner, np.concatenate(each), np.zeros(SIZES))
-    model.least = least_cosines(*_smallest_cosines(rows, model))
+    model.least = least_cosines(_histogram(rows, model))
     return model
 
 

@@ -455,7 +455,22 @@ def test_every_language_and_all_training_rows_count(spark):
     counts = [langid.ngram_counts(t) for t, _ in many]
     df = (np.array(counts) > 0).sum(0)
     assert np.allclose(model.idf, np.log((1 + len(many)) / (1 + df)) + 1, rtol=1e-5)
-    assert model.least.min() == pytest.approx(langid.REJECT * model.cosines(counts).max(1).min(), rel=1e-4)
+    best, sizes = model.cosines(counts).max(1), np.array([langid.size_of(c) for c in counts])
+    for size in set(sizes):
+        # a size of few rows is judged with the shorter ones
+        rows = next(r for low in range(size, -1, -1) if low == 0 or langid.LOW * len(r := np.sort(best[(sizes >= low) & (sizes <= size)])) >= 1)
+        quantile = rows[int(langid.LOW * len(rows))]
+        assert model.least[size] == pytest.approx(langid.MARGIN * quantile, abs=1.1 / langid.BINS)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.1")), reason="no test tables")
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, (F.col("lang") != "fr") & (F.col("doc_id") % 5 != 0))
+    got = langid.identify(docs.where("doc_id % 5 = 0 or lang = 'fr'"), model).where("length(text) >= 1000").groupBy("lang").agg(F.avg(F.col("lang_rejected").cast("int")).alias("share")).collect()
+    shares = {r["lang"]: r["share"] for r in got}
+    assert shares.pop("fr") > 0.98
+    assert len(shares) == 3 and max(shares.values()) < 0.005
 
 
 def test_ngrams_in_pieces(monkeypatch):
