@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from larkspur.operators import filters
 
 
-def browse_counts(memory: DataFrame) -> DataFrame:
-    """dimension, value, count in one pass: total, by repository, by type, by language (empty ones left out)."""
+def browse_counts(memory: DataFrame, count: Column | None = None) -> DataFrame:
+    """dimension, value, count in one pass: total, by repository, by type, by language (empty ones left out).
+
+    `count` is an aggregate over rows that stand for several, as kept counts do.
+    """
     unknown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
-    rows = memory.select(unknown("repository").alias("repository"), unknown("type").alias("type"), F.nullif("language", F.lit("")).alias("language"))
-    sets = rows.groupingSets([["repository"], ["type"], ["language"], []], "repository", "type", "language").agg(F.count("*").alias("count"), F.grouping_id("repository", "type", "language").alias("g"))
+    rows = memory.select(unknown("repository").alias("repository"), unknown("type").alias("type"), F.nullif("language", F.lit("")).alias("language"), *[c for c in ("count",) if count is not None])
+    sets = rows.groupingSets([["repository"], ["type"], ["language"], []], "repository", "type", "language").agg((F.count("*") if count is None else count).alias("count"), F.grouping_id("repository", "type", "language").alias("g"))
     name = F.when(F.col("g") == 3, "repository").when(F.col("g") == 5, "type").when(F.col("g") == 6, "language").otherwise("total")
     value = F.when(F.col("g") == 3, F.col("repository")).when(F.col("g") == 5, F.col("type")).when(F.col("g") == 6, F.col("language")).otherwise("")
     return sets.select(name.alias("dimension"), value.alias("value"), "count").where("value is not null")

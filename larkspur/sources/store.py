@@ -13,7 +13,14 @@ another writer has it; the change is then put on the newer version and tried
 again, without writing any row anew, so that concurrent writers lose nothing.
 Only `replace` of what was read at a version fails, with `Conflict`, where that
 version is no longer the newest.  The manifest also keeps a log of the last
-changes, from which `changes` serves what came after a version.
+changes, from which `changes` serves what came after a version, and `signed` what
+came and what went.
+
+Files may be summarised (`summarise`; `compact` does it for those that it writes):
+the bounds of their ids and times and a Bloom filter of their ids stand in small
+tables beside the data.  `find` and `between` then open only the files that may
+hold a row; files without a summary are always read.  A file's filter has a
+power of two of words of 64 bits, and an id sets four bits of one word.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import os
 import time
 import uuid
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +46,11 @@ LOGGED, CROWDED = 200, 48
 MERGED = 4
 #: tries of a commit
 TRIES = 100
-SEQ, WRITE = "__seq", "p_write"
+SEQ, WRITE, SIGN = "__seq", "p_write", "__sign"
+#: ids a word of a file's filter, and ids up to which a set of them is looked up in the filters
+PER_WORD, LOOKED_UP = 8, 10_000
+_WORD = "shiftrightunsigned(h, 24) & (words - 1)"
+_MASK = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(h, {at}) & 63 as int))" for at in (0, 6, 12, 18))
 
 
 class Conflict(Exception):
@@ -151,15 +163,20 @@ class Store:
                     return None
         return T.StructType([T.StructField(f.name, f.dataType, True) for f in out.values()])
 
-    def _rows(self, leaves: list[list]) -> DataFrame:
-        """The rows of leaves with the numbers of their versions."""
+    def _rows(self, leaves: list[list], only: dict[str, list[str]] | None = None) -> DataFrame:
+        """The rows of leaves with the numbers of their versions; of the writes in `only` just these files."""
         held: dict[str, set] = {}
         for leaf, write, _ in leaves:
             held.setdefault(write, set()).add(leaf)
         # a write of which all leaves count is listed as a whole
-        places = sorted(p for write, own in held.items() for p in ([self._place(write)] if len(own) == self._written.get(write) else [f"{self._place(write)}/{leaf}" for leaf in own]))
-        reader = self.spark.read.option("basePath", f"{self.path}/data")
+        whole = lambda write, own: [self._place(write)] if len(own) == self._written.get(write) else [f"{self._place(write)}/{leaf}" for leaf in own]
         schema = self._schema(held)
+        if schema is None:
+            only = None
+        places = sorted(p for write, own in held.items() for p in ([f for f in only[write] if _leaf_of(f) in own] if only and write in only else whole(write, own)))
+        if not places:
+            return self._rows(leaves).limit(0)
+        reader = self.spark.read.option("basePath", f"{self.path}/data")
         rows = (reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)).parquet(*places).drop(*PARTS.values())
         # p_write, the folder that a row stands in, tells its version
         numbers = sorted({(write, seq) for _, write, seq in leaves})
@@ -179,15 +196,15 @@ class Store:
             ids = part if ids is None else ids.unionAll(part)
         return ids.groupBy("id").agg(F.max("__upto").alias("__upto"))
 
-    def _alive(self, leaves: list[list], gone: list[list]) -> DataFrame:
+    def _alive(self, leaves: list[list], gone: list[list], only: dict[str, list[str]] | None = None) -> DataFrame:
         """The rows of leaves without those of later delete files; leaves that no delete file concerns are read as they are."""
         last = max((seq for _, seq in gone), default=0)
         old, fresh = [x for x in leaves if x[2] < last], [x for x in leaves if x[2] >= last]
-        out = self._rows(fresh) if fresh else None
+        out = self._rows(fresh, only) if fresh else None
         if old:
             first = min(seq for _, _, seq in old)
             ids = self._gone([x for x in gone if x[1] > first]).withColumnRenamed("id", "__id")
-            rows = self._rows(old)
+            rows = self._rows(old, only)
             rows = rows.join(ids, (rows["id"] == ids["__id"]) & (rows[SEQ] < ids["__upto"]), "left_anti")
             out = rows if out is None else rows.unionByName(out, allowMissingColumns=True)
         return out
@@ -199,6 +216,10 @@ class Store:
             raise FileNotFoundError(self.path)
         return self._alive(manifest.leaves, manifest.gone).drop(SEQ)
 
+    def is_empty(self, version: str | None = None) -> bool:
+        """Whether a version, the newest if none is given, has no files at all, so that it cannot be read."""
+        return not self._manifest(version or self.current()).leaves
+
     def changes(self, since: str, until: str | None = None) -> tuple[DataFrame | None, DataFrame | None] | None:
         """(rows that came after a version and are still there at `until`, ids that were taken or replaced since); None where the log does not tell."""
         until = until or self.current()
@@ -211,6 +232,95 @@ class Store:
         gone = [[e["gone"], e["seq"]] for e in log if e["gone"]]
         return self._alive(leaves, gone).drop(SEQ) if leaves else None, self._gone(gone).select("id") if gone else None
 
+    def signed(self, since: str, until: str | None = None) -> DataFrame | None:
+        """What changed between two versions as rows with SIGN: -1 for a row of the first that went, 1 for one that came.
+
+        An updated row comes twice.  None where the log does not tell, or the first version is gone.
+        """
+        if since not in self.versions():
+            return None
+        found, before = self.changes(since, until), self._manifest(since)
+        if found is None:
+            return None
+        came, went = found
+        out = came.withColumn(SIGN, F.lit(1)) if came is not None else None
+        if went is not None and before.leaves:
+            rows = self._alive(before.leaves, before.gone, self._holding(before.leaves, went)).drop(SEQ)
+            rows = rows.join(went, "id", "left_semi").withColumn(SIGN, F.lit(-1))
+            out = rows if out is None else rows.unionByName(out, allowMissingColumns=True)
+        if out is None and before.leaves:
+            return self._rows(before.leaves).limit(0).drop(SEQ).withColumn(SIGN, F.lit(1))
+        return out
+
+    # ---- files that need not be opened
+
+    def _summarised(self) -> set[str]:
+        return {n.removesuffix(".done") for n in self._names(f"{self.path}/stats") if n.endswith(".done")}
+
+    def summarise(self) -> list[str]:
+        """Summarises the files of the newest version's writes that are not yet; returns these writes."""
+        todo = sorted({w for _, w, _ in self._manifest(self.current()).leaves} - self._summarised())
+        for write in todo:
+            self._summarise(write)
+        return todo
+
+    def _summarise(self, write: str) -> None:
+        """Two passes over the ids and times of a write: bounds by file, then the words of the filters, combined before they are shuffled."""
+        place = f"{self.path}/stats/{write}"
+        rows = self.spark.read.parquet(self._place(write))
+        dated = dict(rows.dtypes).get("created_at", "string") == "string"
+        at = F.col("created_at") if dated and "created_at" in rows.columns else F.lit(None).cast("string")
+        rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("id").cast("string").alias("id"), at.alias("at"))
+        bounds = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("id").alias("least"), F.max("id").alias("most"), F.min("at").alias("first"), F.max("at").alias("last"))
+        bounds = bounds.withColumns({"words": F.expr(f"cast(power(2, greatest(0, ceil(log2(rows / {PER_WORD})))) as bigint)"), "dated": F.lit(dated)})
+        bounds.write.mode("overwrite").parquet(f"{place}/bounds")
+        words = self.spark.read.parquet(f"{place}/bounds").select("file", "words")
+        bits = rows.where("id is not null").join(words, "file").withColumn("h", F.xxhash64("id")).selectExpr("file", f"{_WORD} as word", f"{_MASK} as mask")
+        bits.groupBy("file", "word").agg(F.bit_or("mask").alias("bits")).write.mode("overwrite").parquet(f"{place}/bloom")
+        self.fs.create(self._path(f"{place}.done")).close()
+
+    def _bounds(self, writes: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/stats/{w}/bounds" for w in writes])
+
+    def _files(self, writes: list[str], found: DataFrame) -> dict[str, list[str]]:
+        """The files (file) of each write; no more names than Spark's own listing of the writes holds."""
+        out: dict[str, list[str]] = {w: [] for w in writes}
+        for r in found.select("file").distinct().collect():
+            file = unquote(r["file"])
+            out[file.split("/")[-4].removeprefix(f"{WRITE}=")].append(file)
+        return out
+
+    def _holding(self, leaves: list[list], ids: DataFrame) -> dict[str, list[str]] | None:
+        """Of the summarised writes the files that may hold one of the ids; None where all are to be read, as for more than LOOKED_UP ids."""
+        writes = sorted({w for _, w, _ in leaves} & self._summarised())
+        if not writes or ids.limit(LOOKED_UP + 1).count() > LOOKED_UP:
+            return None
+        asked = ids.select(F.col("id").cast("string").alias("id")).where("id is not null").distinct().withColumn("h", F.xxhash64("id"))
+        probes = self._bounds(writes).join(F.broadcast(asked), F.col("id").between(F.col("least"), F.col("most"))).selectExpr("file", f"{_WORD} as word", f"{_MASK} as mask")
+        bloom = self.spark.read.parquet(*[f"{self.path}/stats/{w}/bloom" for w in writes])
+        return self._files(writes, bloom.join(probes, ["file", "word"]).where("bits & mask = mask"))
+
+    def find(self, ids: list, version: str | None = None) -> DataFrame:
+        """The rows of a list of ids: of summarised writes only the files are opened that may hold one."""
+        m = self._manifest(version or self.current())
+        if not m.leaves:
+            raise FileNotFoundError(self.path)
+        ids = sorted({i for i in ids if i is not None})
+        kind = next((f.dataType.simpleString() for f in (self._schema({w for _, w, _ in m.leaves}) or []) if f.name == "id"), "string")
+        asked = self.spark.createDataFrame([(i,) for i in ids], f"id {kind}")
+        return self._alive(m.leaves, m.gone, self._holding(m.leaves, asked)).drop(SEQ).where(F.col("id").isin(ids))
+
+    def between(self, low: str | None, high: str | None, version: str | None = None) -> DataFrame:
+        """The rows whose created_at is in [low, high), a None being no bound; of summarised writes only the files are opened whose times meet it."""
+        m = self._manifest(version or self.current())
+        if not m.leaves:
+            raise FileNotFoundError(self.path)
+        writes, at = sorted({w for _, w, _ in m.leaves} & self._summarised()), F.col("created_at")
+        met = (F.col("last") >= low if low is not None else F.col("last").isNotNull()) & (F.col("first") < high if high is not None else F.lit(True))
+        only = self._files(writes, self._bounds(writes).where(met | ~F.col("dated"))) if writes else None
+        asked = (at >= low if low is not None else at.isNotNull()) & (at < high if high is not None else F.lit(True))
+        return self._alive(m.leaves, m.gone, only).drop(SEQ).where(asked)
+
     # ---- writing
 
     def _write(self, df: DataFrame) -> tuple[str, list[str]]:
@@ -301,15 +411,18 @@ class Store:
             kept = [x for x in now.leaves if x not in old] + [[leaf, write, number] for leaf in names]
             return Manifest(kept, [x for x in now.gone if x not in m.gone], [*now.log, entry])
 
-        return self._change(put)
+        done = self._change(put)
+        if names:
+            self._summarise(write)
+        return done
 
     def _touched(self, m: Manifest) -> set[str]:
-        """The leaves that hold a row that is gone: a scan of the ids of leaves older than the last delete file."""
+        """The leaves that hold a row that is gone: a scan of the ids of leaves older than the last delete file, of files that may hold one."""
         last = max((seq for _, seq in m.gone), default=0)
         old = [x for x in m.leaves if x[2] < last]
         if not old:
             return set()
-        rows = self._rows(old)
+        rows = self._rows(old, self._holding(old, self._gone(m.gone)))
         rows = rows.select("id", SEQ, F.regexp_extract(F.col("_metadata.file_path"), r"/data/[^/]+/([^/]+/[^/]+)/[^/]*$", 1).alias("leaf"))
         ids = self._gone(m.gone).withColumnRenamed("id", "__id")
         hit = rows.join(ids, (rows["id"] == ids["__id"]) & (rows[SEQ] < ids["__upto"]), "left_semi").select("leaf").distinct()
@@ -362,9 +475,9 @@ class Store:
             self.fs.delete(self._path(f"{self.path}/manifest-{v}.json"), False)
         used = {w for v in self.versions() for w in self._manifest(v).writes()}
         recent = f"w{time.time_ns() - 3_600 * 10**9:020d}"
-        for folder in ("data", "gone"):
+        for folder in ("data", "gone", "stats"):
             for name in self._names(f"{self.path}/{folder}"):
-                w = name.removeprefix(f"{WRITE}=")
+                w = name.removeprefix(f"{WRITE}=").removesuffix(".done")
                 if w not in used and w < recent:
                     self.fs.delete(self._path(f"{self.path}/{folder}/{name}"), True)
         return gone
@@ -393,11 +506,14 @@ class Store:
 
 def _plain(leaf: str) -> str:
     """A leaf name as it stands in a file's URL."""
-    from urllib.parse import quote
-
     return quote(leaf, safe="/=")
 
 
+def _leaf_of(file: str) -> str:
+    """The leaf that a file stands in."""
+    return "/".join(file.split("/")[-3:-1])
+
+
 def to_json(df: DataFrame):
     """One JSON text for each row; null fields are left out."""
     return df.select(F.to_json(F.struct("*")).alias("json"))
