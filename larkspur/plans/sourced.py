@@ -11,6 +11,7 @@ from larkspur.operators.corpus import memory, table
 from larkspur.plans.oracle import _MEM, _fused
 from larkspur.plans.stored import K, QUERY_TEXT
 from larkspur.sources import files as file_source
+from larkspur.sources import lines
 from larkspur.sources.place import shared_place
 from larkspur.sources.store import Store
 from larkspur.streaming import capture, guard
@@ -122,3 +123,35 @@ def queue_guarded(spark, sf):
     rows.write.json(queue)
     guard.drained(guard.start(spark, queue, out, state, lambda text: "About: " + text[:20]), rows.count())
     return spark.read.schema(guard.OUT).parquet(out).select("session_id", "repository", "text")
+
+
+_TURNS = "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations"
+
+
+def _turn_lines(spark, sf):
+    return table(spark, sf, "conversations").select(F.to_json(F.struct("conv_id", "turn", F.md5("text").alias("text_md5"))).alias("value"), "conv_id")
+
+
+def _turns(lines):
+    return lines.select(F.from_json("value", "conv_id long, turn long, text_md5 string").alias("r")).select("r.*")
+
+
+@query(_TURNS)
+def lines_sink_source(spark, sf):
+    """Rows as JSON lines through the sink, and back by splits that cut lines."""
+    lines.register(spark)
+    place = shared_place(spark, "lines")
+    _turn_lines(spark, sf).select("value").write.format("lines").mode("append").save(place)
+    return _turns(spark.read.format("lines").option("split_bytes", 1 << 16).load(place))
+
+
+@query(_TURNS)
+def lines_stream(spark, sf):
+    """Lines as a stream into the stream's sink, in two runs of one checkpoint with more lines before the second."""
+    lines.register(spark)
+    place, out, state = shared_place(spark, "lines"), shared_place(spark, "lines"), shared_place(spark, "state")
+    for part in (0, 1):
+        _turn_lines(spark, sf).where(F.abs("conv_id") % 2 == part).select("value").write.format("lines").mode("append").save(place)
+        stream = spark.readStream.format("lines").load(place).select("value")
+        stream.writeStream.format("lines").option("path", out).option("name", "turns").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return _turns(spark.read.format("lines").load(out))
