@@ -432,7 +432,8 @@ class Store:
     def backup(self, folder: str, keep: int = KEEP) -> str:
         """A copy of the store on any file system that Spark reaches; the oldest copies over `keep` go."""
         folder = folder.rstrip("/")
-        target = f"{folder}/backup_{time.strftime('%Y%m%d_%H%M%S')}_{time.time_ns() % 10**9:09d}"
+        at = time.time_ns()
+        target = f"{folder}/backup_{time.strftime('%Y%m%d_%H%M%S', time.localtime(at // 10**9))}_{at % 10**9:09d}"
         self._copy(self.path, target)
         for old in self.backups(folder)[keep:]:
             self._fs(folder).delete(self._path(old["path"]), True)
