@@ -5,8 +5,8 @@ document frequency of each query term.  By a scan, one aggregation reads them;
 scores are then an expression over each row's own tokens with these numbers as
 literals, so that scoring shuffles nothing and the top k is a TakeOrderedAndProject.
 
-An `Index` keeps the postings as Parquet in the order of their terms, so that a
-query reads its own terms' postings alone, however large the corpus.
+An `Index` keeps the postings as Parquet files of some documents each, in the order of
+their terms, so that a query reads its own terms' postings alone, however large the corpus.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import tokenize_code
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: postings that a task sorts and writes, so that its memory does not grow with the corpus
+PER_TASK = 2_000_000
 
 
 def query_terms(query: str) -> list[str]:
@@ -35,6 +37,30 @@ def term_frequency(docs: DataFrame, key: str = "id", text: str = "text") -> Data
     return docs.select(key, F.explode(tokenize_code(F.col(text))).alias("term")).groupBy("term", key).count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
 
 
+def with_counts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with dl (tokens), n_terms, terms (distinct, sorted) and tfs (how often each) in place of the text.
+
+    The tokens of a text are sorted and their runs counted where the text stands, so
+    that nothing is shuffled.  Two plain arrays are half of what an array of pairs takes.
+    """
+    rest = [c for c in rows.columns if c != text]
+    tokens = rows.select(*rest, F.sort_array(F.coalesce(tokenize_code(F.col(text)), F.array().cast("array<string>"))).alias("__s"))
+    starts = F.filter(F.transform("__s", lambda t, i: F.when((i == 0) | (t != F.get("__s", i - 1)), i)), lambda i: i.isNotNull())
+    tfs = F.transform("__a", lambda i, j: F.coalesce(F.get("__a", j + 1), F.size("__s")) - i)
+    return tokens.withColumn("__a", starts).select(*rest, F.size("__s").cast("long").alias("dl"), F.size("__a").alias("n_terms"), F.transform("__a", lambda i: F.get("__s", i)).alias("terms"), tfs.alias("tfs"))
+
+
+def postings_of(counted: DataFrame) -> DataFrame:
+    """term, tf and the other columns: a row for each term of what with_counts gave."""
+    rest = [c for c in counted.columns if c not in ("n_terms", "terms", "tfs")]
+    return counted.select(*rest, "tfs", F.posexplode("terms").alias("__i", "term")).select("term", *rest, F.get("tfs", F.col("__i")).alias("tf"))
+
+
+def tasks_for(postings: int) -> int:
+    """As many partitions as keep a task's share of so many postings bounded."""
+    return max(1, -(-postings // PER_TASK))
+
+
 @dataclass(frozen=True)
 class Stats:
     """What a query needs of a corpus: a number of values that depends on the query alone."""
@@ -92,30 +118,33 @@ def _idf(n: int, found: dict[str, int], mean) -> dict[str, float]:
 
 
 class Index:
-    """Postings (term, key, tf, dl) by term, document frequencies, keys and the corpus's numbers, in a folder."""
+    """Postings (term, key, tf, dl) by term, document frequencies, documents and the corpus's numbers, in a folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.postings, self.terms, self.keys = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "keys"))
+        self.postings, self.terms, docs = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs"))
+        self.keys = docs.select("key", "dl")
         row = spark.read.parquet(f"{path}/corpus").first()
         self.n, self.avgdl, self.mean_idf = row["n"], row["avgdl"] or 0.0, row["mean_idf"]
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: str = "id", text: str = "text") -> Index:
-        """Texts are tokenised once.  A key stands for one document.  Range partitions by term and key, so that a common term is split."""
+        """Texts are tokenised once and their terms counted in place.  A key stands for one document.
+
+        Documents are dealt out, by as many as make PER_TASK postings, and each task sorts its own
+        by term: no posting is shuffled, and a common term is split.
+        """
         spark = docs.sparkSession
-        tokens = docs.select(F.col(key).alias("key"), tokenize_code(F.col(text)).alias("t")).select("key", F.size(F.coalesce("t", F.array().cast("array<string>"))).cast("long").alias("dl"), F.explode_outer("t").alias("term"))
-        counted = tokens.groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
-        # a document without a token is a posting of no term
-        postings.select("key", "dl").distinct().write.mode("overwrite").parquet(f"{path}/keys")
-        by_term = postings.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-        by_term.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        corpus = spark.read.parquet(f"{path}/keys").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        n = corpus.first()["n"]
+        with_counts(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).write.mode("overwrite").parquet(f"{path}/docs")
+        written = spark.read.parquet(f"{path}/docs")
+        corpus = written.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("n_terms").alias("postings")).first()
+        n, tasks = corpus["n"], tasks_for(corpus["postings"] or 0)
+        counted = postings_of(written.repartition(tasks, "key")).select("term", "key", "tf", "dl")
+        counted.sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+        by_term = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        by_term.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         mean = spark.read.parquet(f"{path}/terms").agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
-        corpus.crossJoin(mean).write.mode("overwrite").parquet(f"{path}/corpus")  # one row by one row
+        mean.select(F.lit(n).alias("n"), F.lit(corpus["avgdl"]).cast("double").alias("avgdl"), "mean_idf").write.mode("overwrite").parquet(f"{path}/corpus")  # one row
         return cls(spark, path)
 
     def stats(self, terms: list[str]) -> Stats:
