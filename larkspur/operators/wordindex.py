@@ -1,7 +1,7 @@
 """A word index that follows its table: immutable segments, tombstones, tiered merging.
 
 A segment holds what one change brought: `docs` (a row a document with its
-tokens), `postings` by term, and signed counts: `terms` (how many more documents
+terms and their counts), `postings` by term, and signed counts: `terms` (how many more documents
 hold a term) and `groups` (how many more documents and tokens each repository,
 branch and type has).  Documents that go or are replaced are found in `docs` of
 earlier segments; their keys become tombstones for segments up to a number, and their
@@ -31,13 +31,19 @@ import json
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import tokenize_code
 from larkspur.operators import bm25, filters
 
 FAN, KEPT = 4, 3
+#: of the files; an index of another one is built anew
+FORMAT = 2
+#: ids that are sent to all tasks; more are joined by a shuffle
+SENT = 1_000_000
 RANGE, FIRST = 256, 8
 GROUP = ("repository", "branch", "type")
 
@@ -54,7 +60,8 @@ class WordIndex:
         #: blocks of the last query's terms, and how many of them were skipped
         self.blocks_seen = self.blocks_skipped = 0
         found = [n for n in self._names() if n.startswith("state-")]
-        self.state = self._load(found[-1]) if found else None
+        held = self._load(found[-1]) if found else {}
+        self.state = held if held.get("format") == FORMAT else None
 
     # ---- files
 
@@ -96,41 +103,53 @@ class WordIndex:
         name = f"segment-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         place = f"{self.path}/{name}"
         groups = [(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in GROUP]
-        tokens = F.coalesce(tokenize_code(F.col(self.text)), F.array().cast("array<string>"))
-        rows.select(F.col(self.key).alias("key"), *groups, tokens.alias("tokens")).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{place}/docs")
+        bm25.with_counts(rows.select(F.col(self.key).alias("key"), *groups, F.col(self.text).alias("text"))).write.parquet(f"{place}/docs")
         docs = self._read(name, "docs")
-        dl = F.size("tokens").cast("long").alias("dl")
-        n = docs.count()
+        size = docs.agg(F.count("*").alias("n"), F.sum("n_terms").alias("postings")).first()
+        n = size["n"]
         ranges = ranges or max(1, n // RANGE)
-        postings = docs.select("key", *GROUP, dl, F.explode("tokens").alias("term")).groupBy("term", "key", *GROUP, "dl").agg(F.count("*").alias("tf"))
-        postings = postings.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
-        self._write_postings(place, postings)
+        self._write_postings(place, docs, size["postings"] or 0, ranges)
         terms = self._read(name, "postings").select("term", F.lit(1).alias("df"))
-        counts = docs.select(*GROUP, F.lit(1).alias("n"), dl)
+        counts = docs.select(*GROUP, F.lit(1).alias("n"), "dl")
         if dead is not None:
-            terms = terms.unionAll(dead.select(F.explode(F.array_distinct("tokens")).alias("term"), F.lit(-1).alias("df")))
-            counts = counts.unionAll(dead.select(*GROUP, F.lit(-1).alias("n"), -dl))
+            terms = terms.unionAll(dead.select(F.explode("terms").alias("term"), F.lit(-1).alias("df")))
+            counts = counts.unionAll(dead.select(*GROUP, F.lit(-1).alias("n"), -F.col("dl")))
         self._write_counts(place, terms, counts)
         self.tokenised += n
         return name, n, ranges
 
-    def _write_postings(self, place: str, postings: DataFrame) -> None:
-        order = ("term", "range", "key")
-        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{place}/postings")
-        blocks = self.spark.read.parquet(f"{place}/postings").groupBy("term", "range").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-        blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{place}/blocks")
+    def _write_postings(self, place: str, docs: DataFrame, count: int, ranges: int) -> None:
+        """Each task sorts the postings of its own ranges; documents are shuffled with their terms, postings are not."""
+        tasks, spot = bm25.tasks_for(count), F.xxhash64("key")
+        # a range is one task's, but where there are few for the tasks
+        dealt = docs.repartition(tasks, F.pmod(spot, F.lit(ranges * max(1, -(-4 * tasks // ranges)))))
+        postings = bm25.postings_of(dealt).withColumn("range", F.pmod(spot, F.lit(ranges)).cast("int"))
+        postings.sortWithinPartitions("term", "range", "key").write.parquet(f"{place}/postings")
+
+        def blocks(batches):
+            # the rows come in their order; a block that two batches or tasks share has a row of each, and readers take the larger bound
+            for b in batches:
+                if b.num_rows:
+                    term, part = b.column(0), b.column(1).to_numpy()
+                    new = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1])
+                    at = np.flatnonzero(np.concatenate([[True], new]))
+                    tf, dl = np.maximum.reduceat(b.column(2).to_numpy(), at), np.minimum.reduceat(b.column(3).to_numpy(), at)
+                    yield pa.RecordBatch.from_arrays([term.take(pa.array(at)), pa.array(part[at]), pa.array(tf), pa.array(dl)], names=["term", "range", "tf", "dl"])
+
+        rows = self.spark.read.parquet(f"{place}/postings").select("term", "range", "tf", "dl")
+        rows.mapInArrow(blocks, rows.schema).write.parquet(f"{place}/blocks")
 
     @staticmethod
     def _write_counts(place: str, terms: DataFrame, counts: DataFrame) -> None:
         by_term = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        by_term.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{place}/terms")
-        counts.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).where("n <> 0 or dl <> 0").coalesce(1).write.parquet(f"{place}/groups")
+        by_term.sortWithinPartitions("term").write.parquet(f"{place}/terms")
+        counts.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).where("n <> 0 or dl <> 0").repartition(1).write.parquet(f"{place}/groups")
 
     def build(self, rows: DataFrame, version: str | None = None) -> WordIndex:
         """The index anew, from whole rows."""
         name, n, ranges = self._write_segment(rows, None)
         self.builds += 1
-        self._save({"version": version, "segments": [[name, 1, n]], "gone": [], "next": 2, "ranges": ranges})
+        self._save({"format": FORMAT, "version": version, "segments": [[name, 1, n]], "gone": [], "next": 2, "ranges": ranges})
         return self
 
     def apply(self, came: DataFrame | None, went: DataFrame | None, version: str | None = None) -> WordIndex:
@@ -140,6 +159,8 @@ class WordIndex:
         if ids:
             ids = (ids[0] if len(ids) == 1 else ids[0].unionAll(ids[1])).distinct()
             gone = f"segment-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
+            # either way the documents with their terms are not sorted
+            ids = F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids.hint("shuffle_hash")
             self._alive("docs", state).join(ids, "key", "left_semi").drop("seg").write.parquet(f"{self.path}/{gone}/docs")
             dead = self._read(gone, "docs")
             segments, tombs = list(state["segments"]), list(state["gone"])
@@ -177,13 +198,15 @@ class WordIndex:
             name = f"segment-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
             place = f"{self.path}/{name}"
             part = {**state, "segments": own}
-            self._alive("docs", part).drop("seg").repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{place}/docs")
-            self._write_postings(place, self._alive("postings", part).drop("seg"))
+            self._alive("docs", part).drop("seg").write.parquet(f"{place}/docs")
+            docs = self._read(name, "docs")
+            size = docs.agg(F.count("*").alias("n"), F.sum("n_terms").alias("postings")).first()
+            self._write_postings(place, docs, size["postings"] or 0, state["ranges"])
             self._write_counts(place, self._all("terms", part), self._all("groups", part))
             rest, number = segments[:-run], own[-1][1]
             # tombstones concern the segments before the merged one alone
             tombs = [x for x in state["gone"] if any(s[1] <= x[1] for s in rest)]
-            state = {**state, "segments": [*rest, [name, number, self._read(name, "docs").count()]], "gone": tombs}
+            state = {**state, "segments": [*rest, [name, number, size["n"]]], "gone": tombs}
             self.merges += 1
 
     # ---- reading

@@ -90,6 +90,41 @@ def test_segments_merge_and_forget_the_gone(spark, tmp_path):
     assert {r["term"]: r["df"] for r in total.collect()} == {"word": 2, "c": 1, "d": 1}
 
 
+def test_word_index_bounds_the_share_of_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "PER_TASK", 200)
+    monkeypatch.setattr(wordindex, "SENT", 3)
+    rows = [(f"k{i:03d}", " ".join(f"w{(i * j) % 50}" for j in range(1, 21)) + " the the", "r", f"b{i % 30}", "note") for i in range(200)]
+    docs = spark.createDataFrame([*rows, ("none", None, "r", "b0", "note")], FIELDS)
+    index = WordIndex(spark, str(tmp_path / "i")).build(docs)
+    name = index.state["segments"][0][0]
+    parts = lambda part: [n for n in os.listdir(tmp_path / "i" / name / part) if n.startswith("part-") and n.endswith(".parquet")]
+    count = index._read(name, "postings").count()
+    assert len(parts("postings")) >= count // 400, "tasks are dealt by the postings, whatever the session's partitions are"
+    assert len(parts("groups")) == 1 and index.stats(["the"]).n == 201
+    index.apply(docs.where("id like '%7'"), docs.where("id like '%9'").select("id"))  # more ids than are sent to all tasks
+    left = docs.where("id not like '%9'").na.fill("", ["text"])
+    assert top(index.top_k("w7 w3 the", 6)) == top(bm25.top_k(left, "w7 w3 the", 6).select("id", "bm25_score"))
+
+
+def test_an_index_of_older_files_is_built_anew(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "word", "r", "main", "note")], FIELDS)
+    index = WordIndex(spark, str(tmp_path / "i")).build(docs)
+    index._save({k: v for k, v in index.state.items() if k != "format"})
+    assert WordIndex(spark, str(tmp_path / "i")).state is None
+
+
+def test_kept_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "PER_TASK", 100)
+    rows = [(i, None if i == 3 else " ".join(f"w{(i * j) % 40}" for j in range(1, 15)) + " the the") for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index = bm25.Index.build(docs, str(tmp_path / "i"))
+    files = [n for n in os.listdir(tmp_path / "i" / "postings") if n.endswith(".parquet")]
+    assert len(files) >= index.postings.count() // 200
+    tf = index.postings.groupBy("key").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.count_distinct("term").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(tf) == 119 and all(r["tf"] == r["dl"] and r["n"] == r["rows"] for r in tf) and index.n == 120
+    assert top(index.top_k("w7 the", 9)) == top(bm25.top_k(docs.na.fill("", ["text"]), "w7 the", 9).select("id", "bm25_score"))
+
+
 def test_a_result_stays_readable_after_writes(spark, tmp_path):
     vectors = spark.createDataFrame([(f"k{i}", [float(i), 1.0]) for i in range(6)], "id string, embedding array<float>")
     store = Store(spark, str(tmp_path / "s"))
