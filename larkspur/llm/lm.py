@@ -158,19 +158,26 @@ class Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, most: float, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """exp of states @ w + b, shifted to stay in range, their sums, and the shifted logits at `rows` of each state.
+def _shift(w: np.ndarray, b: np.ndarray, most: float, starts: np.ndarray) -> list:
+    """For the columns from each start on: the largest logit that any state reaches, if one shift fits all states, else None.
 
-    No entry of a state is over `most`, so the largest logit of any state lies between two
-    bounds; where these are near each other one shift fits all states.
+    No entry of a state is over `most`, so the largest logit of any state lies between two bounds.
     """
     reach = most * np.abs(w).sum(0)
-    top = (b + reach).max()
+    top, low = np.maximum.reduceat(b + reach, starts), np.maximum.reduceat(b - reach, starts)
+    return [t if t - m < 60 else None for t, m in zip(top, low, strict=True)]
+
+
+def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, top, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """exp of states @ w + b, shifted to stay in range (by `top`, from _shift), their sums, and the shifted logits at `rows` of each state."""
     logits = states @ w
-    if top - (b - reach).max() < 60:
+    if top is not None:
         logits += b - top
     else:
         logits += b
@@ -218,9 +225,10 @@ class Gru:
         klass = v.klass_of(rank)
         out = np.empty(len(rank), states.dtype)
         most = max(1.0, float(np.abs(states).max(initial=0)))
+        of_classes, of_words = self._shifts(most)
         for low in range(0, len(rank), CACHED):
             part = slice(low, low + CACHED)
-            _, total, own = _softmax(states[part], self.Wc, self.bc, most, klass[part])
+            _, total, own = _softmax(states[part], self.Wc, self.bc, of_classes, klass[part])
             out[part] = own - np.log(total)
         order, ends = self._by_class(klass)
         order = order[: ends[-1]] if len(ends) else order[:0]
@@ -230,12 +238,17 @@ class Gru:
             low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
             for at in range(start, end, CACHED):
                 part = slice(at, min(end, at + CACHED))
-                _, total, own = _softmax(states[part], self.Wv[:, low:high], self.bv[low:high], most, rank[part] - low)
+                _, total, own = _softmax(states[part], self.Wv[:, low:high], self.bv[low:high], of_words[c], rank[part] - low)
                 inner[part] = own - np.log(total)
             start = end
         out[order] += inner
         return out
 
+    def _shifts(self, most: float) -> tuple:
+        """The shifts of the classes' softmax and of each class's own."""
+        words = _shift(self.Wv, self.bv, most, np.arange(0, self.v.neural, CLASS)) if self.v.neural else []
+        return _shift(self.Wc, self.bc, most, np.array([0]))[0], words
+
     def _by_class(self, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of the neural tokens by class, and the end of each class among them."""
         order = np.argsort(klass.astype(np.int16), kind="stable")
@@ -256,13 +269,23 @@ class Gru:
         grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         for at in range(0, length, WINDOW):
             steps = range(at, min(length, at + WINDOW))
-            trace, states = [], []
-            for t in steps:
-                h0 = h * keep[t]
-                h, z, r, un, n = self.step(x[t], h0)
-                trace.append((h0, z, r, un, n))
-                states.append(h)
-            S, Y = np.concatenate(states), y[at : steps.stop].ravel()
+            # a gate of all steps stands in one array, so that what needs no later step is worked out at once
+            n_steps = len(steps)
+            read = self.G[x[at : steps.stop]]
+            before, states, N, UN = (np.empty((n_steps, streams, H), kind) for _ in range(4))
+            ZR = np.empty((n_steps, streams, 2 * H), kind)
+            for k, t in enumerate(steps):
+                h0 = np.multiply(h, keep[t], out=before[k])
+                u = h0 @ self.U
+                zr = _sigmoid(np.add(read[k, :, : 2 * H], u[:, : 2 * H], out=ZR[k]))
+                UN[k] = u[:, 2 * H :]
+                n = np.multiply(zr[:, H:], UN[k], out=N[k])
+                n += read[k, :, 2 * H :]
+                np.tanh(n, out=n)
+                h = np.subtract(h0, n, out=states[k])
+                h *= zr[:, :H]
+                h += n
+            S, Y = states.reshape(-1, H), y[at : steps.stop].ravel()
             own_loss = np.flatnonzero(real[at : steps.stop].ravel())
             whole = len(own_loss) == len(S)
             every = S
@@ -272,9 +295,10 @@ class Gru:
             klass = v.klass_of(Y)
             grad["Wc"][:], grad["bc"][:] = 0, 0
             dS = np.empty_like(S)
+            of_classes, of_words = self._shifts(1.0)
             for low in range(0, count, CACHED_BOTH):
                 part = slice(low, low + CACHED_BOTH)
-                p, total, _ = _softmax(S[part], self.Wc, self.bc, 1.0)
+                p, total, _ = _softmax(S[part], self.Wc, self.bc, of_classes)
                 p *= (1 / (count * total))[:, None].astype(kind)
                 p[np.arange(len(p)), klass[part]] -= 1 / count
                 grad["Wc"] += S[part].T @ p
@@ -289,7 +313,7 @@ class Gru:
                 if end > start:
                     low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
                     s, wv = inner_S[start:end], self.Wv[:, low:high]
-                    q, total, _ = _softmax(s, wv, self.bv[low:high], 1.0)
+                    q, total, _ = _softmax(s, wv, self.bv[low:high], of_words[c])
                     q *= (1 / (count * total))[:, None].astype(kind)
                     q[np.arange(end - start), inner_Y[start:end] - low] -= 1 / count
                     grad["Wv"][:, low:high], grad["bv"][low:high] = s.T @ q, q.sum(0)
@@ -301,21 +325,24 @@ class Gru:
                 spread[own_loss] = dS
                 dS = spread
             dh = np.zeros_like(h)
-            gates, inner, before = [], [], []
-            for k in range(len(trace) - 1, -1, -1):
-                h0, z, r, un, n = trace[k]
-                dh = dh + dS[k * streams : (k + 1) * streams]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h0 - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                du = np.concatenate([dz, dr, dn * r], 1)
-                gates.append(np.concatenate([dz, dr, dn], 1))
-                inner.append(du)
-                before.append(h0)
-                dh = (dh * z + du @ self.U.T) * keep[at + k]
-            grad["U"] = np.concatenate(before).T @ np.concatenate(inner)
+            Z, R = ZR[:, :, :H], ZR[:, :, H:]
+            to_n, to_z, to_r = (1 - Z) * (1 - N * N), (before - N) * Z * (1 - Z), UN * R * (1 - R)
+            # the last step first
+            gates, inner = (np.empty((n_steps, streams, 3 * H), kind) for _ in range(2))
+            for j, k in enumerate(range(n_steps - 1, -1, -1)):
+                dh += dS[k * streams : (k + 1) * streams]
+                gate, own = gates[j], inner[j]
+                np.multiply(dh, to_z[k], out=gate[:, :H])
+                dn = np.multiply(dh, to_n[k], out=gate[:, 2 * H :])
+                np.multiply(dn, to_r[k], out=gate[:, H : 2 * H])
+                own[:, : 2 * H] = gate[:, : 2 * H]
+                np.multiply(dn, R[k], out=own[:, 2 * H :])
+                dh *= Z[k]
+                dh += own @ self.U.T
+                dh *= keep[at + k]
+            grad["U"] = before[::-1].reshape(-1, H).T @ inner.reshape(-1, 3 * H)
             # the inputs' rows that this window read
-            who, gates = x[at : steps.stop][::-1].ravel(), np.concatenate(gates)
+            who, gates = x[at : steps.stop][::-1].ravel(), gates.reshape(-1, 3 * H)
             by = np.argsort(who.astype(np.int16 if v.inputs < 1 << 15 else np.int32), kind="stable")
             first = np.flatnonzero(np.concatenate([[True], who[by][1:] != who[by][:-1]]))
             rows, of_rows = who[by][first], np.add.reduceat(gates[by], first)

@@ -514,3 +514,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
 
 def test_shingle_hashes_tell_sets_apart():
     assert len({jaccard.set_key(shingle_set(f"a b c d e{i}")) for i in range(5000)}) == 5000
+
+
+def test_shifts_of_all_classes_at_once():
+    from larkspur.llm.lm import _shift
+
+    rng = np.random.default_rng(3)
+    w, b = rng.normal(size=(16, 150)), rng.normal(size=150)
+    w[:, 70] *= 40  # no single shift fits the class of this column
+    got = _shift(w, b, 1.0, np.arange(0, 150, 64))
+    assert got[1] is None
+    for c in (0, 2):
+        own = slice(64 * c, min(150, 64 * c + 64))
+        assert got[c] == (b[own] + np.abs(w[:, own]).sum(0)).max()
