@@ -179,7 +179,8 @@ class VectorIndex:
     def top_k(self, query: list[float], k: int, where: Column | None = None, probes: int | None = None, refine: int | None = None, exact: bool = False) -> DataFrame:
         """The k nearest rows with vector_distance, with all columns of the table; ties go by key."""
         columns = [c for c in self.rows.columns if c not in ("cell", "codes")]
-        if not exact and any(query):
+        # an index of no vectors has no cells to probe
+        if not exact and any(query) and self.centroids.any():
             probes, refine = probes or self.probes, refine or max(10 * k, self.refine * -(-k // NEAR))
             while True:
                 found = self.candidates(query, self.probed(query, probes), max(refine, k), where).collect()  # `refine` rows
