@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, encode, signed, trim, word_hashes
+from larkspur.llm.common import cut, encode, signed, trim, word_hashes, word_hashes_of
 from larkspur.llm.jaccard import _expand, _plain, _squeeze, _unplain
 
 #: tokens that workers are told of (16 bytes each)
@@ -62,15 +62,31 @@ END = np.uint64(0xE17D0F7E8D000001)
 GATHER = 4_000_000
 #: documents of a batch of results
 TOGETHER = 512
-STEPS = 32
+#: documents whose tokens are counted at once
+COUNTED = 64
+#: steps and tokens that are scored at once, if the texts are short enough
+STEPS, SIDE = 512, 1 << 14
 #: rows whose softmax stays in a core's cache, in scoring and in training; tokens that are looked up at once
 CACHED, CACHED_BOTH, PART = 2048, 512, 1 << 18
+#: a key of more places is summed by itself
+MANY = 16
 
 
 def tokens_of(text: str | None) -> np.ndarray:
     return np.append(word_hashes(encode(text), shape_bits=SHAPE_BITS), END)
 
 
+def tokens_of_all(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """tokens_of each text, joined, and the number of each."""
+    words, sizes = word_hashes_of([t or b"" for t in texts], SHAPE_BITS)
+    sizes += 1
+    out = np.empty(int(sizes.sum()), np.uint64)
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(sizes) - 1] = True
+    out[last], out[~last] = END, words
+    return out, sizes
+
+
 def shape_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SHAPES - 1)).astype(np.int64)
 
@@ -174,19 +190,56 @@ def _shift(w: np.ndarray, b: np.ndarray, most: float, starts: np.ndarray) -> lis
     return [t if t - m < 60 else None for t, m in zip(top, low, strict=True)]
 
 
-def _softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, top, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """exp of states @ w + b, shifted to stay in range (by `top`, from _shift), their sums, and the shifted logits at `rows` of each state."""
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """A last column of ones, so that one product also adds the biases."""
+    out = np.empty((len(states), states.shape[1] + 1), states.dtype)
+    out[:, :-1], out[:, -1] = states, 1
+    return out
+
+
+def _over(w: np.ndarray, b: np.ndarray, top) -> np.ndarray:
+    """The biases, less the shift if one is known, as the last row of the weights."""
+    return np.concatenate([w, (b if top is None else b - top)[None]]).astype(w.dtype, copy=False)
+
+
+def _softmax(states: np.ndarray, w: np.ndarray, top, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """exp of states @ w (of _with_one, _over), shifted to stay in range (by `top`, from _shift), their sums, and the shifted logits at `rows` of each state."""
     logits = states @ w
-    if top is not None:
-        logits += b - top
-    else:
-        logits += b
+    if top is None:
         logits -= logits.max(1, keepdims=True)
     own = None if rows is None else logits[np.arange(len(logits)), rows]
     e = np.exp(logits, out=logits)
     return e, e @ np.ones(e.shape[1], e.dtype), own
 
 
+def _sums(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum over the places of each: values has the places of the keys as its second axis.
+
+    The keys of few places are summed side by side, first places, second places and so on; np.add.reduceat takes a call for every place.
+    """
+    by = np.argsort(keys, kind="stable")
+    own = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    size = np.diff(first, append=len(keys))
+    order = np.argsort(-size, kind="stable")
+    start, size = first[order], size[order]
+    over = np.searchsorted(-size, -np.arange(MANY + 1), "left")  # how many keys have more places than that
+    many = int(over[MANY])
+    out = values.take(by[start], 1)
+    for i in range(1, MANY):
+        if over[i] == many:
+            break
+        out[:, many : over[i]] += values.take(by[start[many : over[i]] + i], 1)
+    for i in range(many):
+        out[:, i] = np.ones(size[i], values.dtype) @ values.take(by[start[i] : start[i] + size[i]], 1)
+    return own[start], out
+
+
+def _by_gate(u: np.ndarray) -> np.ndarray:
+    """The weights from state to gates, a matrix for each gate."""
+    return np.ascontiguousarray(u.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+
 class Gru:
     """Weights: G (input by gates), U (state by gates), Wc, bc (classes), Wv, bv (tokens in their class)."""
 
@@ -226,19 +279,21 @@ class Gru:
         out = np.empty(len(rank), states.dtype)
         most = max(1.0, float(np.abs(states).max(initial=0)))
         of_classes, of_words = self._shifts(most)
+        ones, wc = _with_one(states), _over(self.Wc, self.bc, of_classes)
         for low in range(0, len(rank), CACHED):
             part = slice(low, low + CACHED)
-            _, total, own = _softmax(states[part], self.Wc, self.bc, of_classes, klass[part])
+            _, total, own = _softmax(ones[part], wc, of_classes, klass[part])
             out[part] = own - np.log(total)
         order, ends = self._by_class(klass)
         order = order[: ends[-1]] if len(ends) else order[:0]
-        states, rank, inner = states[order], rank[order], np.empty(len(order), states.dtype)
+        ones, rank, inner = ones.take(order, 0), rank[order], np.empty(len(order), states.dtype)
         start = 0
         for c, end in enumerate(ends):
             low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
+            wv = _over(self.Wv[:, low:high], self.bv[low:high], of_words[c]) if end > start else None
             for at in range(start, end, CACHED):
                 part = slice(at, min(end, at + CACHED))
-                _, total, own = _softmax(states[part], self.Wv[:, low:high], self.bv[low:high], of_words[c], rank[part] - low)
+                _, total, own = _softmax(ones[part], wv, of_words[c], rank[part] - low)
                 inner[part] = own - np.log(total)
             start = end
         out[order] += inner
@@ -267,23 +322,26 @@ class Gru:
         seen = {k: np.full(getattr(self, k).shape, 1e-4, np.float32) for k in self.NAMES}
         h = np.zeros((streams, H), kind)
         grad = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        # each gate of a step stands in one piece: (step, gate, stream, unit), in `gates` (gate, step, stream, unit)
+        gate_of = np.arange(3)[:, None]
+        room = [np.empty((WINDOW, *shape), kind) for shape in ((streams, H), (streams, H), (streams, H), (streams, H), (3, streams, H), (2, streams, H))]
+        all_gates, to_u = np.empty((3, WINDOW, streams, H), kind), np.empty((3, streams, H), kind)
         for at in range(0, length, WINDOW):
             steps = range(at, min(length, at + WINDOW))
             # a gate of all steps stands in one array, so that what needs no later step is worked out at once
             n_steps = len(steps)
-            read = self.G[x[at : steps.stop]]
-            before, states, N, UN = (np.empty((n_steps, streams, H), kind) for _ in range(4))
-            ZR = np.empty((n_steps, streams, 2 * H), kind)
+            before, states, N, inner, UA, ZR = (a[:n_steps] for a in room)
+            by_gate = _by_gate(self.U)
+            read = self.G.reshape(-1, H).take(x[at : steps.stop, None] * 3 + gate_of, 0)
             for k, t in enumerate(steps):
                 h0 = np.multiply(h, keep[t], out=before[k])
-                u = h0 @ self.U
-                zr = _sigmoid(np.add(read[k, :, : 2 * H], u[:, : 2 * H], out=ZR[k]))
-                UN[k] = u[:, 2 * H :]
-                n = np.multiply(zr[:, H:], UN[k], out=N[k])
-                n += read[k, :, 2 * H :]
+                u = np.matmul(h0, by_gate, out=UA[k])
+                z, r = _sigmoid(np.add(read[k, :2], u[:2], out=ZR[k]))
+                n = np.multiply(r, u[2], out=N[k])
+                n += read[k, 2]
                 np.tanh(n, out=n)
                 h = np.subtract(h0, n, out=states[k])
-                h *= zr[:, :H]
+                h *= z
                 h += n
             S, Y = states.reshape(-1, H), y[at : steps.stop].ravel()
             own_loss = np.flatnonzero(real[at : steps.stop].ravel())
@@ -293,31 +351,33 @@ class Gru:
                 S, Y = S[own_loss], Y[own_loss]
             count = len(Y)
             klass = v.klass_of(Y)
-            grad["Wc"][:], grad["bc"][:] = 0, 0
-            dS = np.empty_like(S)
             of_classes, of_words = self._shifts(1.0)
+            # the products of a softmax's gradient are made of exp - sum * (own class), and divided by the sum where the arrays are narrow
+            ones, wc, both = _with_one(S), _over(self.Wc, self.bc, of_classes), np.zeros((v.classes, H + 1), kind)
+            dS = np.empty_like(S)
             for low in range(0, count, CACHED_BOTH):
                 part = slice(low, low + CACHED_BOTH)
-                p, total, _ = _softmax(S[part], self.Wc, self.bc, of_classes)
-                p *= (1 / (count * total))[:, None].astype(kind)
-                p[np.arange(len(p)), klass[part]] -= 1 / count
-                grad["Wc"] += S[part].T @ p
-                grad["bc"] += p.sum(0)
-                dS[part] = p @ self.Wc.T
+                p, total, _ = _softmax(ones[part], wc, of_classes)
+                p[np.arange(len(p)), klass[part]] -= total
+                scale = (1 / (count * total)).astype(kind)[:, None]
+                both += p.T @ (ones[part] * scale)
+                np.multiply(p @ self.Wc.T, scale, out=dS[part])
+            grad["Wc"], grad["bc"] = both[:, :H].T, both[:, H]
             grad["Wv"][:], grad["bv"][:] = 0, 0
             order, ends = self._by_class(klass)
             order = order[: ends[-1]] if len(ends) else order[:0]
-            inner_S, inner_Y, back = S[order], Y[order], np.empty((len(order), H), dS.dtype)
+            ones, inner_Y, back = ones.take(order, 0), Y.take(order), np.empty((len(order), H), dS.dtype)
             start = 0
             for c, end in enumerate(ends):
                 if end > start:
                     low, high = c * CLASS, min((c + 1) * CLASS, v.neural)
-                    s, wv = inner_S[start:end], self.Wv[:, low:high]
-                    q, total, _ = _softmax(s, wv, self.bv[low:high], of_words[c])
-                    q *= (1 / (count * total))[:, None].astype(kind)
-                    q[np.arange(end - start), inner_Y[start:end] - low] -= 1 / count
-                    grad["Wv"][:, low:high], grad["bv"][low:high] = s.T @ q, q.sum(0)
-                    back[start:end] = q @ wv.T
+                    s, wv = ones[start:end], self.Wv[:, low:high]
+                    q, total, _ = _softmax(s, _over(wv, self.bv[low:high], of_words[c]), of_words[c])
+                    q[np.arange(end - start), inner_Y[start:end] - low] -= total
+                    scale = (1 / (count * total)).astype(kind)[:, None]
+                    both = q.T @ (s * scale)
+                    grad["Wv"][:, low:high], grad["bv"][low:high] = both[:, :H].T, both[:, H]
+                    np.multiply(q @ wv.T, scale, out=back[start:end])
                 start = end
             dS[order] += back
             if not whole:
@@ -325,34 +385,35 @@ class Gru:
                 spread[own_loss] = dS
                 dS = spread
             dh = np.zeros_like(h)
-            Z, R = ZR[:, :, :H], ZR[:, :, H:]
+            dS = dS.reshape(n_steps, streams, H)
+            Z, R, UN = ZR[:, 0], ZR[:, 1], UA[:, 2]
             to_n, to_z, to_r = (1 - Z) * (1 - N * N), (before - N) * Z * (1 - Z), UN * R * (1 - R)
+            gates, back_by_gate = all_gates[:, :n_steps], np.ascontiguousarray(by_gate.transpose(0, 2, 1))
             # the last step first
-            gates, inner = (np.empty((n_steps, streams, 3 * H), kind) for _ in range(2))
-            for j, k in enumerate(range(n_steps - 1, -1, -1)):
-                dh += dS[k * streams : (k + 1) * streams]
-                gate, own = gates[j], inner[j]
-                np.multiply(dh, to_z[k], out=gate[:, :H])
-                dn = np.multiply(dh, to_n[k], out=gate[:, 2 * H :])
-                np.multiply(dn, to_r[k], out=gate[:, H : 2 * H])
-                own[:, : 2 * H] = gate[:, : 2 * H]
-                np.multiply(dn, R[k], out=own[:, 2 * H :])
+            for k in range(n_steps - 1, -1, -1):
+                dh += dS[k]
+                dz, dr, dn = gates[:, k]
+                np.multiply(dh, to_z[k], out=dz)
+                np.multiply(dh, to_n[k], out=dn)
+                np.multiply(dn, to_r[k], out=dr)
+                np.multiply(dn, R[k], out=inner[k])
                 dh *= Z[k]
-                dh += own @ self.U.T
+                for d, back, out in zip((dz, dr, inner[k]), back_by_gate, to_u, strict=True):
+                    dh += np.matmul(d, back, out=out)
                 dh *= keep[at + k]
-            grad["U"] = before[::-1].reshape(-1, H).T @ inner.reshape(-1, 3 * H)
+            read_by = before.reshape(-1, H).T
+            grad["U"] = np.concatenate([read_by @ d.reshape(-1, H) for d in (gates[0], gates[1], inner)], 1)
             # the inputs' rows that this window read
-            who, gates = x[at : steps.stop][::-1].ravel(), gates.reshape(-1, 3 * H)
-            by = np.argsort(who.astype(np.int16 if v.inputs < 1 << 15 else np.int32), kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], who[by][1:] != who[by][:-1]]))
-            rows, of_rows = who[by][first], np.add.reduceat(gates[by], first)
+            rows, of_rows = _sums(gates.reshape(3, -1, H), x[at : steps.stop].ravel().astype(np.int16 if v.inputs < 1 << 15 else np.int32))
+            of_rows = of_rows.transpose(1, 0, 2).reshape(-1, 3 * H)
             norm = np.sqrt(float((of_rows * of_rows).sum()) + sum(float((g * g).sum()) for k, g in grad.items() if k != "G"))
             shrink = float(min(1.0, 1.0 / (norm + 1e-9)))  # a numpy scalar would widen the weights
             for k in self.NAMES:
                 if k == "G":
                     g = of_rows * shrink
-                    seen[k][rows] += g * g
-                    self.G[rows] -= rate * g / np.sqrt(seen[k][rows])
+                    so_far = seen[k].take(rows, 0) + g * g
+                    seen[k][rows] = so_far
+                    self.G[rows] -= rate * g / np.sqrt(so_far)
                 else:
                     g = grad[k] * shrink
                     seen[k] += g * g
@@ -375,24 +436,34 @@ class Gru:
         order = np.argsort(-sizes, kind="stable")
         h = np.zeros((len(texts), HIDDEN), np.float32)
         total = np.zeros(len(texts))
-        descending = -sizes[order]
-        for at in range(0, int(sizes.max()), STEPS):
-            states, places, docs = [], [], []
-            for t in range(at, at + STEPS):
-                live = int(np.searchsorted(descending, -t, "left"))  # the texts with more than t tokens
-                if not live:
-                    break
-                where = starts[order[:live]] + t
-                h[:live] = self.step(x[where], h[:live])[0]
-                states.append(h[:live].copy())
-                places.append(where)
-                docs.append(order[:live])
-            if not states:
-                break
-            S, W, D = np.concatenate(states), np.concatenate(places), np.concatenate(docs)
-            for low in range(0, len(W), 32_768):
-                part = slice(low, low + 32_768)
-                total += np.bincount(D[part], self.log_probability(S[part], rank[W[part]]), len(texts))
+        descending, most, at = -sizes[order], int(sizes.max()), 0
+        by_gate, of_gates, gate_of = _by_gate(self.U), self.G.reshape(-1, HIDDEN), np.arange(3)[:, None]
+        while at < most:
+            first_live = int(np.searchsorted(descending, -at, "left"))
+            steps = np.arange(at, min(most, at + max(1, min(STEPS, SIDE // first_live))))
+            lives = np.searchsorted(descending, -steps, "left")  # the texts with more tokens, at each step
+            docs = order[:first_live]
+            places = starts[docs] + steps[:, None]
+            live = np.arange(first_live) < lives[:, None]
+            read = of_gates.take(x.take(places, mode="clip")[:, None] * 3 + gate_of, 0)
+            states, low = np.empty((int(lives.sum()), HIDDEN), np.float32), 0
+            for k, n_live in enumerate(lives.tolist()):
+                own, u = h[:n_live], np.matmul(h[:n_live], by_gate)
+                gates = read[k, :, :n_live]
+                z, r = _sigmoid(np.add(gates[:2], u[:2]))
+                n = np.multiply(r, u[2], out=u[2])
+                n += gates[2]
+                np.tanh(n, out=n)
+                own -= n
+                own *= z
+                own += n
+                states[low : low + n_live] = own
+                low += n_live
+            W, D = places[live], np.broadcast_to(docs, live.shape)[live]
+            for low in range(0, len(W), SIDE):
+                part = slice(low, low + SIDE)
+                total += np.bincount(D[part], self.log_probability(states[part], rank[W[part]]), len(texts))
+            at += len(steps)
         total /= np.log(10)
         known = rank >= 0
         static = np.where(known, v.static[rank], -v.tail_log10[np.where(known, 0, -1 - rank)]) if len(v.static) else -v.tail_log10[-1 - rank]
@@ -417,8 +488,8 @@ def _counts(texts: DataFrame, buckets: int) -> DataFrame:
 
         held, load = [], 0
         for batch in batches:
-            for value in batch.column(0):
-                held.append(tokens_of(value.as_py()))
+            for low in range(0, batch.num_rows, COUNTED):
+                held.append(tokens_of_all(batch.column(0).slice(low, COUNTED).cast(pa.binary()).to_pylist())[0])
                 load += len(held[-1])
                 if load >= GATHER:
                     yield send(held)
@@ -458,8 +529,11 @@ def _head(counts: DataFrame) -> Vocabulary:
     return Vocabulary(hashes[order], got["count"].to_numpy(np.int64)[order], n_by, v_by)
 
 
+_UNPACKER = zstandard.ZstdDecompressor()
+
+
 def _ranks(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).astype(np.int64)
+    return np.frombuffer(_UNPACKER.decompress(blob), np.int32)
 
 
 def _ranked(rows: DataFrame, words) -> DataFrame:
@@ -478,11 +552,13 @@ def _ranked(rows: DataFrame, words) -> DataFrame:
         for whole in batches:
             for low in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(low, TOGETHER)
-                texts = [tokens_of(t.as_py()) for t in batch.column(at)]
-                ranks = [v.lookup(t) for t in texts]
-                tails = [t[r < 0] for t, r in zip(texts, ranks, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32)), pa.array(signed(np.concatenate(tails))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([packer.compress(r.astype(np.int32).tobytes()) for r in ranks], pa.binary()), lists], names=[f.name for f in schema])
+                tokens, sizes = tokens_of_all(batch.column(at).cast(pa.binary()).to_pylist())
+                rank = v.lookup(tokens).astype(np.int32)
+                ends, tail = np.cumsum(sizes), rank < 0
+                tails = np.add.reduceat(tail, ends - sizes, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *tails]).astype(np.int32)), pa.array(signed(tokens[tail])))
+                packed = [packer.compress(rank[end - n : end].tobytes()) for n, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary()), lists], names=[f.name for f in schema])
         trim()
 
     return rows.mapInArrow(run, schema)

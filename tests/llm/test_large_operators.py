@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, graph, jaccard, lm, media, queries
+from larkspur.llm import common, decontam, graph, jaccard, lm, media, queries
 from larkspur.llm.common import fold, shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -286,6 +286,41 @@ def test_the_end_of_the_last_stream_is_trained_on():
     assert not all(np.array_equal(a, b) for a, b in zip(change[0], change[1], strict=True))
 
 
+def test_short_texts_are_cut_into_words_together(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "Bé,", "x.y", "\x0b", "", "中文"]) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(300)] + [None, "", " ", " a", "a ", "w " * 50_000, "b"]
+    calls = []
+    hashed = common._hashed
+    monkeypatch.setattr(common, "_hashed", lambda *a: (calls.append(1), hashed(*a))[1])
+    tokens, sizes = lm.tokens_of_all([None if t is None else t.encode() for t in texts])
+    assert len(calls) < 10
+    one_by_one = [lm.tokens_of(t) for t in texts]
+    assert sizes.tolist() == [len(t) for t in one_by_one] and np.array_equal(tokens, np.concatenate(one_by_one))
+    assert [len(a) for a in lm.tokens_of_all([])] == [0, 0]
+
+
+def test_rows_are_summed_by_key():
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([rng.integers(0, 900, 3000), np.full(700, 7), np.repeat([950, 951, 952], [lm.MANY - 1, lm.MANY, lm.MANY + 1])]).astype(np.int16)
+    rng.shuffle(keys)
+    for own in (keys, keys[:1], np.zeros(40, np.int16)):
+        values = rng.normal(size=(3, len(own), 5))
+        rows, sums = lm._sums(values, own)
+        want = np.zeros((3, 1000, 5))
+        np.add.at(want, (slice(None), own), values)
+        assert sorted(rows) == sorted(set(own.tolist())) and np.allclose(sums, want[:, rows])
+
+
+def test_a_long_text_is_scored_in_few_pieces(monkeypatch):
+    v = model_of({i + 1: 5000 - i for i in range(200)} | {int(lm.END): 10}, [(99, 5)])
+    calls, softmax = [], lm._softmax
+    monkeypatch.setattr(lm, "_softmax", lambda *a: (calls.append(1), softmax(*a))[1])
+    m = lm.Gru(v, seed=9)
+    text = np.append(np.random.default_rng(1).integers(1, 260, 4000).astype(np.uint64), lm.END)
+    m.score([text])
+    assert len(calls) <= 20 * (1 + v.n_classes)
+
+
 @needs_tables
 def test_the_model_beats_the_base_on_held_out_rows(spark):
     got = queries.op4_lm_score(spark, SF.replace("0.001", "0.01")).where("held_out").toPandas()
