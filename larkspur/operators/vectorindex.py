@@ -3,15 +3,16 @@
 Fit.  Cells and codebooks are learned from at most SAMPLE vectors (those of the
 smallest key hashes: a bounded, documented sample); every vector is then put into
 the cell of its nearest centroid and coded: what is left of it after its centroid
-is cut into parts, each told by its nearest entry of that part's codebook.
+is cut into parts, each told by its nearest entry of that part's codebook.  What
+the codes leave is kept too, in one byte a dimension, with the length of the rest.
 
 How many cells a query probes and how many rows it refines is measured, not
 guessed: on TRIED vectors of the sample the neighbours are computed exactly, and the
 smallest numbers are kept with which the share RECALL of them would be found in
 the sample.  So vectors without structure probe most cells, clustered ones few.
 
-Store.  One folder a cell, rows in the order of their keys, with their codes, the
-vector and all other columns.  A cell of more than ROWS rows (copies of one
+Store.  One folder a cell, rows in the order of their keys, with their codes, fine
+codes, the vector and all other columns.  A cell of more than ROWS rows (copies of one
 vector stay together however fine the cells are) is dealt into several files by
 the keys' hash, so that no task writes or reads it whole.
 
@@ -22,8 +23,15 @@ then computed from their vectors.  A filter applies to the rows of the probed
 cells, before any is kept.  Where these hold fewer than k rows that pass, twice the
 cells are probed, at last all.  `exact` scans all cells and equals `vector.top_k`.
 
-Defined results: null vectors and those of length zero have no cell; they come
-last, as in the scan, and only where fewer than k others pass; ties go by key.
+Where all cells are probed the result equals the scan, whatever `refine` is: the
+fine codes bound each row's product with the query from both sides, the rows of
+the highest upper bounds are kept, and four times as many until the least kept one
+is under the k-th lower bound.  Past REFINED rows (copies of one vector, that no bound
+tells apart) all vectors are scanned.
+
+Defined results: null vectors, those of length zero and those with values that are
+not finite have no cell; they come last, as in the scan, and only where fewer than
+k others pass; ties go by key.
 """
 
 from __future__ import annotations
@@ -44,6 +52,8 @@ PARTS, CODES, ROUNDS = 8, 256, 12
 NONE = -1
 #: queries of the measurement, neighbours of each, and the share that probing and refining each keep
 TRIED, NEAR, RECALL = 100, 10, 0.985
+#: rows that bounds may keep, columns of the index, what rounding to six digits may hide
+REFINED, OWN, ROUNDED = 10_000, ("cell", "codes", "fine"), 2e-6
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -107,7 +117,7 @@ class VectorIndex:
     def build(cls, vectors: DataFrame, path: str, key: str = "id", vector: str = "embedding", cells: int | None = None) -> VectorIndex:
         spark, path = vectors.sparkSession, path.rstrip("/")
         norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        usable = vectors.where(norm > 0)
+        usable = vectors.where((norm > 0) & (norm < float("inf")))
         n = usable.count()
         sample = usable.select(vector).orderBy(F.xxhash64(key), key).limit(SAMPLE).toPandas()[vector]  # SAMPLE vectors at the most
         dims = len(sample.iloc[0]) if n else 1
@@ -128,17 +138,23 @@ class VectorIndex:
                 x = np.zeros((batch.num_rows, dims))
                 x[ok] = np.array(held.filter(pa.array(ok)).to_pylist(), np.float64).reshape(-1, dims)
                 long = np.linalg.norm(x, axis=1)
-                ok = long > 0
+                ok = (long > 0) & np.isfinite(long)
+                x[~ok] = 0
                 x[ok] /= long[ok, None]
                 cell = np.full(batch.num_rows, NONE)
                 cell[ok] = nearest(x[ok], centroids)[0]
                 left = x - centroids[cell]
                 codes = np.stack([nearest(left[:, a:b], book)[0] for (a, b), book in zip(zip(cuts, cuts[1:], strict=False), books, strict=True)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*names, "cell", "codes"])
+                left = left - np.concatenate([book[codes[:, i]] for i, book in enumerate(books)], axis=1)
+                step = np.maximum(np.abs(left).max(axis=1) / 127, 1e-12)
+                fine = np.rint(left / step[:, None]).astype(np.int8)
+                off = np.linalg.norm(left - fine * step[:, None], axis=1) + 1e-9
+                fine = np.concatenate([np.stack([step, off], axis=1).view(np.uint8), fine.view(np.uint8)], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), *(pa.array([c.tobytes() for c in x], pa.binary()) for x in (codes, fine))], names=[*names, *OWN])
 
         plain = vectors.toDF(*names)
-        schema = T.StructType([*plain.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType())])
-        coded = plain.mapInArrow(code, schema).toDF(*vectors.columns, "cell", "codes")
+        schema = T.StructType([*plain.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("fine", T.BinaryType())])
+        coded = plain.mapInArrow(code, schema).toDF(*vectors.columns, *OWN)
         counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # CELLS rows at the most
         hot = {c: -(-k // ROWS) for c, k in counts.items() if k > ROWS}
         files = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("cell")], F.lit(1)) if hot else F.lit(1)
@@ -148,22 +164,31 @@ class VectorIndex:
         spark.createDataFrame([(model,)], "value string").coalesce(1).write.text(f"{path}/model")
         return cls(spark, path)
 
-    def candidates(self, query: list[float], cells: list[int], keep: int, where: Column | None = None) -> DataFrame:
-        """key, cell, near: the `keep` rows of the cells that their codes put nearest; the vectors are not read."""
+    def candidates(self, query: list[float], cells: list[int], keep: int, where: Column | None = None, bounded: bool = False) -> DataFrame:
+        """key, cell, near, off: the `keep` rows of the cells that their codes put nearest; the vectors are not read.
+
+        bounded: near is no less than the row's product with the query, near - 2 off no more; else off is null.
+        """
         q = np.array(query, np.float64)
         q = q / np.linalg.norm(q)
         base = self.centroids @ q
         cuts = np.cumsum([0, *(b.shape[1] for b in self.books)])
         tables = [book @ q[a:b] for book, a, b in zip(self.books, cuts, cuts[1:], strict=False)]
         rows = self.rows.where(F.col("cell").isin(cells))
-        rows = (rows if where is None else rows.where(where)).select(F.col(self.key).alias("key"), "cell", "codes")
+        rows = (rows if where is None else rows.where(where)).select(F.col(self.key).alias("key"), "cell", "codes", *(["fine"] if bounded else []))
 
         def best(batches):
             held = None
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                near = base[batch.column(1).to_numpy()] + sum(t[codes[:, i]] for i, t in enumerate(tables))
-                part = pa.table([batch.column(0), batch.column(1), pa.array(near)], names=["key", "cell", "near"])
+                near, off = base[batch.column(1).to_numpy()] + sum(t[codes[:, i]] for i, t in enumerate(tables)), None
+                if bounded:
+                    fine = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    step, off = np.ascontiguousarray(fine[:, :16]).view(np.float64).T
+                    near = near + step * (np.ascontiguousarray(fine[:, 16:]).view(np.int8) @ q) + off
+                part = pa.table([batch.column(0), batch.column(1), pa.array(near), pa.nulls(len(near), pa.float64()) if off is None else pa.array(off)], names=["key", "cell", "near", "off"])
                 held = part if held is None else pa.concat_tables([held, part])
                 if held.num_rows > keep:
                     held = held.sort_by([("near", "descending"), ("key", "ascending")]).slice(0, keep)
@@ -171,24 +196,35 @@ class VectorIndex:
                 yield from held.combine_chunks().to_batches()
 
         kind = self.rows.schema[self.key].dataType.simpleString()
-        return rows.mapInArrow(best, f"key {kind}, cell int, near double").orderBy(F.desc("near"), "key").limit(keep)
+        return rows.mapInArrow(best, f"key {kind}, cell int, near double, off double").orderBy(F.desc("near"), "key").limit(keep)
 
     def probed(self, query: list[float], probes: int) -> list[int]:
         return np.argsort(-(self.centroids @ np.array(query, np.float64)), kind="stable")[:probes].tolist()
 
     def top_k(self, query: list[float], k: int, where: Column | None = None, probes: int | None = None, refine: int | None = None, exact: bool = False) -> DataFrame:
         """The k nearest rows with vector_distance, with all columns of the table; ties go by key."""
-        columns = [c for c in self.rows.columns if c not in ("cell", "codes")]
+        columns = [c for c in self.rows.columns if c not in OWN]
         # an index of no vectors has no cells to probe
         if not exact and any(query) and self.centroids.any():
             probes, refine = probes or self.probes, refine or max(10 * k, self.refine * -(-k // NEAR))
             while True:
-                found = self.candidates(query, self.probed(query, probes), max(refine, k), where).collect()  # `refine` rows
+                keep, every = max(refine, k), probes >= len(self.centroids)
+                found = self.candidates(query, self.probed(query, probes), keep, where, every).collect()  # `keep` rows
                 if len(found) >= k:
-                    rows = self.rows.where(F.col("cell").isin(sorted({r["cell"] for r in found})) & F.col(self.key).isin([r["key"] for r in found]))
-                    return scan.top_k((rows if where is None else rows.where(where)).select(*columns), query, k, self.key, self.vector)
-                if probes >= len(self.centroids):
+                    sure = not every or len(found) < keep
+                    if every and k:
+                        least = sorted((r["near"] - 2 * r["off"] for r in found), reverse=True)[k - 1] - ROUNDED
+                        sure = sure or found[-1]["near"] < least
+                        found = [r for r in found if r["near"] >= least]
+                    if sure:
+                        rows = self.rows.where(F.col("cell").isin(sorted({r["cell"] for r in found})) & F.col(self.key).isin([r["key"] for r in found]))
+                        return scan.top_k((rows if where is None else rows.where(where)).select(*columns), query, k, self.key, self.vector)
+                    if 4 * keep > REFINED:
+                        break
+                    refine = 4 * keep
+                elif every:
                     break
-                probes *= 2
+                else:
+                    probes *= 2
         rows = self.rows if where is None else self.rows.where(where)
         return scan.top_k(rows.select(*columns), query, k, self.key, self.vector)

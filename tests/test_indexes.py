@@ -178,3 +178,22 @@ def test_vector_index_edges(spark, tmp_path, monkeypatch):
     assert same(index.top_k(q, 4, exact=True), vector.top_k(v, q, 4))
     empty = VectorIndex.build(v.limit(0), str(tmp_path / "e"))
     assert empty.top_k(q, 3).count() == 0
+
+
+def test_all_cells_of_a_vector_index_give_the_scans_rows(spark, tmp_path):
+    """Codes of vectors without structure misplace some of the nearest; bounds tell when enough were refined."""
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 64)))] + [(5000 + i, [float("inf")] + [1.0] * 63) for i in range(2)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    v = v.unionByName(v.where("id < 2000 and id % 40 = 1").withColumn("id", F.col("id") + 10_000))  # ties go by key
+    index = VectorIndex.build(v, str(tmp_path / "v"), cells=20)
+    where = F.col("id") % 3 == 1
+    for i in (1, 7, 50, 2999):
+        q = rows[i][1]
+        want = [tuple(r) for r in vector.top_k(v.where(where), q, 10).select("id", "vector_distance").collect()]
+        for refine in (10, 40):
+            assert [tuple(r) for r in index.top_k(q, 10, where=where, probes=20, refine=refine).select("id", "vector_distance").collect()] == want
+    # no bound tells copies apart: all vectors are scanned
+    same = spark.range(400).select("id", F.array(*[F.lit(float(x)) for x in range(1, 5)]).cast("array<float>").alias("embedding"))
+    index = VectorIndex.build(same, str(tmp_path / "s"), cells=2)
+    assert [r["id"] for r in index.top_k([1.0, 2.0, 3.0, 5.0], 3, probes=2, refine=3).collect()] == [0, 1, 2]
