@@ -376,6 +376,26 @@ def test_hamming_tables_lose_nothing():
     assert set(zip(*(x.tolist() for x in t.matches(probes)), strict=True)) == want
 
 
+def test_descriptors_that_look_alike_are_compared_by_rings_of_clusters():
+    """Descriptors of corners of few kinds: none is lost, and the share that is compared in full falls as they grow."""
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, 2**63, (40, 2)).astype(np.uint64)
+
+    def some(n):
+        noise = np.packbits(rng.random((n, 128)) < 0.08, axis=1).view(np.uint64)
+        return kinds[rng.integers(0, 40, n)] ^ noise
+
+    asked, shares = some(1500), []
+    for n in (1000, 8000):
+        held = some(n)
+        t = media.Tables(rng.random((n, 4)).astype(np.float32), held, np.arange(n))
+        found = set(zip(*(x.tolist() for x in t.matches(asked)), strict=True))
+        distance = np.bitwise_count(asked[:, None] ^ held[None]).sum(2)
+        assert found == set(zip(*(x.tolist() for x in np.nonzero(distance <= media.DISTANCE)), strict=True)) and found
+        shares.append(t.compared / (n * 1500))
+    assert shares[1] < 0.6 * shares[0] < 0.2, shares
+
+
 def test_edited_copies_are_found_and_others_not(spark):
     rng = np.random.default_rng(3)
     vectors = [rng.normal(0, 0.12, 64).tolist() for _ in range(40)]
