@@ -137,7 +137,7 @@ def vector_index_exact(spark, sf):
 
 @query(f"WITH {_VEC} SELECT id, vector_distance FROM v WHERE id % 3 = 1 ORDER BY vector_distance NULLS LAST, id LIMIT 10")
 def vector_index_filtered(spark, sf):
-    """A filter in the cells; all cells are probed, so that the codes alone choose what is reranked."""
+    """A filter in the cells; all cells are probed, so that the codes and their bounds choose what is reranked."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = VectorIndex.build(v, shared_place(spark, "vectors"))
     return index.top_k(vector.vector_of(v, "id", 7), K, where=F.col("id") % 3 == 1, probes=len(index.centroids), refine=200).select("id", "vector_distance")
